@@ -7,6 +7,8 @@ from importlib import import_module
 #: Query name to the module that holds the function of that name.
 MODULES = {
     "op1_suffix_array_dedup": "substring_exact",
+    "op2_benchmark_decontamination": "decontaminate",
+    "op10_bpe_prefix_dp": "bpe",
 }
 
 
