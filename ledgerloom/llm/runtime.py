@@ -90,3 +90,45 @@ def lists(arrays: list[np.ndarray], kind=None) -> pa.Array:
     offsets = np.concatenate([[0], np.cumsum([len(a) for a in arrays])]).astype(np.int32)
     flat = np.concatenate(arrays) if arrays else np.zeros(0, np.int64)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, kind))
+
+
+def _appended(names: list[str], fields: list[str], make):
+    def appended(batches):
+        for batch in batches:
+            at = batch.schema.get_field_index("text")
+            for part in blocks(batch, "text"):
+                yield pa.RecordBatch.from_arrays([*part.columns, *make(*bytes_of(part.column(at)))], names + fields)
+
+    return appended
+
+
+def append_columns(docs: DataFrame, fields: list, make) -> DataFrame:
+    """docs with more columns, which ``make`` gives for the bytes and offsets of a block of texts."""
+    from pyspark.sql import types as T
+
+    return docs.mapInArrow(_appended(docs.columns, [f.name for f in fields], make), T.StructType(docs.schema.fields + fields))
+
+
+def _packed(column: str, names: list[str]):
+    def packed(batches):
+        import zstandard
+
+        squeeze = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            for part in blocks(batch, column):
+                arrays = [pa.array([squeeze(x.as_buffer()) if x.is_valid else None for x in part.column(n)], pa.binary()) if n == column else part.column(n) for n in names]
+                yield pa.RecordBatch.from_arrays(arrays, names)
+
+    return packed
+
+
+def pack(df: DataFrame, column: str = "text") -> DataFrame:
+    """Compresses a binary column before it is dealt out: half the bytes that the shuffle's own codec leaves."""
+    return df.mapInArrow(_packed(column, df.columns), df.schema)
+
+
+def unpack(column: pa.Array) -> pa.Array:
+    import zstandard
+
+    grow = zstandard.ZstdDecompressor().decompress
+    return pa.array([grow(x.as_buffer()) if x.is_valid else None for x in column], pa.binary())

@@ -21,15 +21,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytescan as B
-from .runtime import RID, blocks, bytes_of, keep, lists, merged, with_rid
+from .runtime import RID, blocks, bytes_of, keep, lists, merged, pack, unpack, with_rid
 from .suffix import permuted_prefixes, suffix_array
 
 SIZE = 400
 ANCHOR = 64
 #: Most windows of one piece.
 LONGEST = 2048
-#: Different pieces from which a key is dealt further, and again for each 64 times as many.
-HOT = 4096
+#: Different pieces from which a key is dealt further, and again for each 8 times as many.
+HOT = 512
 #: Bytes of text from which a shard is sorted; one key's pieces stay together.
 SHARD_BYTES = 1 << 20
 
@@ -104,7 +104,7 @@ def _cut(size: int):
 
     def cut(batches):
         for batch in batches:
-            texts, runs = batch.column("text"), batch.column("runs")
+            texts, runs = unpack(batch.column("text")), batch.column("runs")
             out: list[tuple] = []
             for text, own in zip(texts, runs):
                 raw = text.as_buffer()
@@ -210,10 +210,10 @@ def repeated_spans(docs: DataFrame, size: int = SIZE) -> DataFrame:
     runs = keep(long.mapInArrow(_scan(size), RUNS), "runs")
     pieces = runs.groupBy("key", "digest").agg(F.count(F.lit(1)).alias("w"), F.max("again").alias("again"), F.min(F.struct("rid", "first", "count")).alias("at"))
     keys = pieces.groupBy("key").agg(F.sum("w").alias("total"), F.max("again").alias("again"), F.count(F.lit(1)).alias("different")).filter("total > 1 or again")
-    depth = F.when(F.col("different") < HOT, 0).otherwise((F.floor(F.log(64.0, F.col("different") / HOT)) + 1).cast("int"))
+    depth = F.when(F.col("different") < HOT, 0).otherwise((F.floor(F.log(8.0, F.col("different") / HOT)) + 1).cast("int"))
     wanted = pieces.drop("again").join(keys.select("key", depth.alias("depth")), "key")
     by_doc = wanted.groupBy(F.col("at.rid").alias(RID)).agg(F.collect_list(F.struct("key", "digest", "at.first", "at.count", "w", "depth")).alias("runs"))
-    cut = long.join(by_doc, RID).select("text", "runs").mapInArrow(_cut(size), PIECES)
+    cut = pack(long).join(by_doc, RID).select("text", "runs").mapInArrow(_cut(size), PIECES)
     found = cut.repartition("shard").sortWithinPartitions("shard").mapInArrow(_sort_shards(size), FOUND)
     found = found.groupBy("key", "digest").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends"))
     spots = runs.select("key", "digest", "rid", "first").join(found, ["key", "digest"])
@@ -228,7 +228,7 @@ def _strip(size: int, full: bool):
     def strip(batches):
         for batch in batches:
             for part in blocks(batch, "text"):
-                data, offsets = bytes_of(part.column("text"))
+                data, offsets = bytes_of(unpack(part.column("text")))
                 cols: list[list] = [[] for _ in range(7)]
                 starts, ends = part.column("starts"), part.column("ends")
                 for k in range(part.num_rows):
@@ -255,7 +255,7 @@ def exact_substring_dedup(docs: DataFrame, size: int = SIZE, with_bytes: bool =
     spans = repeated_spans(docs, size)
     whole = with_rid(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     whole = whole.withColumn("text", F.col("text").cast("binary")).withColumn("rid", F.col(RID)).drop(RID)
-    return whole.join(spans, "rid", "left").select("doc_id", "text", "starts", "ends").mapInArrow(_strip(size, with_bytes), OUT)
+    return pack(whole).join(spans, "rid", "left").select("doc_id", "text", "starts", "ends").mapInArrow(_strip(size, with_bytes), OUT)
 
 
 def op1_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:
