@@ -8,6 +8,10 @@ from importlib import import_module
 MODULES = {
     "op1_suffix_array_dedup": "substring_exact",
     "op2_benchmark_decontamination": "decontaminate",
+    "op3_prefix_target_chat": "chat_format",
+    "op4_quality_rules": "quality",
+    "op7_chunk_dedup": "chunk_dedup",
+    "op8_line_window_dedup": "line_dedup",
     "op10_bpe_prefix_dp": "bpe",
 }
 

@@ -25,9 +25,9 @@ def powers(n: int, inverse: bool = False) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-@functools.lru_cache(1)
-def byte_values() -> np.ndarray:
-    return mix(np.arange(256, dtype=np.uint64), 7)
+@functools.lru_cache(8)
+def byte_values(seed: int = 7) -> np.ndarray:
+    return mix(np.arange(256, dtype=np.uint64), seed)
 
 
 def _room(n: int) -> int:
@@ -124,3 +124,17 @@ def rolling(data: np.ndarray, size: int) -> np.ndarray:
         base = base * base & 0xFFFFFFFFFFFFFFFF
         width *= 2
     return mix(h, 5)
+
+
+def line_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Start, end and text of each line, and the lines before each text; every text has a line at least."""
+    docs = len(offsets) - 1
+    breaks = np.flatnonzero(data == 10)
+    doc = np.concatenate([np.searchsorted(offsets, breaks, "right") - 1, np.arange(docs)])
+    ends = np.concatenate([breaks, offsets[1:]])
+    # A text's last line ends at its own end, after its breaks.
+    order = np.lexsort((np.concatenate([np.zeros(len(breaks), np.int8), np.ones(docs, np.int8)]), ends, doc))
+    ends, doc = ends[order], doc[order]
+    starts = np.concatenate([[0], ends[:-1] + 1])[: len(ends)]
+    starts = np.where(np.concatenate([[True], doc[1:] != doc[:-1]])[: len(doc)], offsets[doc], starts)
+    return starts, ends, doc, np.searchsorted(doc, np.arange(docs + 1))
