@@ -12,6 +12,7 @@ MODULES = {
     "op4_quality_rules": "quality",
     "op7_chunk_dedup": "chunk_dedup",
     "op8_line_window_dedup": "line_dedup",
+    "op9_secret_randomness": "secret_scan",
     "op10_bpe_prefix_dp": "bpe",
 }
 
