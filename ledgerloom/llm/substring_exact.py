@@ -31,7 +31,7 @@ LONGEST = 2048
 #: Different pieces from which a key is dealt further, and again for each 8 times as many.
 HOT = 512
 #: Bytes of text from which a shard is sorted; one key's pieces stay together.
-SHARD_BYTES = 1 << 20
+SHARD_BYTES = 1 << 19
 
 RUNS = "key long, digest long, rid long, first int, count int, again boolean"
 

@@ -11,15 +11,15 @@ from __future__ import annotations
 import numpy as np
 
 
-def _ranks(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The order of the words, and for each word its place in it (the first place of equal ones)."""
+def _places(words: np.ndarray) -> np.ndarray:
+    """For each word its place in their order (the first place of equal ones)."""
     order = np.argsort(words)
     ordered = words[order]
-    new = np.concatenate([[True], ordered[1:] != ordered[:-1]])
-    places = np.flatnonzero(new)
-    rank = np.empty(len(words), np.int64)
-    rank[order] = np.repeat(places, np.diff(np.concatenate([places, [len(words)]])))
-    return order, rank
+    places = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])).astype(np.int32)
+    del ordered
+    rank = np.empty(len(words), np.int32)
+    rank[order] = np.repeat(places, np.diff(places, append=np.int32(len(words))))
+    return rank
 
 
 def _segment_names(sym: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -31,35 +31,34 @@ def _segment_names(sym: np.ndarray, size: np.ndarray) -> np.ndarray:
         word <<= bits
         if k < n:
             word[: n - k] |= np.where(size[: n - k] > k, sym[k:], 0)
-    _, rank = _ranks(word)
+    rank = _places(word)
+    del word
     done, room = per, max(1, (62 - max(1, n.bit_length())) // bits)
-    active = np.flatnonzero(size > done)
+    active = np.flatnonzero(size > done).astype(np.int32)
     while len(active):
         # One of a kind needs no more symbols. Equal starts that go on do so together: the types are in the symbols.
         counts = np.bincount(rank[active], minlength=n)
         active = active[counts[rank[active]] > 1]
+        del counts
         if not len(active):
             break
-        word = rank[active].copy()
+        old = rank[active]
+        word = old.astype(np.int64)
         for k in range(done, done + room):
             word <<= bits
-            at = np.minimum(active + k, n - 1)
-            word |= np.where(size[active] > k, sym[at], 0)
-        old = rank[active]
-        _, old_place = _ranks(old)
-        _, new_place = _ranks(word)
-        rank[active] = old + new_place - old_place
+            word |= np.where(size[active] > k, sym[np.minimum(active + np.int32(k), np.int32(n - 1))], 0)
+        rank[active] = old + _places(word) - _places(old)
         done += room
         active = active[size[active] > done]
     return rank
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
-    """The suffix array of non-negative integers; a shorter suffix precedes a longer one it starts."""
+    """The suffix array of integers from 0 to 2 ** 30; a shorter suffix precedes a longer one that it starts."""
     n = len(text)
     if n < 2:
         return np.arange(n)
-    return _sorted_suffixes(np.concatenate([text.astype(np.int64) + 1, [0]]))[1:]
+    return _sorted_suffixes(np.concatenate([text.astype(np.int32) + np.int32(1), np.zeros(1, np.int32)]))[1:]
 
 
 def _sorted_suffixes(text: np.ndarray) -> np.ndarray:
@@ -67,24 +66,28 @@ def _sorted_suffixes(text: np.ndarray) -> np.ndarray:
     n = len(text)
     if n == 1:
         return np.zeros(1, np.int64)
-    step = np.sign(text[1:] - text[:-1])  # over 0: S; under 0: L; 0: as the next
+    step = np.sign(np.diff(text))  # over 0: S; under 0: L; 0: as the next
     decided = np.concatenate([np.flatnonzero(step), [n - 1]])
     kind = np.concatenate([step[decided[:-1]] > 0, [True]])
-    smaller = np.repeat(kind, np.diff(np.concatenate([[-1], decided])))
-    lms = np.flatnonzero(smaller[1:] & ~smaller[:-1]) + 1
-    after = np.searchsorted(lms, np.arange(n), "right")
-    end = np.where(after < len(lms), lms[np.minimum(after, len(lms) - 1)], n - 1)
-    names = _segment_names(2 * text + smaller, end - np.arange(n) + 1)
-    own = names[lms]
-    distinct, reduced = np.unique(own, return_inverse=True)
+    smaller = np.repeat(kind, np.diff(decided, prepend=-1))
+    del step, decided, kind
+    lms = np.flatnonzero(smaller[1:] & ~smaller[:-1]).astype(np.int32) + np.int32(1)
+    # The next LMS position of each position; the end mark has none and is its own.
+    after = np.cumsum(np.bincount(lms, minlength=n), dtype=np.int32)
+    after[-1] -= 1
+    names = _segment_names(2 * text + smaller, lms[after] - np.arange(n, dtype=np.int32) + np.int32(1))
+    distinct, reduced = np.unique(names[lms], return_inverse=True)
     if len(distinct) == len(lms):
-        lms_rank = reduced.astype(np.int64)
+        lms_rank = reduced.astype(np.int32)
     else:
         # The last LMS position is the end mark, whose name is the smallest and stands once.
-        lms_rank = np.empty(len(lms), np.int64)
-        lms_rank[_sorted_suffixes(reduced.astype(np.int64))] = np.arange(len(lms))
-    tail = np.where(after < len(lms), lms_rank[np.minimum(after, len(lms) - 1)], 0)
-    return np.argsort(names * np.int64(len(lms) + 1) + tail)
+        lms_rank = np.empty(len(lms), np.int32)
+        lms_rank[_sorted_suffixes(reduced.astype(np.int32))] = np.arange(len(lms), dtype=np.int32)
+    key = names.astype(np.int64)
+    del names
+    key *= len(lms) + 1
+    key += lms_rank[after]
+    return np.argsort(key)
 
 
 def permuted_prefixes(data: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -94,20 +97,20 @@ def permuted_prefixes(data: np.ndarray, order: np.ndarray) -> tuple[np.ndarray,
     other value is one less than its left neighbour's.
     """
     n = len(data)
-    before = np.full(n, -1, np.int64)
+    before = np.full(n, -1, np.int32)
     before[order[1:]] = order[:-1]
     if n == 0:
         return before, before
-    plcp = np.zeros(n, np.int64)
-    at = np.arange(n)
-    left, left_of_before = data[np.maximum(at - 1, 0)], data[np.maximum(before - 1, 0)]
+    plcp = np.zeros(n, np.int32)
+    at = np.arange(n, dtype=np.int32)
+    left, left_of_before = data[np.maximum(at - np.int32(1), 0)], data[np.maximum(before - np.int32(1), 0)]
     whole = (at == 0) | (before <= 0) | (left != left_of_before)
     padded = np.concatenate([data, np.arange(16, dtype=np.uint8)])
     eight = np.ndarray((n + 8,), "<u8", padded, strides=(1,))
-    todo = np.flatnonzero(whole & (before >= 0))
+    todo = np.flatnonzero(whole & (before >= 0)).astype(np.int32)
     length = 0
     while len(todo):
-        a, b = todo + length, before[todo] + length
+        a, b = todo + np.int32(length), before[todo] + np.int32(length)
         differ = eight[np.minimum(a, n)] ^ eight[np.minimum(b, n)]
         low = differ & (~differ + np.uint64(1))
         equal = np.where(differ == 0, 8, np.log2(low.astype(np.float64), where=low > 0, out=np.zeros(len(low))).astype(np.int64) >> 3)
@@ -115,6 +118,6 @@ def permuted_prefixes(data: np.ndarray, order: np.ndarray) -> tuple[np.ndarray,
         plcp[todo] += equal
         todo = todo[equal == 8]
         length += 8
-    source = np.maximum.accumulate(np.where(whole, at, 0))
+    source = np.maximum.accumulate(np.where(whole, at, np.int32(0)))
     plcp = np.maximum(plcp[source] - (at - source), 0)
     return before, plcp
