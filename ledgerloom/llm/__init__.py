@@ -10,6 +10,8 @@ MODULES = {
     "op2_benchmark_decontamination": "decontaminate",
     "op3_prefix_target_chat": "chat_format",
     "op4_quality_rules": "quality",
+    "op5_language_spans": "language",
+    "op6_parity_sketch_join": "jaccard_join",
     "op7_chunk_dedup": "chunk_dedup",
     "op8_line_window_dedup": "line_dedup",
     "op9_secret_randomness": "secret_scan",
