@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from . import bytescan as B
 from .occurrences import UNITS, later_spans
-from .runtime import RID, blocks, bytes_of, merged, pack, table, unpack, with_rid
+from .runtime import PACKED_BYTES, RID, blocks, bytes_of, merged, pack, table, unpack, with_rid
 
 LEAST, MOST, BITS = 32, 512, 5
 
@@ -85,7 +85,7 @@ OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 stri
 def _strip(full: bool):
     def strip(batches):
         for batch in batches:
-            for part in blocks(batch, "text"):
+            for part in blocks(batch, "text", PACKED_BYTES):
                 data, offsets = bytes_of(unpack(part.column("text")))
                 rows = []
                 for k in range(part.num_rows):

@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from . import bytescan as B
 from .occurrences import UNITS, later_spans
-from .runtime import RID, blocks, bytes_of, merged, pack, table, unpack, with_rid
+from .runtime import PACKED_BYTES, RID, blocks, bytes_of, merged, pack, table, unpack, with_rid
 
 WINDOW = 3
 
@@ -54,7 +54,7 @@ def _units(size: int):
 def _cut(names: list[str]):
     def cut(batches):
         for batch in batches:
-            for part in blocks(batch, "text"):
+            for part in blocks(batch, "text", PACKED_BYTES):
                 column = unpack(part.column("text"))
                 data, offsets = bytes_of(column)
                 starts, ends, _, first = B.line_spans(data, offsets)

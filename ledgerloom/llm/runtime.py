@@ -11,7 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step works on; a longer text is a step of its own.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
+#: Rows of an Arrow batch: Spark's own default of 10,000 is far too many for rows that hold whole texts.
+BATCH_ROWS = 1000
+#: Compressed bytes that are unpacked at once.
+PACKED_BYTES = 1 << 18
 RID = "__ll_rid"
 
 
@@ -35,12 +39,21 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the rows of an Arrow batch, unless the session has its own setting."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def with_rid(docs: DataFrame) -> DataFrame:
     """Adds a row key from doc_id and text: repeated rows share it, equal ids with other texts do not."""
+    small_batches(docs.sparkSession)
     return docs.withColumn(RID, F.xxhash64(F.col("doc_id"), F.col("text")))
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytescan as B
-from .runtime import RID, blocks, bytes_of, keep, lists, merged, pack, unpack, with_rid
+from .runtime import PACKED_BYTES, RID, blocks, bytes_of, keep, lists, merged, pack, unpack, with_rid
 from .suffix import permuted_prefixes, suffix_array
 
 SIZE = 400
@@ -103,7 +103,7 @@ def _cut(size: int):
     """Pieces of the documents' runs; those of hot keys are dealt on by further minima."""
 
     def cut(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in blocks(whole, "text", PACKED_BYTES)):
             texts, runs = unpack(batch.column("text")), batch.column("runs")
             out: list[tuple] = []
             for text, own in zip(texts, runs):
@@ -227,7 +227,7 @@ OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 stri
 def _strip(size: int, full: bool):
     def strip(batches):
         for batch in batches:
-            for part in blocks(batch, "text"):
+            for part in blocks(batch, "text", PACKED_BYTES):
                 data, offsets = bytes_of(unpack(part.column("text")))
                 cols: list[list] = [[] for _ in range(7)]
                 starts, ends = part.column("starts"), part.column("ends")
