@@ -12,9 +12,9 @@ empty parts say nothing and are dealt out only by a set of which the parts in us
 any other set meets its partners in a part in use. Part sketches of a block of documents travel packed, one row for
 each bucket.
 
-Verification. Classes that share part sketches form groups. First each is compared to its group's smallest
-class; what links is joined into components. Then, in the groups that still hold several components, classes of
-different ones are compared, in blocks, by size and by the Hamming distance of whole parity sketches (it never
+Verification. Classes that share part sketches form groups. In each of a few turns every class is compared to one
+hub of its groups that is not yet in its component; what links is joined into components. Then, in the groups that still
+hold several components, classes of different ones are compared, in blocks, by size and by the Hamming distance of whole parity sketches (it never
 exceeds the true difference); what that leaves is compared set by set. Pairs inside a component need no look, so
 large groups of copies cost little, and no link between components is lost.
 
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from . import bytescan as B
 from .components import components
-from .runtime import RID, blocks, bytes_of, keep, lists, pack, table, unpack, with_rid
+from .runtime import PACKED_BYTES, RID, blocks, bytes_of, keep, lists, pack, table, unpack, with_rid
 
 SHINGLE = 5
 #: Bytes of text for each bucket of part sketches.
@@ -40,6 +40,8 @@ BUCKET_BYTES = 12 << 20
 TOGETHER = 1 << 20
 #: Classes of a group that are compared in one task.
 GROUP_BLOCK = 1024
+#: Turns in which each class is compared to one hub, before all that is left is compared.
+TURNS = 3
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -152,7 +154,7 @@ def _sets(batches):
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column(RID), pa.array(np.diff(first)), pa.array(a.view(np.int64)), pa.array(cid.view(np.int64))], ["doc_id", "rid", "n", "a", "cid"])
 
 
-PACKED = "bucket int, classes binary, prints binary, owners binary"
+PACKED = "bucket int, classes binary, prints binary, upper binary, owners binary"
 
 
 def _dealt(buckets: int):
@@ -165,9 +167,9 @@ def _dealt(buckets: int):
         for b in np.flatnonzero(np.diff(cuts)):
             own = order[cuts[b] : cuts[b + 1]]
             here, index = np.unique(owners[own], return_inverse=True)
-            rows.append((int(b), classes[here].tobytes(), prints[own].astype(np.uint32).tobytes(), index.astype(np.uint16 if len(here) < 1 << 16 else np.uint32).tobytes()))
-        kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["bucket", "classes", "prints", "owners"])
+            rows.append((int(b), classes[here].tobytes(), prints[own].astype(np.uint32).tobytes(), (prints[own] >> np.uint64(32)).astype(np.uint8).tobytes(), index.astype(np.uint16 if len(here) < 1 << 16 else np.uint32).tobytes()))
+        kinds = [pa.int32(), *[pa.binary()] * 4]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["bucket", "classes", "prints", "upper", "owners"])
 
     def dealt(batches):
         prints, owners, classes, held, known = [], [], [], 0, 0
@@ -203,12 +205,12 @@ def _groups(batches):
     held: list[tuple] = []
     last = None
     for batch in batches:
-        for bucket, classes, prints, owners in zip(*(batch.column(k) for k in range(4))):
+        for bucket, *packed in zip(*(batch.column(k) for k in range(5))):
             if bucket.as_py() != last and held:
                 yield _grouped(held)
                 held = []
             last = bucket.as_py()
-            held.append(tuple(bytes(x.as_buffer()) for x in (classes, prints, owners)))
+            held.append(tuple(bytes(x.as_buffer()) for x in packed))
     if held:
         yield _grouped(held)
 
@@ -216,8 +218,8 @@ def _groups(batches):
 def _grouped(held: list[tuple]) -> pa.RecordBatch:
     """Sets of two or more classes that share a part sketch, equal sets once."""
     cids, prints = [], []
-    for classes, p, o in held:
-        p = np.frombuffer(p, np.uint32)
+    for classes, p, u, o in held:
+        p = np.frombuffer(p, np.uint32).astype(np.int64) | np.frombuffer(u, np.uint8).astype(np.int64) << 32
         own = np.frombuffer(o, np.uint16 if len(o) == 2 * len(p) else np.uint32)
         cids.append(np.frombuffer(classes, np.int64)[own])
         prints.append(p)
@@ -245,49 +247,35 @@ def _grouped(held: list[tuple]) -> pa.RecordBatch:
 
 def _whole_sets(batches):
     for batch in batches:
-        for part in blocks(batch, "text"):
+        for part in blocks(batch, "text", PACKED_BYTES):
             value, first = shingle_sets(*bytes_of(unpack(part.column("text"))))
             each = [value[a:b] for a, b in zip(first[:-1], first[1:])]
-            yield pa.RecordBatch.from_arrays(
-                [part.column("cid"), pa.array(np.diff(first)), pa.array([parity_sketch(v).tobytes() for v in each], pa.binary()), pa.array([v.tobytes() for v in each], pa.binary())], ["cid", "n", "sketch", "elements"]
-            )
-
-
-def _hamming(x: bytes, y: bytes) -> int:
-    a, b = np.frombuffer(x, np.uint64)[None], np.frombuffer(y, np.uint64)[None]
-    w = min(a.shape[1], b.shape[1])
-    return int(np.bitwise_count(narrowed(a, w) ^ narrowed(b, w)).sum())
-
-
-def _near(batches):
-    """Pairs whose sizes and sketches leave a link possible."""
-    for batch in batches:
-        stay = [k for k, (m, n, s, t) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("xn", "yn", "xs", "ys")))) if 3 * max(m, n) <= 4 * min(m, n) and _hamming(s, t) <= (m + n) // 7]
-        yield batch.select(["x", "y"]).take(pa.array(stay, pa.int64()))
-
-
-def _linked(batches):
-    for batch in batches:
-        stay = []
-        for k, (x, y) in enumerate(zip(batch.column("xe"), batch.column("ye"))):
-            a, b = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            both = np.concatenate([a, b])
-            both.sort()
-            common = int((both[1:] == both[:-1]).sum())
-            if 100 * common >= 75 * (len(both) - common):
-                stay.append(k)
-        yield batch.select(["x", "y"]).take(pa.array(stay, pa.int64()))
+            yield pa.RecordBatch.from_arrays([part.column("cid"), pa.array(np.diff(first)), pa.array([parity_sketch(v).tobytes() for v in each], pa.binary()), lists([v.view(np.int64) for v in each])], ["cid", "n", "sketch", "elements"])
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of the pairs (x, y) that link: by sketches first, then by whole sets."""
-    slim = sets.select("cid", "n", "sketch")
-    near = pairs.join(slim.select(F.col("cid").alias("x"), F.col("n").alias("xn"), F.col("sketch").alias("xs")), "x")
-    near = near.join(slim.select(F.col("cid").alias("y"), F.col("n").alias("yn"), F.col("sketch").alias("ys")), "y")
-    near = near.mapInArrow(_near, "x long, y long")
-    full = near.join(sets.select(F.col("cid").alias("y"), F.col("elements").alias("ye")), "y")
-    full = full.join(sets.select(F.col("cid").alias("x"), F.col("elements").alias("xe")), "x")
-    return full.mapInArrow(_linked, "x long, y long")
+    """Those of the pairs (x, y) that link, by their whole sets."""
+    slim = sets.select("cid", "n", "elements")
+    full = pairs.join(slim.toDF("y", "yn", "ye"), "y").filter("yn > 0").join(slim.toDF("x", "xn", "xe"), "x")
+    full = full.filter(3 * F.greatest("xn", "yn") <= 4 * F.least("xn", "yn"))
+    common = F.size(F.array_intersect("xe", "ye"))
+    return full.filter(100 * common >= 75 * (F.col("xn") + F.col("yn") - common)).select("x", "y")
+
+
+def hub_pairs(groups: DataFrame, roots: DataFrame | None, turn: int) -> DataFrame:
+    """One pair for each class that shares an open group with a class of another component: with that group's hub.
+
+    The hub of a group is one of its classes, another in each turn; of several hubs a class takes one.
+    """
+    members = groups.select("gid", F.explode("members").alias("cid"))
+    if roots is not None:
+        members = members.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    else:
+        members = members.withColumn("root", F.col("cid"))
+    order = F.xxhash64("cid", F.lit(turn))
+    hubs = members.groupBy("gid").agg(F.min_by("cid", order).alias("hub"), F.min_by("root", order).alias("hub_root"), F.min("root").alias("r"), F.max("root").alias("s")).filter("r != s")
+    met = members.join(hubs.select("gid", "hub", "hub_root"), "gid").filter("root != hub_root")
+    return met.groupBy("cid").agg(F.min_by("hub", F.xxhash64("hub", F.lit(turn))).alias("hub")).select(F.least("cid", "hub").alias("x"), F.greatest("cid", "hub").alias("y")).distinct()
 
 
 def _cross(batches):
@@ -350,10 +338,12 @@ def link_documents(docs: DataFrame) -> DataFrame:
     needed = groups.select(F.explode("members").alias("cid")).distinct()
     wanted = needed.join(classes, "cid").select("cid", F.col("lead.rid").alias(RID))
     chosen = pack(texts.select(RID, F.col("text").cast("binary").alias("text")))
-    elements = keep(chosen.join(wanted, RID).mapInArrow(_whole_sets, "cid long, n long, sketch binary, elements binary"), "elements")
-    stars = groups.select(F.array_min("members").alias("x"), F.explode("members").alias("y")).filter("x != y").distinct()
-    first = keep(verified(stars, elements), "star-links")
-    roots = keep(components(first), "roots")
+    elements = keep(chosen.join(wanted, RID).mapInArrow(_whole_sets, "cid long, n long, sketch binary, elements array<long>"), "elements")
+    links, roots = None, None
+    for turn in range(TURNS):
+        found = keep(verified(hub_pairs(groups, roots, turn), elements), "hub-links")
+        links = found if links is None else links.union(found)
+        roots = keep(components(links), "roots")
     members = groups.select("gid", F.explode("members").alias("cid")).join(roots.withColumnRenamed("node", "cid"), "cid", "left")
     members = members.select("gid", "cid", F.coalesce("root", "cid").alias("root"))
     mixed = members.groupBy("gid").agg(F.min("root").alias("r"), F.max("root").alias("s"), F.count(F.lit(1)).alias("of")).filter("r != s")
@@ -362,7 +352,7 @@ def link_documents(docs: DataFrame) -> DataFrame:
     open_ = open_.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select("gid", "cid", "root", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
     open_ = open_.join(elements.select("cid", "n", "sketch"), "cid")
     cross = open_.repartition("gid", "low", "high").sortWithinPartitions("gid", "low", "high").mapInArrow(_cross, "x long, y long").distinct()
-    links = first.union(keep(verified(cross, elements), "cross-links"))
+    links = links.union(keep(verified(cross, elements), "cross-links"))
     roots = components(links)
     named = classes.join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "lead", F.coalesce("root", "cid").alias("root"))
     heads = named.groupBy("root").agg(F.min("lead").alias("head"))
