@@ -4,8 +4,12 @@ from __future__ import annotations
 
 
 def queries() -> dict:
-    return {}
+    from .plans.queries import queries as own
+
+    return own()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from .plans.oracles import oracle_sql as own
+
+    return own()
