@@ -245,21 +245,34 @@ def _grouped(held: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(gid.view(np.int64)), lists([cids[start[k] : start[k] + size[k]] for k in one])], ["gid", "members"])
 
 
-def _whole_sets(batches):
+def _chosen(batches):
+    """Size and sketch of each class beside its packed text, which is a quarter of its set's size."""
     for batch in batches:
         for part in blocks(batch, "text", PACKED_BYTES):
             value, first = shingle_sets(*bytes_of(unpack(part.column("text"))))
-            each = [value[a:b] for a, b in zip(first[:-1], first[1:])]
-            yield pa.RecordBatch.from_arrays([part.column("cid"), pa.array(np.diff(first)), pa.array([parity_sketch(v).tobytes() for v in each], pa.binary()), lists([v.view(np.int64) for v in each])], ["cid", "n", "sketch", "elements"])
+            sketches = [parity_sketch(value[a:b]).tobytes() for a, b in zip(first[:-1], first[1:])]
+            yield pa.RecordBatch.from_arrays([part.column("cid"), pa.array(np.diff(first)), pa.array(sketches, pa.binary()), part.column("text")], ["cid", "n", "sketch", "text"])
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _linked(batches):
+    for batch in batches:
+        for part in blocks(batch, "ytext", PACKED_BYTES):
+            (x, xf), (y, yf) = (shingle_sets(*bytes_of(unpack(part.column(c)))) for c in ("xtext", "ytext"))
+            stay = []
+            for k in range(part.num_rows):
+                both = np.concatenate([x[xf[k] : xf[k + 1]], y[yf[k] : yf[k + 1]]])
+                both.sort()
+                common = int((both[1:] == both[:-1]).sum())
+                if 100 * common >= 75 * (len(both) - common):
+                    stay.append(k)
+            yield part.select(["x", "y"]).take(pa.array(stay, pa.int64()))
+
+
+def verified(pairs: DataFrame, chosen: DataFrame) -> DataFrame:
     """Those of the pairs (x, y) that link, by their whole sets."""
-    slim = sets.select("cid", "n", "elements")
-    full = pairs.join(slim.toDF("y", "yn", "ye"), "y").filter("yn > 0").join(slim.toDF("x", "xn", "xe"), "x")
-    full = full.filter(3 * F.greatest("xn", "yn") <= 4 * F.least("xn", "yn"))
-    common = F.size(F.array_intersect("xe", "ye"))
-    return full.filter(100 * common >= 75 * (F.col("xn") + F.col("yn") - common)).select("x", "y")
+    slim = chosen.select("cid", "n", "text")
+    full = pairs.join(slim.toDF("y", "yn", "ytext"), "y").join(slim.toDF("x", "xn", "xtext"), "x")
+    return full.filter(3 * F.greatest("xn", "yn") <= 4 * F.least("xn", "yn")).select("x", "y", "xtext", "ytext").mapInArrow(_linked, "x long, y long")
 
 
 def hub_pairs(groups: DataFrame, roots: DataFrame | None, turn: int) -> DataFrame:
@@ -337,11 +350,12 @@ def link_documents(docs: DataFrame) -> DataFrame:
     groups = keep(groups.groupBy("gid").agg(F.any_value("members").alias("members")), "groups")
     needed = groups.select(F.explode("members").alias("cid")).distinct()
     wanted = needed.join(classes, "cid").select("cid", F.col("lead.rid").alias(RID))
-    chosen = pack(texts.select(RID, F.col("text").cast("binary").alias("text")))
-    elements = keep(chosen.join(wanted, RID).mapInArrow(_whole_sets, "cid long, n long, sketch binary, elements array<long>"), "elements")
+    whole = pack(texts.select(RID, F.col("text").cast("binary").alias("text")))
+    chosen = whole.join(wanted, RID).select("cid", "text").mapInArrow(_chosen, "cid long, n long, sketch binary, text binary")
+    chosen = keep(chosen, "chosen")
     links, roots = None, None
     for turn in range(TURNS):
-        found = keep(verified(hub_pairs(groups, roots, turn), elements), "hub-links")
+        found = keep(verified(hub_pairs(groups, roots, turn), chosen), "hub-links")
         links = found if links is None else links.union(found)
         roots = keep(components(links), "roots")
     members = groups.select("gid", F.explode("members").alias("cid")).join(roots.withColumnRenamed("node", "cid"), "cid", "left")
@@ -350,9 +364,9 @@ def link_documents(docs: DataFrame) -> DataFrame:
     open_ = members.join(mixed.select("gid", F.ceil(F.col("of") / GROUP_BLOCK).cast("int").alias("blocks")), "gid")
     open_ = open_.withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
     open_ = open_.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select("gid", "cid", "root", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-    open_ = open_.join(elements.select("cid", "n", "sketch"), "cid")
+    open_ = open_.join(chosen.select("cid", "n", "sketch"), "cid")
     cross = open_.repartition("gid", "low", "high").sortWithinPartitions("gid", "low", "high").mapInArrow(_cross, "x long, y long").distinct()
-    links = links.union(keep(verified(cross, elements), "cross-links"))
+    links = links.union(keep(verified(cross, chosen), "cross-links"))
     roots = components(links)
     named = classes.join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "lead", F.coalesce("root", "cid").alias("root"))
     heads = named.groupBy("root").agg(F.min("lead").alias("head"))
