@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import rules as R
+from ..runtime import let
 from ..sources.tables import month_key
 
 MONEY = "decimal(38,4)"
@@ -85,19 +86,30 @@ def expense_totals_with_overall(df: DataFrame, *keys: str) -> DataFrame:
     return rows.groupingSets([list(keys), list(keys[:-1])], *keys).agg(*total_columns())
 
 
-def percentages() -> dict[str, Column]:
-    """The eight shares that add up to 100: the rest of rounding goes to the largest amount (then name)."""
-    amounts = {c: F.greatest(F.lit(0.0), F.col(TOTALS[c])) for c in R.DISTRIBUTION}
-    total = sum((a for a in amounts.values()), F.lit(0.0))
-    raw = {c: F.bround(F.try_divide(a, total) * 100, 4) for c, a in amounts.items()}
-    delta = F.bround(100 - sum((v for v in raw.values()), F.lit(0.0)), 4)
-    target = F.array_max(F.array(*[F.struct(a.alias("a"), F.lit(f"Expense_Distribution_{c}").alias("c")) for c, a in amounts.items()]))["c"]
-    name = lambda c: f"Expense_Distribution_{c}"
-    return {name(c): F.when(total <= 0, 0.0).when((delta != 0) & (target == name(c)), F.bround(F.greatest(F.lit(0.0), raw[c] + delta), 4)).otherwise(raw[c]) for c in R.DISTRIBUTION}
+def percentages() -> Column:
+    """An array of the eight shares, which add up to 100: the rest of rounding goes to the largest amount (then name)."""
+    amounts = F.array(*[F.struct(F.greatest(F.lit(0.0), F.col(TOTALS[c])).alias("a"), F.lit(f"Expense_Distribution_{c}").alias("c")) for c in R.DISTRIBUTION])
+    add = lambda values: F.aggregate(values, F.lit(0.0), lambda s, v: s + v)
+
+    def shares(amounts: Column) -> Column:
+        total = add(F.transform(amounts, lambda x: x["a"]))
+        raw = let(total, lambda t: F.transform(amounts, lambda x: F.struct(F.when(t <= 0, 0.0).otherwise(F.bround(F.try_divide(x["a"], t) * 100, 4)).alias("v"), x["c"].alias("c"), (t <= 0).alias("none"))))
+        return let(raw, lambda r: fitted(r, F.array_max(amounts)["c"]))
+
+    def fitted(raw: Column, target: Column) -> Column:
+        delta = F.bround(100 - add(F.transform(raw, lambda x: x["v"])), 4)
+        return let(delta, lambda d: F.transform(raw, lambda x: F.when(x["none"], 0.0).when((d != 0) & (x["c"] == target), F.bround(F.greatest(F.lit(0.0), x["v"] + d), 4)).otherwise(x["v"])))
+
+    return let(amounts, shares)
+
+
+def with_shares(totals: DataFrame) -> DataFrame:
+    rows = totals.withColumn("__shares", percentages())
+    return rows.withColumns({f"Expense_Distribution_{c}": F.get("__shares", F.lit(k)) for k, c in enumerate(R.DISTRIBUTION)}).drop("__shares")
 
 
 def distribution_percent(totals: DataFrame, *keys: str) -> DataFrame:
-    return totals.select(*keys, *[c.alias(n) for n, c in percentages().items()])
+    return with_shares(totals).select(*keys, *[f"Expense_Distribution_{c}" for c in R.DISTRIBUTION])
 
 
 def impulse_flags() -> dict[str, Column]:
@@ -109,8 +121,8 @@ def impulse_flags() -> dict[str, Column]:
             has = F.col("electronics_gadgets_total") > 0
             n, spend = F.when(has, F.greatest(n, F.lit(1.0))).otherwise(n), F.when(has, F.greatest(spend, F.col("electronics_gadgets_total"))).otherwise(spend)
         scored.append(F.struct(n.alias("n"), spend.alias("s"), F.lit(-k).alias("k"), F.lit(name).alias("c")))
-    best = F.array_max(F.array(*scored))
-    return {f"Impulse_Buying_Category_{c}": ((best["c"] == c) & ((best["n"] > 0) | (best["s"] > 0))).cast("int") for c in R.IMPULSE_CATEGORIES}
+    winner = let(F.array_max(F.array(*scored)), lambda b: F.when((b["n"] > 0) | (b["s"] > 0), b["c"]).otherwise(""))
+    return {f"Impulse_Buying_Category_{c}": (winner == c).cast("int") for c in R.IMPULSE_CATEGORIES}
 
 
 def frequency_band(ratio: Column) -> Column:
@@ -123,7 +135,7 @@ def behaviour_band(score: Column) -> Column:
 
 def feature_vector(totals: DataFrame, *keys: str) -> DataFrame:
     """keys and the 19 features of the 26 totals; all zero without any spending."""
-    rows = totals.withColumns(percentages())
+    rows = with_shares(totals)
     d = lambda *names: F.bround(sum((F.col(f"Expense_Distribution_{n}") for n in names), F.lit(0.0)), 4)
     known = sum((F.greatest(F.lit(0.0), F.col(t)) for t in TOTALS.values()), F.lit(0.0))
     unknown = F.greatest(F.lit(0.0), F.col("unknown_total"))
@@ -194,7 +206,7 @@ def kpi_block(df: DataFrame, *keys: str) -> DataFrame:
     """Key figures of each group: from the same totals that the features use, and open transfers."""
     open_ = F.col("txn_type").isin("external_transfer", "internal_transfer") & F.col("state").isin("unknown", "candidate")
     totals = spending(df).groupBy(*keys).agg(*total_columns(), F.count_if(open_).alias("unknown_transfer_count"))
-    rows = totals.withColumns(percentages())
+    rows = with_shares(totals)
     return rows.select(
         *keys,
         F.lit(True).alias("save_money_computed"),

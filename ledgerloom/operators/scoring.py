@@ -29,7 +29,7 @@ def one_hot(answer: Column, group: str, options: dict[str, str], optional: bool
 
 def multi_hot(answer: Column, group: str, options: dict[str, str]) -> dict[str, Column]:
     """A 0/1 column for each option of a ``;``-separated choice of one or more."""
-    chosen = F.filter(F.transform(F.split(F.coalesce(answer, F.lit("")), ";"), F.trim), lambda x: x != "")
+    chosen = F.filter(F.transform(F.split(F.coalesce(answer, F.lit("")), ";"), lambda x: F.trim(x)), lambda x: x != "")
     ok = (F.size(chosen) > 0) & (F.size(F.array_except(chosen, F.array(*map(F.lit, options)))) == 0)
     return {f: checked(ok, F.array_contains(chosen, label).cast("double"), f"Select valid options for '{group}'") for label, f in options.items()}
 

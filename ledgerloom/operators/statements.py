@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import rules as R
 from ..functions.text import any_of, contains_any, lines_of, masked
+from ..runtime import let
 from .classify import cascade
 
 EDGE_LINES = 4
@@ -96,6 +97,10 @@ def amount_value(text: Column) -> Column:
 
 def amount_and_direction(text: Column, section: Column) -> Column:
     """A struct of amount and direction; a null amount rejects the entry."""
+    return let(text, lambda t: _amount_and_direction(t, section))
+
+
+def _amount_and_direction(text: Column, section: Column) -> Column:
     first = lambda t: F.nullif(F.regexp_extract(t, f"({R.AMOUNT})", 1), F.lit(""))
     after = lambda words: F.nullif(F.regexp_extract(text, rf"(?iu)\b(?:{words})\b[^\d+-]{{0,12}}({R.AMOUNT})", 1), F.lit(""))
     debit, credit = amount_value(after("DEBIT|DB")), amount_value(after("CREDIT|CR"))
