@@ -12,11 +12,11 @@ empty parts say nothing and are dealt out only by a set of which the parts in us
 any other set meets its partners in a part in use. Part sketches of a block of documents travel packed, one row for
 each bucket.
 
-Verification. Classes that share part sketches form groups. In each of a few turns every class is compared to one
-hub of its groups that is not yet in its component; what links is joined into components. Then, in the groups that still
-hold several components, classes of different ones are compared, in blocks, by size and by the Hamming distance of whole parity sketches (it never
-exceeds the true difference); what that leaves is compared set by set. Pairs inside a component need no look, so
-large groups of copies cost little, and no link between components is lost.
+Verification. Classes that share part sketches form groups. Every class is compared to one hub of its groups, and
+what links is joined into components. Then the groups that still hold several components are joined to clusters, each
+dealt by size bands and pairs of blocks; there, classes of different components are compared by size, by the Hamming
+distance of parity sketches (it never exceeds the true difference), and by what that leaves set by set. Pairs inside a
+component need no look, only spanning links leave a task, and no link between components is lost.
 
 Defined cases: a text without words, or null, has an empty set and is linked with nothing; repeated rows are in one
 class; an empty table gives no rows; long texts are read whole; extra columns pass through ``one_of_each``.
@@ -38,10 +38,10 @@ SHINGLE = 5
 BUCKET_BYTES = 12 << 20
 #: Part sketches of a task that travel together.
 TOGETHER = 1 << 20
-#: Classes of a group that are compared in one task.
-GROUP_BLOCK = 1024
+#: Classes of a cluster in one block.
+GROUP_BLOCK = 512
 #: Turns in which each class is compared to one hub, before all that is left is compared.
-TURNS = 3
+TURNS = 1
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -128,21 +128,12 @@ def part_sketches(value: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.
     return np.concatenate(out), np.concatenate(owner)
 
 
-def parity_sketch(values: np.ndarray) -> np.ndarray:
-    """Bits whose parities tell how many of the set's shingles fall there: 2 to 4 for each shingle, 64 at least."""
-    bits = 1 << max(6, int(band_of(np.array([len(values)]))[0]) + 2)
+def parity_sketch(values: np.ndarray, bits: int) -> np.ndarray:
+    """A row of bits whose parities tell how many of the set's shingles fall there."""
     odd = np.bincount((B.mix(values, 81) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
 
 
-def narrowed(sketches: np.ndarray, words: int) -> np.ndarray:
-    """Sketches (rows) folded to fewer words: still parities, of wider places."""
-    while sketches.shape[1] > words:
-        half = sketches.shape[1] // 2
-        sketches = sketches[:, :half] ^ sketches[:, half:]
-    return sketches
-
-
 SETS = "doc_id long, rid long, n long, a long, cid long"
 
 
@@ -246,12 +237,11 @@ def _grouped(held: list[tuple]) -> pa.RecordBatch:
 
 
 def _chosen(batches):
-    """Size and sketch of each class beside its packed text, which is a quarter of its set's size."""
+    """The size of each class beside its packed text, which is a quarter of its set's size."""
     for batch in batches:
         for part in blocks(batch, "text", PACKED_BYTES):
-            value, first = shingle_sets(*bytes_of(unpack(part.column("text"))))
-            sketches = [parity_sketch(value[a:b]).tobytes() for a, b in zip(first[:-1], first[1:])]
-            yield pa.RecordBatch.from_arrays([part.column("cid"), pa.array(np.diff(first)), pa.array(sketches, pa.binary()), part.column("text")], ["cid", "n", "sketch", "text"])
+            _, first = shingle_sets(*bytes_of(unpack(part.column("text"))))
+            yield pa.RecordBatch.from_arrays([part.column("cid"), pa.array(np.diff(first)), part.column("text")], ["cid", "n", "text"])
 
 
 def _linked(batches):
@@ -291,52 +281,84 @@ def hub_pairs(groups: DataFrame, roots: DataFrame | None, turn: int) -> DataFram
     return met.groupBy("cid").agg(F.min_by("hub", F.xxhash64("hub", F.lit(turn))).alias("hub")).select(F.least("cid", "hub").alias("x"), F.greatest("cid", "hub").alias("y")).distinct()
 
 
-def _cross(batches):
-    """Pairs of different components in a block pair of a group that sizes and sketches leave possible."""
+KEY = ["cand", "config", "low", "high"]
+
+
+def _compared(batches):
+    """Links between components, from each pair of blocks of a cluster; what links is one component from there on."""
     held: list[pa.RecordBatch] = []
     last = None
     for batch in batches:
-        keys = list(zip(*(batch.column(c).to_pylist() for c in ("gid", "low", "high"))))
+        keys = list(zip(*(batch.column(c).to_pylist() for c in KEY)))
         cut = [0, *(k for k in range(1, len(keys)) if keys[k] != keys[k - 1]), len(keys)]
         for a, b in zip(cut[:-1], cut[1:]):
             if a == b:
                 continue
             if keys[a] != last and held:
-                yield from _compared(held)
+                yield from _links_of(held)
                 held = []
             last = keys[a]
             held.append(batch.slice(a, b - a))
     if held:
-        yield from _compared(held)
+        yield from _links_of(held)
 
 
-def _compared(held: list[pa.RecordBatch]):
+def _links_of(held: list[pa.RecordBatch]):
     t = pa.Table.from_batches(held)
-    cid, root, n, block = (t[c].to_numpy() for c in ("cid", "root", "n", "block"))
-    raw = [np.frombuffer(x.as_buffer(), np.uint64) for x in t["sketch"]]
+    cid, label, n, block = (t[c].to_numpy().copy() for c in ("cid", "root", "n", "block"))
+    if len(cid) < 2 or (label == label[0]).all():
+        return
     crossed = t["low"][0].as_py() != t["high"][0].as_py()
-    width = np.array([len(r) for r in raw])
-    by_width = {w: np.flatnonzero(width == w) for w in np.unique(width)}
-    stacked = {w: np.stack([raw[k] for k in at]) for w, at in by_width.items()}
+    sets: list[np.ndarray] = []
+    for batch in held:
+        for part in blocks(batch, "text", PACKED_BYTES):
+            value, first = shingle_sets(*bytes_of(unpack(part.column("text"))))
+            sets += [value[a:b].copy() for a, b in zip(first[:-1], first[1:])]
+    words = max(1, (1 << (int(t["config"][0].as_py()) + 4)) >> 6)
+    sketches = np.stack([parity_sketch(v, 64 * words) for v in sets])
     xs, ys = [], []
-    for w, at in by_width.items():
-        for v, to in by_width.items():
-            if not w <= v <= 2 * w:
+    for i in range(len(cid) - 1):
+        rest = np.arange(i + 1, len(cid))
+        ok = (label[rest] != label[i]) & (3 * np.maximum(n[rest], n[i]) <= 4 * np.minimum(n[rest], n[i]))
+        if crossed:
+            ok &= block[rest] != block[i]
+        rest = rest[ok]
+        if not len(rest):
+            continue
+        far = np.bitwise_count(sketches[rest] ^ sketches[i]).sum(axis=1)
+        for j in rest[far <= (n[rest] + n[i]) // 7]:
+            if label[j] == label[i]:
                 continue
-            far = narrowed(stacked[v], w)
-            for k, i in enumerate(at):
-                ok = (root[to] != root[i]) & (3 * np.maximum(n[to], n[i]) <= 4 * np.minimum(n[to], n[i]))
-                ok &= (block[to] != block[i]) if crossed else (to > i if w == v else True)
-                j = np.flatnonzero(ok)
-                if crossed and w == v:
-                    j = j[to[j] > i]
-                if len(j):
-                    j = j[np.bitwise_count(far[j] ^ stacked[w][k]).sum(axis=1) <= (n[to[j]] + n[i]) // 7]
-                    xs.append(np.full(len(j), cid[i]))
-                    ys.append(cid[to[j]])
+            both = np.concatenate([sets[i], sets[j]])
+            both.sort()
+            common = int((both[1:] == both[:-1]).sum())
+            if 100 * common >= 75 * (len(both) - common):
+                xs.append(min(cid[i], cid[j]))
+                ys.append(max(cid[i], cid[j]))
+                label[label == label[j]] = label[i]
     if xs:
-        x, y = np.concatenate(xs), np.concatenate(ys)
-        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["x", "y"])
+        yield pa.RecordBatch.from_arrays([pa.array(xs, pa.int64()), pa.array(ys, pa.int64())], ["x", "y"])
+
+
+def cross_links(groups: DataFrame, roots: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Links between classes of different components that share a part sketch.
+
+    Groups that still hold several components are joined to clusters where they share a class, so that a pair which
+    shares many parts is compared once; a cluster is dealt by size bands and, in each, by pairs of blocks.
+    """
+    members = groups.select("gid", F.explode("members").alias("cid")).join(roots.withColumnRenamed("node", "cid"), "cid", "left")
+    members = members.select("gid", "cid", F.coalesce("root", "cid").alias("root"))
+    mixed = members.groupBy("gid").agg(F.min("root").alias("r"), F.max("root").alias("s"), F.min("cid").alias("first")).filter("r != s")
+    members = keep(members.join(mixed.select("gid", "first"), "gid").select("cid", "root", "first"), "open")
+    clusters = components(members.select(F.col("first").alias("x"), F.col("cid").alias("y")))
+    rows = members.select("cid", "root").distinct().join(clusters.toDF("cid", "cand"), "cid").join(chosen.select("cid", "n", "text"), "cid")
+    rows = rows.withColumn("band", F.expr("length(bin(n)) - 1"))
+    rows = rows.withColumn("config", F.explode(F.expr("if(band > 0 and 3 * n <= 4 * (shiftleft(1, band) - 1), array(band, band - 1), array(band))")))
+    sizes = rows.groupBy("cand", "config").agg(F.ceil(F.count(F.lit(1)) / GROUP_BLOCK).cast("int").alias("blocks"))
+    rows = rows.join(sizes, ["cand", "config"]).withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    rows = rows.select("cand", "config", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "cid", "root", "n", "block", "text")
+    return rows.repartition(*KEY).sortWithinPartitions(*KEY).mapInArrow(_compared, "x long, y long")
 
 
 def link_documents(docs: DataFrame) -> DataFrame:
@@ -351,22 +373,14 @@ def link_documents(docs: DataFrame) -> DataFrame:
     needed = groups.select(F.explode("members").alias("cid")).distinct()
     wanted = needed.join(classes, "cid").select("cid", F.col("lead.rid").alias(RID))
     whole = pack(texts.select(RID, F.col("text").cast("binary").alias("text")))
-    chosen = whole.join(wanted, RID).select("cid", "text").mapInArrow(_chosen, "cid long, n long, sketch binary, text binary")
+    chosen = whole.join(wanted, RID).select("cid", "text").mapInArrow(_chosen, "cid long, n long, text binary")
     chosen = keep(chosen, "chosen")
     links, roots = None, None
     for turn in range(TURNS):
         found = keep(verified(hub_pairs(groups, roots, turn), chosen), "hub-links")
         links = found if links is None else links.union(found)
         roots = keep(components(links), "roots")
-    members = groups.select("gid", F.explode("members").alias("cid")).join(roots.withColumnRenamed("node", "cid"), "cid", "left")
-    members = members.select("gid", "cid", F.coalesce("root", "cid").alias("root"))
-    mixed = members.groupBy("gid").agg(F.min("root").alias("r"), F.max("root").alias("s"), F.count(F.lit(1)).alias("of")).filter("r != s")
-    open_ = members.join(mixed.select("gid", F.ceil(F.col("of") / GROUP_BLOCK).cast("int").alias("blocks")), "gid")
-    open_ = open_.withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
-    open_ = open_.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select("gid", "cid", "root", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-    open_ = open_.join(chosen.select("cid", "n", "sketch"), "cid")
-    cross = open_.repartition("gid", "low", "high").sortWithinPartitions("gid", "low", "high").mapInArrow(_cross, "x long, y long").distinct()
-    links = links.union(keep(verified(cross, chosen), "cross-links"))
+    links = links.union(keep(cross_links(groups, roots, chosen), "cross-links"))
     roots = components(links)
     named = classes.join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "lead", F.coalesce("root", "cid").alias("root"))
     heads = named.groupBy("root").agg(F.min("lead").alias("head"))
