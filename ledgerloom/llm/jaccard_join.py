@@ -7,9 +7,10 @@ in at most a seventh of the sum of their sizes.
 Candidates. A class takes part in the size band of its own size, and in the one below if a partner can be there.
 In a band every shingle falls in one of P parts, and a part's sketch is the parity of its shingles over a very wide
 row of bits, of which the XOR of one random word for each shingle is the fingerprint. P exceeds the most
-differences, so two sets that link have a part alike. Of those parts some are alike as neither set has shingles there;
-empty parts say nothing and are dealt out only by a set of which the parts in use do not exceed its differences, since
-any other set meets its partners in a part in use. Part sketches of a block of documents travel packed, one row for
+differences, so two sets that link have a part alike. Empty parts, and parts of nothing but very frequent shingles (a
+line or passage that countless documents share), tell nothing. They are dealt out only by a set of which the other parts do
+not exceed its differences, since any other set meets its partners in a part that tells something. Which shingles are
+taken as frequent, from counts over all documents, bears on the work alone, never on the result. Part sketches of a block of documents travel packed, one row for
 each bucket.
 
 Verification. Classes that share part sketches form groups. Every class is compared to one hub of its groups, and
@@ -95,11 +96,17 @@ def parts_of(band: int) -> int:
     return most_differences(2 * low - 1) + 1 + int(0.14 * low + 2 * low**0.5)
 
 
-def part_sketches(value: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit fingerprints of part sketches, with band and part mixed in, and the set of each."""
+def part_sketches(value: np.ndarray, first: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit fingerprints of part sketches, with band and part mixed in, and the set of each.
+
+    A part tells something if it has a shingle that is not frequent. Two sets that link have more parts alike than the
+    parts of either that tell nothing, unless one has too few that do: only such a set deals out all its parts.
+    """
     size = np.diff(first)
     band = band_of(size)
     words, out, owner = B.mix(value, 71), [], []
+    place = np.minimum(np.searchsorted(frequent, value), max(len(frequent) - 1, 0))
+    rare = frequent[place] != value if len(frequent) else np.ones(len(value), bool)
     for b in np.unique(band[size > 0]):
         for config in (b, b - 1):
             if config < 0:
@@ -116,7 +123,7 @@ def part_sketches(value: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.
             cell = own * parts + part
             print_ = np.zeros(len(sets) * parts, np.uint64)
             np.bitwise_xor.at(print_, cell, words[at])
-            used = np.bincount(cell, minlength=len(print_)) > 0
+            used = np.bincount(cell[rare[at]], minlength=len(print_)) > 0
             # As the larger of a pair, a set's partner here is under 2 * low.
             differ = np.where(n < 2 * low, most_differences(n), (n + 2 * low - 1) // 7)
             short = used.reshape(-1, parts).sum(axis=1) <= differ
@@ -134,21 +141,41 @@ def parity_sketch(values: np.ndarray, bits: int) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
 
 
+#: Shingles that a task holds to find frequent ones, the least count of such a one there, and in all.
+HELD, LOCAL, FREQUENT = 1 << 20, 8, 32
+#: Most frequent shingles that go to the tasks (2 MB). Any set of them gives right results.
+MOST_FREQUENT = 1 << 18
+
+#: Rows of documents; and, with no class, counts n of a shingle a.
 SETS = "doc_id long, rid long, n long, a long, cid long"
 
 
+def _counted(held: list[np.ndarray]) -> pa.RecordBatch:
+    values, counts = np.unique(np.concatenate(held), return_counts=True)
+    values, counts = values[counts >= LOCAL], counts[counts >= LOCAL]
+    none = pa.nulls(len(values), pa.int64())
+    return pa.RecordBatch.from_arrays([none, none, pa.array(counts, pa.int64()), pa.array(values.view(np.int64)), none], ["doc_id", "rid", "n", "a", "cid"])
+
+
 def _sets(batches):
+    held: list[np.ndarray] = []
     for batch in batches:
         for part in blocks(batch, "text"):
             value, first = shingle_sets(*bytes_of(part.column("text")))
             a, cid = class_keys(value, first)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column(RID), pa.array(np.diff(first)), pa.array(a.view(np.int64)), pa.array(cid.view(np.int64))], ["doc_id", "rid", "n", "a", "cid"])
+            held.append(value)
+            if sum(map(len, held)) >= HELD:
+                yield _counted(held)
+                held = []
+    if held:
+        yield _counted(held)
 
 
 PACKED = "bucket int, classes binary, prints binary, upper binary, owners binary"
 
 
-def _dealt(buckets: int):
+def _dealt(buckets: int, shared):
     def emit(prints, owners, classes):
         prints, owners, classes = np.concatenate(prints), np.concatenate(owners), np.concatenate(classes)
         bucket = (((prints >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
@@ -174,7 +201,7 @@ def _dealt(buckets: int):
                     continue
                 n = np.diff(first)[one]
                 at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[one], n)
-                p, o = part_sketches(value[at], np.concatenate([[0], np.cumsum(n)]))
+                p, o = part_sketches(value[at], np.concatenate([[0], np.cumsum(n)]), shared.value)
                 prints.append(p)
                 owners.append(o + known)
                 classes.append(cid[one])
@@ -364,10 +391,14 @@ def cross_links(groups: DataFrame, roots: DataFrame, chosen: DataFrame) -> DataF
 def link_documents(docs: DataFrame) -> DataFrame:
     """doc_id, __jj_rid (row key), n_shingles, component_id and leader (the row key of the component's first document)."""
     texts = with_rid(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    sets = keep(texts.mapInArrow(_sets, SETS), "sets")
+    scanned = keep(texts.mapInArrow(_sets, SETS), "sets")
+    sets = scanned.filter("cid is not null")
+    counts = scanned.filter("cid is null").groupBy("a").agg(F.sum("n").alias("n")).filter(F.col("n") >= FREQUENT)
+    often = np.array(sorted(r.a & (1 << 64) - 1 for r in counts.orderBy(F.col("n").desc(), "a").limit(MOST_FREQUENT).collect()), np.uint64)
+    shared = docs.sparkSession.sparkContext.broadcast(often)
     classes = keep(sets.filter("n > 0").groupBy("cid").agg(F.min(F.struct("doc_id", "rid")).alias("lead")), "classes")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    packed = texts.select("text").mapInArrow(_dealt(max(1, -(-total // BUCKET_BYTES))), PACKED)
+    packed = texts.select("text").mapInArrow(_dealt(max(1, -(-total // BUCKET_BYTES)), shared), PACKED)
     groups = packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_groups, GROUPS)
     groups = keep(groups.groupBy("gid").agg(F.any_value("members").alias("members")), "groups")
     needed = groups.select(F.explode("members").alias("cid")).distinct()
