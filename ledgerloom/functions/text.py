@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..rules import LEGAL_SUFFIXES, NOISE_TOKENS, STOPWORDS
 
 #: Breaks of lines as Python's splitlines sees them.
-LINE_BREAK = "\r\n|[\n\r\u000b\u000c\u001c\u001d\u001e\u0085  ]"
+LINE_BREAK = "\r\n|[\n\r\u000b\u000c\u001c\u001d\u001e\u0085\u2028\u2029]"
 
 
 def any_of(words: list[str]) -> str:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .. import rules as R
+from ..functions.text import LINE_BREAK
 from ..operators.expenses import TOTALS
 from ..operators.merchants import LEGAL_NOISE
 from ..operators.transfers import AREAS, TRANSFER_TYPES, normalised, terms_of
@@ -296,7 +297,7 @@ def features(source: str, keys: str) -> str:
 
 CTE["features"] = features("totals", "doc_id, statement_month")
 CTE["pages"] = "SELECT source AS doc_id, doc_id AS page_no, text FROM documents"
-BREAK = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
+BREAK = LINE_BREAK
 CTE["page_lines"] = rf"""
 SELECT doc_id, page_no, unnest(l) AS line, generate_subscripts(l, 1) - 1 AS line_no FROM (
   SELECT doc_id, page_no, list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), {s(BREAK)}), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> '') AS l FROM pages)"""
@@ -338,7 +339,7 @@ def described(text: str, date: str) -> str:
 
 
 def entry_id(number: str, date: str, amount: str, direction: str, text: str, section: str) -> str:
-    return f"'TXN-' || lpad({number}::VARCHAR, greatest(6, length({number}::VARCHAR)), '0') || '-' || left(sha1(concat_ws('|', {number}::VARCHAR, {date}, printf('%.2f', {amount}), {direction}, {text}, {section})), 10)"
+    return f"'TXN-' || lpad({number}::VARCHAR, greatest(6, length({number}::VARCHAR))::INT, '0') || '-' || left(sha1(concat_ws('|', {number}::VARCHAR, {date}, printf('%.2f', {amount}), {direction}, {text}, {section})), 10)"
 
 
 def first_amount(t: str) -> str:
@@ -448,7 +449,7 @@ def oracle_sql() -> dict[str, str]:
     ref = r"nullif(upper(regexp_extract(coalesce(raw_description, ''), '\bREF\s*[:=]?\s*([A-Z0-9-]+)', 1, 'i')), '')"
     desc = r"trim(regexp_replace(upper(coalesce(raw_description, '')), '\s+', ' ', 'g'))"
     metric = lambda c, *names: f"{tr} AND {c} IN ({listed(names)})"
-    top = lambda where, order: f"(SELECT vec_id, string_agg(f || ':' || printf('%.4f', round_even(c, 6)), ',' ORDER BY {order}, i) AS t FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY {order}, i) AS k FROM contributions WHERE {where}) WHERE k <= 5 GROUP BY vec_id)"
+    top = lambda where, order: f"(SELECT vec_id, string_agg(f || ':' || printf('%.6f', round_even(c, 6)), ',' ORDER BY {order}, i) AS t FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY {order}, i) AS k FROM contributions WHERE {where}) WHERE k <= 5 GROUP BY vec_id)"
     code = "lpad(left(nullif(regexp_replace(code, '\\D', '', 'g'), ''), 4), 4, '0')"
     category = f"coalesce({mapped('n', R.CODE_CATEGORY)}, {mapped('left(n, 2)', R.PREFIX_CATEGORY)})"
     ranks = mapped("c", {c: k for k, c in enumerate(R.PRIMARY_ORDER)})
@@ -498,10 +499,10 @@ def oracle_sql() -> dict[str, str]:
         "candidate_text": "SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY entry) AS candidate, text FROM (SELECT conv_id, turn // 2 AS entry, string_agg(coalesce(text, ''), ' ' ORDER BY turn) AS text FROM conversations GROUP BY ALL)",
         "amount_parse": f"SELECT literal, {amount_of('l')} AS amount FROM (SELECT literal, ltrim(literal, '+-') AS l FROM {table_of([(x,) for x in LITERALS], 'literal')})",
         "transaction_id": f"SELECT seq, d AS raw_description, {entry_id('seq', 'booking_date', 'amount', 'direction', 'd', 'source_section')} AS id FROM (SELECT *, {described('whole', 'booking_date')} AS d FROM (SELECT *, booking_date || ' ' || raw_description AS whole FROM ledger))",
-        "registry_tokens": f"SELECT name, array_to_string(list_sort(list_distinct({tokens('n', True)})), '|') AS screened, array_to_string(list_sort(list_distinct({tokens('n', False)})), '|') AS tokens, array_to_string(list_transform(list_sort(list_transform({tokens('n', True)}, lambda t, i: {{b: CASE WHEN left(t, 4) IN ({listed(R.BRAND_PREFIXES)}) THEN 0 ELSE 1 END, l: -length(t), i: i, t: t}}))[1:3], lambda x: x.t), '|') AS important FROM (SELECT name, {registry_name('name')} AS n FROM (SELECT s_name AS name FROM supplier UNION SELECT p_name || ' SRL Romania ' || p_type FROM part))",
+        "registry_tokens": f"SELECT name, array_to_string(list_sort(list_distinct({tokens('n', True)})), '|') AS screened, array_to_string(list_sort(list_distinct({tokens('n', False)})), '|') AS tokens, array_to_string(list_transform(list_sort(list_transform(list_filter(k, lambda t, i: list_position(k, t) = i), lambda t, i: {{b: CASE WHEN left(t, 4) IN ({listed(R.BRAND_PREFIXES)}) THEN 0 ELSE 1 END, l: -length(t), i: i, t: t}}))[1:3], lambda x: x.t), '|') AS important FROM (SELECT *, {tokens('n', True)} AS k FROM (SELECT name, {registry_name('name')} AS n FROM (SELECT s_name AS name FROM supplier UNION SELECT p_name || ' SRL Romania ' || p_type FROM part)))",
         "registry_blocking": f"SELECT query, firm_id, block_score, block_rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY block_score DESC, firm_id) AS block_rank FROM (SELECT query, firm_id, sum(w)::BIGINT AS block_score FROM (SELECT query, firm_id, CASE WHEN a = b THEN 3 ELSE 0 END + CASE WHEN length(a) >= 4 AND length(b) >= 4 AND left(a, 4) = left(b, 4) THEN 1 ELSE 0 END AS w FROM (SELECT query, unnest(list_distinct({tokens(registry_name('query'), True)})) AS a FROM wanted), (SELECT firm_id, unnest(list_distinct({tokens(registry_name('name'), True)})) AS b FROM firm_list)) WHERE w > 0 GROUP BY ALL)) WHERE block_rank <= 20",
         "registry_topk_match": "SELECT query, firm_id, round_even(score, 6) AS score FROM best_firm",
-        "registry_code_join": f"SELECT firm, code, description, coalesce({mapped('code', R.INDUSTRY_OVERRIDES)}, description, {s(R.UNKNOWN_INDUSTRY)}) AS industry FROM (SELECT DISTINCT l_suppkey AS firm, lpad(l_partkey::VARCHAR, greatest(4, length(l_partkey::VARCHAR)), '0') AS code FROM lineitem JOIN supplier ON l_suppkey = s_suppkey) LEFT JOIN (SELECT lpad(p_partkey::VARCHAR, 4, '0') AS class, arg_min(p_name, p_partkey) AS description FROM part GROUP BY 1) ON class = code",
+        "registry_code_join": f"SELECT firm, code, description, coalesce({mapped('code', R.INDUSTRY_OVERRIDES)}, description, {s(R.UNKNOWN_INDUSTRY)}) AS industry FROM (SELECT DISTINCT l_suppkey AS firm, lpad(l_partkey::VARCHAR, greatest(4, length(l_partkey::VARCHAR))::INT, '0') AS code FROM lineitem JOIN supplier ON l_suppkey = s_suppkey) LEFT JOIN (SELECT lpad(p_partkey::VARCHAR, 4, '0') AS class, arg_min(p_name, p_partkey) AS description FROM part GROUP BY 1) ON class = code",
         "registry_resolve": f"SELECT w.query, CASE WHEN b.query IS NOT NULL THEN 'onrc' WHEN x.name IS NOT NULL THEN 'termene' ELSE 'not_found' END AS source, coalesce(f.name, x.name) AS name, coalesce(f.firm_id::VARCHAR, x.cui) AS cui FROM wanted w LEFT JOIN best_firm b ON w.query = b.query LEFT JOIN firm_list f ON b.firm_id = f.firm_id LEFT JOIN (SELECT * FROM (VALUES ('COLD STORES', 'Cold Stores', '77'), ('ECONOMY', 'Economy Trade', '78')) v(query_norm, name, cui)) x ON b.query IS NULL AND {registry_name('w.query')} = x.query_norm",
         "primary_code_category": f"SELECT l_suppkey, arg_min(c, (-k * 1000 + coalesce({ranks}::INT, 999))) FILTER (WHERE c IS NOT NULL) AS primary_category FROM (SELECT l_suppkey, {category} AS c, count(*) AS k FROM (SELECT l_suppkey, {code} AS n FROM (SELECT l_suppkey, (l_partkey * 7 + 1000)::VARCHAR AS code FROM lineitem)) GROUP BY ALL) GROUP BY l_suppkey",
         "code_tables": f"SELECT code, n AS normalised, {category} AS category, coalesce({mapped('n', R.CODE_IMPULSE)}, {mapped('left(n, 2)', R.PREFIX_IMPULSE)}, 'Other') AS impulse, {mapped('n', R.CODE_LIFETIME)} AS lifetime FROM (SELECT code, {code} AS n FROM (SELECT DISTINCT (l_partkey * 7 + 1000)::VARCHAR AS code FROM lineitem))",

@@ -386,7 +386,7 @@ def q_scale_score(spark, d):
 def q_factor_topk(spark, d):
     names = F.array(*[F.lit(f"f{k:02d}") for k in range(64)])
     made = S.factors(F.col("x"), names, WEIGHTS)
-    flat = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["feature"], F.format_string("%.4f", x["contribution"]))), ",")
+    flat = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["feature"], F.format_string("%.6f", x["contribution"]))), ",")
     return model_rows(spark, d).select("vec_id", *[flat(c).alias(n) for n, c in made.items()])
 
 
