@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import functools
+import shutil
 import tempfile
 import uuid
 
@@ -25,8 +28,13 @@ def scratch_dir(spark: SparkSession) -> str:
         return where.rstrip("/")
     if not spark.sparkContext.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return _local_dir()
+
+
+@functools.lru_cache(1)
+def _local_dir() -> str:
     where = tempfile.mkdtemp(prefix="ledgerloom-")
-    spark.conf.set("spark.checkpoint.dir", where)
+    atexit.register(shutil.rmtree, where, ignore_errors=True)
     return where
 
 
