@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..runtime import keep  # noqa: F401
+
 #: Bytes of text that one vectorised step works on; a longer text is a step of its own.
 BLOCK_BYTES = 1 << 19
 #: Rows of an Arrow batch: Spark's own default of 10,000 is far too many for rows that hold whole texts.
@@ -19,26 +18,6 @@ PACKED_BYTES = 1 << 18
 RID = "__ll_rid"
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; only a local master may fall back to a temp folder."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if where:
-        return where.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    where = tempfile.mkdtemp(prefix="ledgerloom-")
-    spark.conf.set("spark.checkpoint.dir", where)
-    return where
-
-
-def keep(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back, which cuts its lineage."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def small_batches(spark: SparkSession) -> None:
     """Lowers the rows of an Arrow batch, unless the session has its own setting."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
