@@ -13,11 +13,11 @@ not exceed its differences, since any other set meets its partners in a part tha
 taken as frequent, from counts over all documents, bears on the work alone, never on the result. Part sketches of a block of documents travel packed, one row for
 each bucket.
 
-Verification. Classes that share part sketches form groups. Every class is compared to one hub of its groups, and
-what links is joined into components. Then the groups that still hold several components are joined to clusters, each
-dealt by size bands and pairs of blocks; there, classes of different components are compared by size, by the Hamming
-distance of parity sketches (it never exceeds the true difference), and by what that leaves set by set. Pairs inside a
-component need no look, only spanning links leave a task, and no link between components is lost.
+Verification. Classes that share part sketches form groups, which are compared in blocks, by sizes and by the Hamming
+distance of parity sketches (it never exceeds the true difference). First each class takes the closest few of each group;
+what links set by set is joined into components. Then all pairs of different components that the sketches leave possible
+are compared set by set. Pairs inside a component need no look, so large groups of copies cost little, and no link
+between components is lost.
 
 Defined cases: a text without words, or null, has an empty set and is linked with nothing; repeated rows are in one
 class; an empty table gives no rows; long texts are read whole; extra columns pass through ``one_of_each``.
@@ -39,10 +39,10 @@ SHINGLE = 5
 BUCKET_BYTES = 12 << 20
 #: Part sketches of a task that travel together.
 TOGETHER = 1 << 20
-#: Classes of a cluster in one block.
-GROUP_BLOCK = 512
-#: Turns in which each class is compared to one hub, before all that is left is compared.
-TURNS = 1
+#: Classes of a group that one task compares to each other.
+GROUP_BLOCK = 1024
+#: Closest classes that each one is compared to at first, and groups that a class names for telling pairs apart.
+NEAREST, NAMED = 2, 8
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -135,12 +135,21 @@ def part_sketches(value: np.ndarray, first: np.ndarray, frequent: np.ndarray) ->
     return np.concatenate(out), np.concatenate(owner)
 
 
-def parity_sketch(values: np.ndarray, bits: int) -> np.ndarray:
-    """A row of bits whose parities tell how many of the set's shingles fall there."""
+def parity_sketch(values: np.ndarray) -> np.ndarray:
+    """Bits whose parities tell how many of the set's shingles fall there: 1 to 2 for each shingle, 64 at least."""
+    bits = 1 << max(6, int(band_of(np.array([len(values)]))[0]) + 1)
     odd = np.bincount((B.mix(values, 81) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
 
 
+def narrowed(sketches: np.ndarray, words: int) -> np.ndarray:
+    """Sketches (rows) folded to fewer words: still parities, of wider places."""
+    while sketches.shape[1] > words:
+        half = sketches.shape[1] // 2
+        sketches = sketches[:, :half] ^ sketches[:, half:]
+    return sketches
+
+
 #: Shingles that a task holds to find frequent ones, the least count of such a one there, and in all.
 HELD, LOCAL, FREQUENT = 1 << 20, 8, 32
 #: Most frequent shingles that go to the tasks (2 MB). Any set of them gives right results.
@@ -264,11 +273,12 @@ def _grouped(held: list[tuple]) -> pa.RecordBatch:
 
 
 def _chosen(batches):
-    """The size of each class beside its packed text, which is a quarter of its set's size."""
+    """Size and sketch of each class beside its packed text, which is a quarter of its set's size."""
     for batch in batches:
         for part in blocks(batch, "text", PACKED_BYTES):
-            _, first = shingle_sets(*bytes_of(unpack(part.column("text"))))
-            yield pa.RecordBatch.from_arrays([part.column("cid"), pa.array(np.diff(first)), part.column("text")], ["cid", "n", "text"])
+            value, first = shingle_sets(*bytes_of(unpack(part.column("text"))))
+            sketches = [parity_sketch(value[a:b]).tobytes() for a, b in zip(first[:-1], first[1:])]
+            yield pa.RecordBatch.from_arrays([part.column("cid"), pa.array(np.diff(first)), pa.array(sketches, pa.binary()), part.column("text")], ["cid", "n", "sketch", "text"])
 
 
 def _linked(batches):
@@ -292,100 +302,92 @@ def verified(pairs: DataFrame, chosen: DataFrame) -> DataFrame:
     return full.filter(3 * F.greatest("xn", "yn") <= 4 * F.least("xn", "yn")).select("x", "y", "xtext", "ytext").mapInArrow(_linked, "x long, y long")
 
 
-def hub_pairs(groups: DataFrame, roots: DataFrame | None, turn: int) -> DataFrame:
-    """One pair for each class that shares an open group with a class of another component: with that group's hub.
+KEY = ["gid", "low", "high"]
+MET = "x long, y long"
 
-    The hub of a group is one of its classes, another in each turn; of several hubs a class takes one.
-    """
-    members = groups.select("gid", F.explode("members").alias("cid"))
-    if roots is not None:
-        members = members.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-    else:
-        members = members.withColumn("root", F.col("cid"))
-    order = F.xxhash64("cid", F.lit(turn))
-    hubs = members.groupBy("gid").agg(F.min_by("cid", order).alias("hub"), F.min_by("root", order).alias("hub_root"), F.min("root").alias("r"), F.max("root").alias("s")).filter("r != s")
-    met = members.join(hubs.select("gid", "hub", "hub_root"), "gid").filter("root != hub_root")
-    return met.groupBy("cid").agg(F.min_by("hub", F.xxhash64("hub", F.lit(turn))).alias("hub")).select(F.least("cid", "hub").alias("x"), F.greatest("cid", "hub").alias("y")).distinct()
 
+def _met(nearest: int | None):
+    """Pairs of different components in a group (a pair of its blocks) whose sizes and sketches leave a link possible.
 
-KEY = ["cand", "config", "low", "high"]
+    With ``nearest``, each class takes that many of the closest only. Without, a pair that shares several of the
+    groups that its classes name is given in the first of them alone.
+    """
 
+    def met(batches):
+        held: list[pa.RecordBatch] = []
+        last = None
+        for batch in batches:
+            keys = list(zip(*(batch.column(c).to_pylist() for c in KEY)))
+            cut = [0, *(k for k in range(1, len(keys)) if keys[k] != keys[k - 1]), len(keys)]
+            for a, b in zip(cut[:-1], cut[1:]):
+                if a == b:
+                    continue
+                if keys[a] != last and held:
+                    yield from _pairs_of(held, nearest)
+                    held = []
+                last = keys[a]
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield from _pairs_of(held, nearest)
 
-def _compared(batches):
-    """Links between components, from each pair of blocks of a cluster; what links is one component from there on."""
-    held: list[pa.RecordBatch] = []
-    last = None
-    for batch in batches:
-        keys = list(zip(*(batch.column(c).to_pylist() for c in KEY)))
-        cut = [0, *(k for k in range(1, len(keys)) if keys[k] != keys[k - 1]), len(keys)]
-        for a, b in zip(cut[:-1], cut[1:]):
-            if a == b:
-                continue
-            if keys[a] != last and held:
-                yield from _links_of(held)
-                held = []
-            last = keys[a]
-            held.append(batch.slice(a, b - a))
-    if held:
-        yield from _links_of(held)
+    return met
 
 
-def _links_of(held: list[pa.RecordBatch]):
+def _pairs_of(held: list[pa.RecordBatch], nearest: int | None):
     t = pa.Table.from_batches(held)
-    cid, label, n, block = (t[c].to_numpy().copy() for c in ("cid", "root", "n", "block"))
-    if len(cid) < 2 or (label == label[0]).all():
+    cid, root, n, block = (t[c].to_numpy() for c in ("cid", "root", "n", "block"))
+    if len(cid) < 2 or (root == root[0]).all():
         return
-    crossed = t["low"][0].as_py() != t["high"][0].as_py()
-    sets: list[np.ndarray] = []
-    for batch in held:
-        for part in blocks(batch, "text", PACKED_BYTES):
-            value, first = shingle_sets(*bytes_of(unpack(part.column("text"))))
-            sets += [value[a:b].copy() for a, b in zip(first[:-1], first[1:])]
-    words = max(1, (1 << (int(t["config"][0].as_py()) + 4)) >> 6)
-    sketches = np.stack([parity_sketch(v, 64 * words) for v in sets])
+    crossed, gid = t["low"][0].as_py() != t["high"][0].as_py(), t["gid"][0].as_py()
+    raw = [np.frombuffer(x.as_buffer(), np.uint64) for x in t["sketch"]]
+    words = min(map(len, raw))
+    sketches = np.stack([narrowed(r[None], words)[0] for r in raw])
+    named = t["named"].to_pylist() if nearest is None else None
     xs, ys = [], []
-    for i in range(len(cid) - 1):
-        rest = np.arange(i + 1, len(cid))
-        ok = (label[rest] != label[i]) & (3 * np.maximum(n[rest], n[i]) <= 4 * np.minimum(n[rest], n[i]))
+    for i in range(len(cid)):
+        rest = np.arange(len(cid)) if nearest else np.arange(i + 1, len(cid))
+        ok = (root[rest] != root[i]) & (3 * np.maximum(n[rest], n[i]) <= 4 * np.minimum(n[rest], n[i]))
         if crossed:
             ok &= block[rest] != block[i]
         rest = rest[ok]
         if not len(rest):
             continue
         far = np.bitwise_count(sketches[rest] ^ sketches[i]).sum(axis=1)
-        for j in rest[far <= (n[rest] + n[i]) // 7]:
-            if label[j] == label[i]:
-                continue
-            both = np.concatenate([sets[i], sets[j]])
-            both.sort()
-            common = int((both[1:] == both[:-1]).sum())
-            if 100 * common >= 75 * (len(both) - common):
-                xs.append(min(cid[i], cid[j]))
-                ys.append(max(cid[i], cid[j]))
-                label[label == label[j]] = label[i]
+        near = far <= (n[rest] + n[i]) // 7
+        rest, far = rest[near], far[near]
+        if nearest:
+            rest = rest[np.argsort(far, kind="stable")[:nearest]]
+        for j in rest:
+            if named is not None:
+                both = set(named[i]).intersection(named[j])
+                if both and min(both) != gid:
+                    continue
+            xs.append(min(cid[i], cid[j]))
+            ys.append(max(cid[i], cid[j]))
     if xs:
-        yield pa.RecordBatch.from_arrays([pa.array(xs, pa.int64()), pa.array(ys, pa.int64())], ["x", "y"])
+        x, y = np.unique(np.stack([np.array(xs, np.int64), np.array(ys, np.int64)]), axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["x", "y"])
 
 
-def cross_links(groups: DataFrame, roots: DataFrame, chosen: DataFrame) -> DataFrame:
-    """Links between classes of different components that share a part sketch.
-
-    Groups that still hold several components are joined to clusters where they share a class, so that a pair which
-    shares many parts is compared once; a cluster is dealt by size bands and, in each, by pairs of blocks.
-    """
-    members = groups.select("gid", F.explode("members").alias("cid")).join(roots.withColumnRenamed("node", "cid"), "cid", "left")
-    members = members.select("gid", "cid", F.coalesce("root", "cid").alias("root"))
-    mixed = members.groupBy("gid").agg(F.min("root").alias("r"), F.max("root").alias("s"), F.min("cid").alias("first")).filter("r != s")
-    members = keep(members.join(mixed.select("gid", "first"), "gid").select("cid", "root", "first"), "open")
-    clusters = components(members.select(F.col("first").alias("x"), F.col("cid").alias("y")))
-    rows = members.select("cid", "root").distinct().join(clusters.toDF("cid", "cand"), "cid").join(chosen.select("cid", "n", "text"), "cid")
-    rows = rows.withColumn("band", F.expr("length(bin(n)) - 1"))
-    rows = rows.withColumn("config", F.explode(F.expr("if(band > 0 and 3 * n <= 4 * (shiftleft(1, band) - 1), array(band, band - 1), array(band))")))
-    sizes = rows.groupBy("cand", "config").agg(F.ceil(F.count(F.lit(1)) / GROUP_BLOCK).cast("int").alias("blocks"))
-    rows = rows.join(sizes, ["cand", "config"]).withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    rows = rows.select("cand", "config", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "cid", "root", "n", "block", "text")
-    return rows.repartition(*KEY).sortWithinPartitions(*KEY).mapInArrow(_compared, "x long, y long")
+def met_pairs(groups: DataFrame, roots: DataFrame | None, chosen: DataFrame, nearest: int | None) -> DataFrame:
+    """Pairs (x, y) of classes that share a group, are not in one component, and may link."""
+    members = groups.select("gid", F.explode("members").alias("cid"))
+    if roots is None:
+        members = members.withColumn("root", F.col("cid"))
+    else:
+        members = members.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    mixed = members.groupBy("gid").agg(F.min("root").alias("r"), F.max("root").alias("s"), F.count(F.lit(1)).alias("of")).filter("r != s")
+    open_ = members.join(mixed.select("gid", F.ceil(F.col("of") / GROUP_BLOCK).cast("int").alias("blocks")), "gid")
+    slim = chosen.select("cid", "n", "sketch")
+    if nearest is None:
+        # As many as a class has part sketches; a few of them tell most pairs' first common group.
+        first = open_.groupBy("cid").agg(F.slice(F.array_sort(F.collect_list("gid")), 1, NAMED).alias("named"))
+        slim = slim.join(first, "cid")
+    else:
+        slim = slim.withColumn("named", F.lit(None).cast("array<long>"))
+    rows = open_.withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    rows = rows.select("gid", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "cid", "root", "block").join(slim, "cid")
+    return rows.repartition(*KEY).sortWithinPartitions(*KEY).mapInArrow(_met(nearest), MET).distinct()
 
 
 def link_documents(docs: DataFrame) -> DataFrame:
@@ -404,14 +406,11 @@ def link_documents(docs: DataFrame) -> DataFrame:
     needed = groups.select(F.explode("members").alias("cid")).distinct()
     wanted = needed.join(classes, "cid").select("cid", F.col("lead.rid").alias(RID))
     whole = pack(texts.select(RID, F.col("text").cast("binary").alias("text")))
-    chosen = whole.join(wanted, RID).select("cid", "text").mapInArrow(_chosen, "cid long, n long, text binary")
+    chosen = whole.join(wanted, RID).select("cid", "text").mapInArrow(_chosen, "cid long, n long, sketch binary, text binary")
     chosen = keep(chosen, "chosen")
-    links, roots = None, None
-    for turn in range(TURNS):
-        found = keep(verified(hub_pairs(groups, roots, turn), chosen), "hub-links")
-        links = found if links is None else links.union(found)
-        roots = keep(components(links), "roots")
-    links = links.union(keep(cross_links(groups, roots, chosen), "cross-links"))
+    links = keep(verified(met_pairs(groups, None, chosen, NEAREST), chosen), "near-links")
+    roots = keep(components(links), "roots")
+    links = links.union(keep(verified(met_pairs(groups, roots, chosen, None), chosen), "cross-links"))
     roots = components(links)
     named = classes.join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "lead", F.coalesce("root", "cid").alias("root"))
     heads = named.groupBy("root").agg(F.min("lead").alias("head"))
