@@ -14,7 +14,7 @@ taken as frequent, from counts over all documents, bears on the work alone, neve
 each bucket.
 
 Verification. Classes that share part sketches form groups, which are compared in blocks, by sizes and by the Hamming
-distance of parity sketches (it never exceeds the true difference). First each class takes the closest few of each group;
+distance of parity sketches (it never exceeds the true difference). First each class takes its closest few;
 what links set by set is joined into components. Then all pairs of different components that the sketches leave possible
 are compared set by set. Pairs inside a component need no look, so large groups of copies cost little, and no link
 between components is lost.
@@ -303,7 +303,7 @@ def verified(pairs: DataFrame, chosen: DataFrame) -> DataFrame:
 
 
 KEY = ["gid", "low", "high"]
-MET = "x long, y long"
+MET = "x long, y long, far int"
 
 
 def _met(nearest: int | None):
@@ -343,7 +343,7 @@ def _pairs_of(held: list[pa.RecordBatch], nearest: int | None):
     words = min(map(len, raw))
     sketches = np.stack([narrowed(r[None], words)[0] for r in raw])
     named = t["named"].to_pylist() if nearest is None else None
-    xs, ys = [], []
+    xs, ys, fs = [], [], []
     for i in range(len(cid)):
         rest = np.arange(len(cid)) if nearest else np.arange(i + 1, len(cid))
         ok = (root[rest] != root[i]) & (3 * np.maximum(n[rest], n[i]) <= 4 * np.minimum(n[rest], n[i]))
@@ -356,17 +356,18 @@ def _pairs_of(held: list[pa.RecordBatch], nearest: int | None):
         near = far <= (n[rest] + n[i]) // 7
         rest, far = rest[near], far[near]
         if nearest:
-            rest = rest[np.argsort(far, kind="stable")[:nearest]]
-        for j in rest:
+            first = np.argsort(far, kind="stable")[:nearest]
+            rest, far = rest[first], far[first]
+        for j, f in zip(rest, far):
             if named is not None:
                 both = set(named[i]).intersection(named[j])
                 if both and min(both) != gid:
                     continue
-            xs.append(min(cid[i], cid[j]))
-            ys.append(max(cid[i], cid[j]))
+            xs.append(cid[i])
+            ys.append(cid[j])
+            fs.append(f)
     if xs:
-        x, y = np.unique(np.stack([np.array(xs, np.int64), np.array(ys, np.int64)]), axis=1)
-        yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["x", "y"])
+        yield pa.RecordBatch.from_arrays([pa.array(xs, pa.int64()), pa.array(ys, pa.int64()), pa.array(fs, pa.int32())], ["x", "y", "far"])
 
 
 def met_pairs(groups: DataFrame, roots: DataFrame | None, chosen: DataFrame, nearest: int | None) -> DataFrame:
@@ -387,7 +388,11 @@ def met_pairs(groups: DataFrame, roots: DataFrame | None, chosen: DataFrame, nea
         slim = slim.withColumn("named", F.lit(None).cast("array<long>"))
     rows = open_.withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     rows = rows.select("gid", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "cid", "root", "block").join(slim, "cid")
-    return rows.repartition(*KEY).sortWithinPartitions(*KEY).mapInArrow(_met(nearest), MET).distinct()
+    met = rows.repartition(*KEY).sortWithinPartitions(*KEY).mapInArrow(_met(nearest), MET)
+    if nearest:  # of what a class took in its groups, the closest again
+        closest = F.slice(F.array_sort(F.collect_set(F.struct("far", "y"))), 1, nearest)
+        met = met.groupBy("x").agg(closest.alias("c")).select("x", F.explode("c.y").alias("y"))
+    return met.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
 
 
 def link_documents(docs: DataFrame) -> DataFrame:
