@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from .runtime import blocks, table
 
 #: Pieces (and token pairs) that each worker remembers at most.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 VOCABULARY = "byte_bpe_50k.json"
 #: Fixed value: the pattern that the byte-level pre-tokenizer cuts texts by.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -184,6 +184,9 @@ def _coded(path: str, names: list[str]):
                 ids = [own.encode(t or "") for t in part.column(at).to_pylist()]
                 back = [own.decode(x) for x in ids]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.binary()), pa.array(back, pa.string())], names + [f.name for f in OUTPUT])
+        # A worker goes on to other tasks: it must not hold this one's tables meanwhile.
+        own.pieces.clear()
+        own.pairs.clear()
 
     return coded
 
