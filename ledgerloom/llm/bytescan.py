@@ -6,10 +6,6 @@ import functools
 
 import numpy as np
 
-BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
-
-
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     """A 64-bit finaliser: every input bit reaches every output bit."""
     x = x + np.uint64((0x9E3779B97F4A7C15 * (seed + 1)) & 0xFFFFFFFFFFFFFFFF)
@@ -18,45 +14,89 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@functools.lru_cache(4)
-def powers(n: int, inverse: bool = False) -> np.ndarray:
-    out = np.full(n, INVERSE if inverse else BASE, np.uint64)
-    out[:1] = 1
-    return np.multiply.accumulate(out)
-
-
 @functools.lru_cache(8)
 def byte_values(seed: int = 7) -> np.ndarray:
     return mix(np.arange(256, dtype=np.uint64), seed)
 
 
+PRIME = (1 << 61) - 1
+_P, _LOW30, _LOW31 = np.uint64(PRIME), np.uint64((1 << 30) - 1), np.uint64((1 << 31) - 1)
+_30, _31, _61 = np.uint64(30), np.uint64(31), np.uint64(61)
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """x modulo PRIME."""
+    x = (x >> _61) + (x & _P)
+    return np.where(x >= _P, x - _P, x)
+
+
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo PRIME, of numbers under it: the high halves have 30 bits, the low ones 31."""
+    ah, al, bh, bl = a >> _31, a & _LOW31, b >> _31, b & _LOW31
+    middle = ah * bl + al * bh
+    return _reduced(np.uint64(2) * ah * bh + (middle >> _30) + ((middle & _LOW30) << _31) + al * bl)
+
+
+@functools.lru_cache(8)
+def base_of(seed: int) -> int:
+    return int(mix(np.array([seed], np.uint64), 40)[0]) % (PRIME - 1000) + 500
+
+
+@functools.lru_cache(4)
+def powers(n: int, base: int) -> np.ndarray:
+    """base ** k modulo PRIME for k under n, a power of two."""
+    out, width = np.ones(n, np.uint64), 1
+    while width < n:
+        out[width : 2 * width] = times(out[:width], np.uint64(pow(base, width, PRIME)))
+        width *= 2
+    return out
+
+
+@functools.lru_cache(4)
+def halves(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
+    whole = powers(n, base)
+    return whole >> _31, whole & _LOW31
+
+
 def _room(n: int) -> int:
     return 1 << max(20, int(n).bit_length())
 
 
 class SpanHash:
-    """64-bit hashes of any spans of a buffer, from one prefix sum; equal bytes have equal hashes."""
+    """Hashes of any spans of a buffer, from one prefix sum; equal bytes have equal hashes.
+
+    A span is a polynomial of its bytes modulo the prime 2^61 - 1, taken at a base drawn by ``seed``: two spans of n bytes
+    agree for n of the 2^61 bases at most, and hashes of two seeds are taken at two bases.
+    """
+
+    #: Bytes that are summed at once; 9 bits of a byte, 31 of half a power and this many never overflow.
+    STEP = 1 << 15
 
-    def __init__(self, values: np.ndarray):
-        """values: one uint64 for each element."""
-        n = len(values)
-        self.inverse = powers(_room(n), True)
+    def __init__(self, data: np.ndarray, seed: int = 7):
+        n, base = len(data), base_of(seed)
+        self.inverse = powers(_room(n), pow(base, -1, PRIME))
+        high, low = halves(_room(n), base)
         self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(values * powers(_room(n))[:n], out=self.sums[1:])
+        for at in range(0, n, self.STEP):
+            value = data[at : at + self.STEP].astype(np.uint64) + np.uint64(1)
+            upper, lower = np.cumsum(value * high[at : at + len(value)]), np.cumsum(value * low[at : at + len(value)])
+            lower += (upper >> _30) + self.sums[at]
+            lower += (upper & _LOW30) << _31
+            self.sums[at + 1 : at + 1 + len(value)] = _reduced(lower)
 
     def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        raw = (self.sums[ends] - self.sums[starts]) * self.inverse[starts]
+        raw = times(_reduced(self.sums[ends] + _P - self.sums[starts]), self.inverse[starts])
         return mix(raw ^ mix((ends - starts).astype(np.uint64), 3))
 
 
 class Words:
     """Words of texts in a buffer: ``start``, ``end``, ``doc`` and ``first`` (words before each text)."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray):
-        """is_word: 256 booleans, which bytes belong to words. A word never crosses texts."""
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray, by_place: bool = False):
+        """is_word: 256 booleans, which bytes belong to words; or ``by_place`` one for each place. A word never crosses texts."""
         n = len(data)
         inside = np.zeros(n + 2, bool)
-        inside[1:-1] = is_word[data]
+        inside[1:-1] = is_word if by_place else is_word[data]
         edge = np.zeros(n + 1, bool)
         edge[offsets] = True
         self.start = np.flatnonzero(inside[1:] & (~inside[:-1] | edge))
@@ -92,16 +132,16 @@ def window_starts(first: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def gram_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
-    """The hash of each run of ``size`` consecutive word hashes, as far as there are so many."""
+def gram_hashes(hashes: np.ndarray, size: int, seed: int = 11) -> np.ndarray:
+    """The hash of each run of ``size`` consecutive word hashes, as far as there are so many: each place has its own factor."""
     n = len(hashes) - size + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    out = hashes[:n].copy()
+    factors = mix(np.arange(size, dtype=np.uint64), seed + 90) | np.uint64(1)
+    out = hashes[:n] * factors[0]
     for k in range(1, size):
-        out *= BASE
-        out += hashes[k : k + n]
-    return mix(out, 11)
+        out += hashes[k : k + n] * factors[k]
+    return mix(out, seed)
 
 
 def sliding_min(x: np.ndarray, size: int) -> np.ndarray:
@@ -117,8 +157,8 @@ def sliding_min(x: np.ndarray, size: int) -> np.ndarray:
 
 
 def rolling(data: np.ndarray, size: int) -> np.ndarray:
-    """Hashes of all substrings of ``size`` bytes, a power of two, by doubling."""
-    h, width, base = byte_values()[data], 1, int(BASE)
+    """Hashes of all substrings of ``size`` bytes, a power of two, by doubling. They choose places; nothing is told apart by them."""
+    h, width, base = byte_values()[data], 1, 0x9E3779B97F4A7C15
     while width < size:
         h = h[: max(len(h) - width, 0)] * np.uint64(base) + h[width:]
         base = base * base & 0xFFFFFFFFFFFFFFFF

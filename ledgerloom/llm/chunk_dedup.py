@@ -73,7 +73,7 @@ def _units(batches):
             starts = np.concatenate([[0], ends[:-1]])[: len(ends)]
             fits = ends - starts >= LEAST
             starts, ends, doc = starts[fits], ends[fits], doc[fits]
-            a, b = (B.SpanHash(B.byte_values(seed)[data])(starts, ends) for seed in (7, 8))
+            a, b = (B.SpanHash(data, seed)(starts, ends) for seed in (7, 8))
             pick = pa.array(doc)
             spans = [pa.array((x - offsets[doc]).astype(np.int32)) for x in (starts, ends)]
             yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), part.column("doc_id").take(pick), part.column(RID).take(pick), *spans], ["a", "b", "doc_id", "rid", "start", "stop"])

@@ -49,7 +49,7 @@ class TestSide:
         lengths = np.array([len((t or "").encode()) + 1 for _, t in items] or [1])
         offsets = np.minimum(np.concatenate([[0], np.cumsum(lengths)]), len(low))
         words = B.Words(low, offsets, B.ALNUM)
-        hashes = B.SpanHash(B.byte_values()[low])(words.start, words.end)
+        hashes = B.SpanHash(low)(words.start, words.end)
         self.vocabulary, ids = np.unique(hashes, return_inverse=True)
         self.ids = np.concatenate([ids + 1, np.zeros(1, np.int64)]).astype(np.int64)
         self.known = np.array([i is not None for i, _ in items], bool)
@@ -101,7 +101,7 @@ def shard_hits(data: np.ndarray, offsets: np.ndarray, side: TestSide):
     empty = (n_words, none, none, none, np.zeros(docs, np.int64))
     if not len(words) or not len(side.vocabulary):
         return empty
-    hashes = B.SpanHash(B.byte_values()[low])(words.start, words.end)
+    hashes = B.SpanHash(low)(words.start, words.end)
     ids = np.searchsorted(side.vocabulary, hashes)
     ids[ids == len(side.vocabulary)] = 0
     inside = side.vocabulary[ids] == hashes

@@ -49,7 +49,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) ->
     """Sorted distinct shingle hashes of each text, end to end, and where each text's start."""
     low = B.LOWER[data]
     words = B.Words(low, offsets, B.SPACED)
-    hashes = B.SpanHash(B.byte_values()[low])(words.start, words.end)
+    hashes = B.SpanHash(low)(words.start, words.end)
     counts = np.diff(words.first)
     grams = B.gram_hashes(hashes, size)
     at = np.flatnonzero(B.window_starts(words.first, size)[: len(grams)])
@@ -156,14 +156,14 @@ HELD, LOCAL, FREQUENT = 1 << 20, 8, 32
 MOST_FREQUENT = 1 << 18
 
 #: Rows of documents; and, with no class, counts n of a shingle a.
-SETS = "doc_id long, rid long, n long, a long, cid long"
+SETS = "doc_id long, rid binary, n long, a long, cid long"
 
 
 def _counted(held: list[np.ndarray]) -> pa.RecordBatch:
     values, counts = np.unique(np.concatenate(held), return_counts=True)
     values, counts = values[counts >= LOCAL], counts[counts >= LOCAL]
     none = pa.nulls(len(values), pa.int64())
-    return pa.RecordBatch.from_arrays([none, none, pa.array(counts, pa.int64()), pa.array(values.view(np.int64)), none], ["doc_id", "rid", "n", "a", "cid"])
+    return pa.RecordBatch.from_arrays([none, pa.nulls(len(values), pa.binary()), pa.array(counts, pa.int64()), pa.array(values.view(np.int64)), none], ["doc_id", "rid", "n", "a", "cid"])
 
 
 def _sets(batches):

@@ -28,7 +28,7 @@ WINDOW = 3
 def line_windows(data: np.ndarray, offsets: np.ndarray, size: int = WINDOW):
     """Text, first line and the two halves of the digest of each window that has a word."""
     starts, ends, doc, first = B.line_spans(data, offsets)
-    halves = [B.gram_hashes(B.SpanHash(B.byte_values(seed)[data])(starts, ends), size) for seed in (7, 8)]
+    halves = [B.gram_hashes(B.SpanHash(data, seed)(starts, ends), size, seed) for seed in (7, 8)]
     at = np.flatnonzero(B.window_starts(first, size)[: len(halves[0])])
     total = np.concatenate([[0], np.cumsum(B.SPACED[data])])
     at = at[total[ends[at + size - 1]] > total[starts[at]]] if len(at) else at

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .runtime import keep
 
 #: What units need: a digest in two halves, the document's id and row key, and where the unit starts and stops.
-UNITS = "a long, b long, doc_id long, rid long, start int, stop int"
+UNITS = "a long, b long, doc_id long, rid binary, start int, stop int"
 
 
 def later_spans(units: DataFrame, name: str) -> DataFrame:

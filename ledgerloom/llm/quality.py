@@ -90,7 +90,7 @@ def repeated_lines(data: np.ndarray, offsets: np.ndarray, filled: np.ndarray, ha
 def measure(data: np.ndarray, offsets: np.ndarray) -> list[pa.Array]:
     filled = B.SPACED[data]
     words = B.Words(data, offsets, B.SPACED)
-    hashed = B.SpanHash(B.byte_values()[data])
+    hashed = B.SpanHash(data)
     chars = _sums(filled & ((data & 0xC0) != 0x80), offsets)
     lines, dup_lines = repeated_lines(data, offsets, filled, hashed)
     names = hashed(words.start, words.end)

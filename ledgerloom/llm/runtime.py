@@ -31,9 +31,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def with_rid(docs: DataFrame) -> DataFrame:
-    """Adds a row key from doc_id and text: repeated rows share it, equal ids with other texts do not."""
+    """Adds a row key from doc_id and text: repeated rows share it, equal ids with other texts do not.
+
+    It is a digest of 128 bits, so that no two of 10^11 documents are ever taken for one.
+    """
     small_batches(docs.sparkSession)
-    return docs.withColumn(RID, F.xxhash64(F.col("doc_id"), F.col("text")))
+    own = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.when(F.col("text").isNull(), "n").otherwise(":"), F.coalesce(F.col("text").cast("string"), F.lit("")))
+    return docs.withColumn(RID, F.unhex(F.md5(own.cast("binary"))))
+
+
+def shielded(docs: DataFrame, *used: str) -> tuple[DataFrame, list[str]]:
+    """docs with all columns but the ``used`` ones renamed, so that none can clash with an operator's own; and their names.
+
+    ``result.toDF(*docs.columns)`` gives them their names back.
+    """
+    names = [n if n in used else f"__own_{k}" for k, n in enumerate(docs.columns)]
+    return docs.toDF(*names), names
 
 
 def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -33,7 +33,7 @@ HOT = 512
 #: Bytes of text from which a shard is sorted; one key's pieces stay together.
 SHARD_BYTES = 1 << 19
 
-RUNS = "key long, digest long, rid long, first int, count int, again boolean"
+RUNS = "key long, digest long, rid binary, first int, count int, again boolean"
 
 
 def _runs(data: np.ndarray, offsets: np.ndarray, size: int, minima: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -65,11 +65,7 @@ def _runs(data: np.ndarray, offsets: np.ndarray, size: int, minima: np.ndarray)
 def _scan(size: int):
     def scan(batches):
         for batch in batches:
-            rids = np.asarray(batch.column(0))
-            at = 0
             for part in blocks(batch, "text"):
-                own = rids[at : at + part.num_rows]
-                at += part.num_rows
                 data, offsets = bytes_of(part.column(1))
                 if len(data) < size:
                     continue
@@ -79,7 +75,7 @@ def _scan(size: int):
                 if not len(first):
                     continue
                 key = minima[first]
-                digest = B.SpanHash(B.byte_values()[data])(first, first + count + size - 1)
+                digest = B.SpanHash(data)(first, first + count + size - 1)
                 # Places of the key inside each piece: two or more, and the piece may repeat itself.
                 names, own_name = np.unique(key, return_inverse=True)
                 place = np.searchsorted(names, hashes)
@@ -89,7 +85,7 @@ def _scan(size: int):
                 low = own_name * np.int64(len(hashes)) + first
                 inside = np.searchsorted(pairs, low + count + size - ANCHOR) - np.searchsorted(pairs, low)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key.view(np.int64)), pa.array(digest.view(np.int64)), pa.array(own[doc]), pa.array((first - offsets[doc]).astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(inside > 1)],
+                    [pa.array(key.view(np.int64)), pa.array(digest.view(np.int64)), part.column(0).take(pa.array(doc)), pa.array((first - offsets[doc]).astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(inside > 1)],
                     ["key", "digest", "rid", "first", "count", "again"],
                 )
 
