@@ -1,15 +1,19 @@
 """Op 2: benchmark decontamination by suffix arrays over the words of the training texts.
 
-The training side is cut into shards (blocks of whole texts). A shard keeps only runs of words that the
-benchmark has, sorts their suffixes into a suffix array, and every benchmark suffix is searched in it by
-binary search, word by word, until it ends or no training suffix goes on with it: that gives its longest
-verbatim match and all places of its window. There is no shuffle; the benchmark goes out in blocks of at
-most ``BLOCK`` bytes, one pass over the training texts for each.
+The training side is cut into shards (blocks of whole texts, ``SHARD`` bytes). A shard keeps only runs of words that the
+benchmark has, sorts their suffixes into a suffix array, and every benchmark suffix that can start a window and whose
+first two words stand side by side in the shard is searched in it by binary search, word by word, until it ends or no training suffix goes
+on with it: that gives its longest verbatim match and all places of its window.
+
+The benchmark goes out in blocks of about ``BLOCK`` bytes, one pass over the training texts for each. One block, the usual
+case, needs no shuffle. Several are taken one after the other: each is collected, sent out, its hits are written, and it is
+given back before the next, so that the driver and the executors never hold more than one.
 
 A window is ``size`` consecutive words of an item; an item of fewer words is one window. Defined cases: a null
 text has no words; an item without words has no window; repeated items count once; a null item_id marks words
-but is not listed; an empty benchmark leaves all documents clean; repeated rows are judged alike; extra
-columns pass through ``decontaminate`` untouched.
+but is not listed; item_ids of any type are told as strings; an empty benchmark leaves all documents clean; repeated rows
+are judged alike; long texts are a shard of their own; extra columns, of any name, pass through ``decontaminate``
+untouched, and those named as HITS are replaced by ``benchmark_hits``.
 """
 
 from __future__ import annotations
@@ -24,18 +28,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import bytescan as B
-from .runtime import blocks, bytes_of, lists, table
+from .runtime import RID, blocks, bytes_of, keep, lists, shielded, small_batches, table, with_rid
 from .suffix import suffix_array
 
 WINDOW = 10
 #: Bytes of benchmark text that go to the executors at once.
 BLOCK = 32 << 20
+#: Bytes of training text in a shard.
+SHARD = 1 << 21
 
 HITS = [
     T.StructField("__hit_words", T.LongType()),
     T.StructField("__hit_starts", T.ArrayType(T.LongType())),
     T.StructField("__hit_ends", T.ArrayType(T.LongType())),
-    T.StructField("__hit_items", T.ArrayType(T.LongType())),
+    T.StructField("__hit_items", T.ArrayType(T.StringType())),
     T.StructField("__hit_longest", T.LongType()),
 ]
 
@@ -53,7 +59,11 @@ class TestSide:
         self.vocabulary, ids = np.unique(hashes, return_inverse=True)
         self.ids = np.concatenate([ids + 1, np.zeros(1, np.int64)]).astype(np.int64)
         self.known = np.array([i is not None for i, _ in items], bool)
-        self.item = np.array([-1 if i is None else i for i, _ in items], np.int64)
+        # Numbers of items, and their names, as which they are told.
+        names = sorted({str(i) for i, _ in items if i is not None})
+        number = {n: k for k, n in enumerate(names)}
+        self.names = np.array(names or [""], object)
+        self.item = np.array([-1 if i is None else number[str(i)] for i, _ in items], np.int64)
         self.owner = words.doc
         left = words.first[words.doc + 1] - np.arange(len(words))
         whole = np.diff(words.first)[words.doc]
@@ -61,14 +71,30 @@ class TestSide:
         self.need = np.where(left >= size, size, np.where(left == whole, left, np.iinfo(np.int64).max))
         self.left = left
         self.least = int(self.need.min()) if len(left) else 0
+        # Suffixes that can start a window, by their first two words (the second is 0 where there is but one).
+        able = np.flatnonzero(self.need < np.iinfo(np.int64).max)
+        first = self._pairs(self.ids[able], np.where(self.need[able] > 1, self.ids[able + 1], 0))
+        order = np.argsort(first, kind="stable")
+        self.able, self.first = able[order], first[order]
+
+    def _pairs(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        return one * np.int64(len(self.vocabulary) + 1) + two
+
+    def starting(self, seq: np.ndarray) -> np.ndarray:
+        """The suffixes that can start a window and whose first two words (one, if that is a window) stand in ``seq``."""
+        there = np.unique(np.concatenate([self._pairs(seq[:-1], seq[1:]), self._pairs(seq, 0)]))
+        at = np.searchsorted(there, self.first)
+        at[at == len(there)] = 0
+        return self.able[there[at] == self.first]
 
     def search(self, seq: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each suffix its longest match, and the range of the suffix array where its window stands."""
         n = len(self.left)
-        lo, hi = np.zeros(n, np.int64), np.full(n, len(order), np.int64)
+        lo, hi = np.zeros(n, np.int64), np.zeros(n, np.int64)
         at_lo, at_hi, longest = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
         padded = np.concatenate([seq, np.zeros(1, seq.dtype)])
-        active, depth = np.arange(n), 0
+        active, depth = self.starting(seq), 0
+        hi[active] = len(order)
         while len(active):
             want = self.ids[active + depth]
             bounds = []
@@ -150,7 +176,7 @@ def shard_hits(data: np.ndarray, offsets: np.ndarray, side: TestSide):
     n = high_ - low_
     k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low_, n)
     named = np.unique(np.stack([np.repeat(pairs[1], n), side.item[owners[1][k]]]), axis=1)
-    items = np.split(named[1], np.searchsorted(named[0], np.arange(1, docs)))
+    items = np.split(side.names[named[1]], np.searchsorted(named[0], np.arange(1, docs)))
     return n_words, starts, ends, items, longest_of
 
 
@@ -158,46 +184,54 @@ def _pass(shared, names: list[str]):
     def scan(batches):
         side = shared.value
         for batch in batches:
-            own = batch.select(names)
-            at = batch.schema.get_field_index("text")
-            for part in blocks(batch, "text"):
+            at = names.index("text")
+            for part in blocks(batch, "text", SHARD):
                 n_words, starts, ends, items, longest = shard_hits(*bytes_of(part.column(at)), side)
-                found = [pa.array(n_words, pa.int64()), lists(starts), lists(ends), lists(items), pa.array(longest, pa.int64())]
-                if "__hit_words" in batch.schema.names:
-                    old = [part.column(f.name) for f in HITS]
-                    found = [found[0]] + [_joined(a, b) for a, b in zip(old[1:4], found[1:4])] + [pa.array(np.maximum(np.asarray(old[4]), longest), pa.int64())]
-                yield pa.RecordBatch.from_arrays([part.column(own.schema.get_field_index(n)) if n in names else None for n in names] + found, names + [f.name for f in HITS])
+                found = [pa.array(n_words, pa.int64()), lists(starts), lists(ends), lists(items, pa.string()), pa.array(longest, pa.int64())]
+                yield pa.RecordBatch.from_arrays([*part.columns, *found], names + [f.name for f in HITS])
 
     return scan
 
 
-def _joined(a: pa.Array, b: pa.Array) -> pa.Array:
-    return pa.array([(x or []) + (y or []) for x, y in zip(a.to_pylist(), b.to_pylist())], pa.list_(pa.int64()))
-
-
 def benchmark_hits(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, block: int = BLOCK) -> DataFrame:
-    """The columns of docs and those of HITS; docs needs a string column text."""
+    """The columns of docs and those of HITS; docs needs the columns doc_id and text (a string)."""
     spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
+    small_batches(spark)
+    fields = [f.name for f in HITS]
+    docs = docs.drop(*fields)
+    items = benchmark.select("item_id", "text")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-total // block))
-    names = docs.columns
-    out = docs
-    for k in range(n):
-        part = items if n == 1 else items.filter(F.pmod(F.xxhash64("text"), F.lit(n)) == k)
+
+    def scanned(rows: DataFrame, part: DataFrame):
         shared = spark.sparkContext.broadcast(TestSide([tuple(r) for r in part.collect()], size))
-        out = out.mapInArrow(_pass(shared, names), T.StructType(docs.schema.fields + HITS))
-    return out
+        return rows.mapInArrow(_pass(shared, rows.columns), T.StructType(rows.schema.fields + HITS)), shared
+
+    safe, names = shielded(docs, "doc_id", "text")
+    if n == 1:
+        return scanned(safe, items)[0].toDF(*docs.columns, *fields)
+    slim, found = with_rid(docs.select("doc_id", "text")).drop("doc_id"), None
+    for k in range(n):
+        hits, shared = scanned(slim, items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k))
+        hits = hits.drop("text")
+        # Repeated rows have the same hits. The first pass tells the words of all documents.
+        part = keep((hits if k == 0 else hits.filter(F.size("__hit_starts") > 0)).dropDuplicates([RID]), f"hits-{k}")
+        shared.destroy()
+        found = part if found is None else found.unionByName(part)
+    joined = lambda name: F.flatten(F.collect_list(name)).alias(name)
+    found = found.groupBy(RID).agg(F.max("__hit_words").alias("__hit_words"), *map(joined, fields[1:4]), F.max("__hit_longest").alias("__hit_longest"))
+    return with_rid(safe).join(found, RID).select(*names, *fields).toDF(*docs.columns, *fields)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
     """docs without those that hold a window of the benchmark."""
-    return benchmark_hits(docs, benchmark, size).filter(F.size("__hit_starts") == 0).select(docs.columns)
+    safe, names = shielded(docs, "doc_id", "text")
+    return benchmark_hits(safe, benchmark, size).filter(F.size("__hit_starts") == 0).select(names).toDF(*docs.columns)
 
 
-def report(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
+def report(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, block: int = BLOCK) -> DataFrame:
     """Per document n_words, n_hit, n_items, items_sha256, contaminated, and the longest match's words."""
-    hits = benchmark_hits(docs.select("doc_id", "text"), benchmark, size)
+    hits = benchmark_hits(docs.select("doc_id", "text"), benchmark, size, block)
     # Passes over several blocks give spans that may overlap: they are merged over the sorted ends.
     spans = F.expr("array_sort(arrays_zip(__hit_starts, __hit_ends))")
     hit = F.aggregate(
@@ -209,7 +243,7 @@ def report(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFra
         ),
         lambda s: s["n"],
     )
-    items = F.array_sort(F.transform(F.array_distinct("__hit_items"), lambda x: x.cast("string")))
+    items = F.array_sort(F.array_distinct("__hit_items"))
     return hits.select(
         "doc_id",
         F.col("__hit_words").alias("n_words"),
