@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import unicodedata
 
 import numpy as np
 
@@ -115,6 +116,32 @@ def lower_ascii() -> np.ndarray:
 
 
 LOWER = lower_ascii()
+
+
+@functools.lru_cache(1)
+def letter_kinds() -> np.ndarray:
+    """For each code point 1 for a letter, 2 for a mark on one, 0 for all else."""
+    return np.array([{"L": 1, "M": 2}.get(unicodedata.category(chr(c))[0], 0) for c in range(0x110000)], np.uint8)
+
+
+def letters(data: np.ndarray) -> np.ndarray:
+    """The kind, as ``letter_kinds`` has it, of the character that each byte of UTF-8 belongs to."""
+    out = letter_kinds()[:128][np.minimum(data, 127)]
+    lead = np.flatnonzero(data >= 0xC0)
+    if not len(lead):
+        return out
+    first = data[lead].astype(np.int32)
+    size = 2 + (first >= 0xE0) + (first >= 0xF0)
+    code = first & (0xFF >> (size + 1))
+    for k in range(1, 4):
+        on = size > k
+        code[on] = code[on] << 6 | data[lead[on] + k] & 0x3F
+    kind = letter_kinds()[code]
+    out[lead] = kind
+    for k in range(1, 4):
+        on = size > k
+        out[lead[on] + k] = kind[on]
+    return out
 #: Words by white space: all bytes but space and the controls 9 to 13.
 SPACED = np.ones(256, bool)
 SPACED[[32, *range(9, 14)]] = False

@@ -1,6 +1,6 @@
 """Op 5: language ID of spans, by scripts, word scores and Viterbi.
 
-A word is a run of letters. Each language has the frequencies of byte trigrams of its words (with word borders), counted
+A word is a run of letters and of marks on letters (of any script, by code point). Each language has the frequencies of byte trigrams of its words (with word borders), counted
 over all labelled documents of the training folds, and the shares of scripts among its words. A word's script, told by
 the ranges of its bytes, narrows the languages to those that use it; over these the word's score is the sum of its
 trigrams' log-probabilities. The best sequence of languages, with a penalty for each switch, labels the words;
@@ -10,7 +10,7 @@ The Viterbi pass runs over blocks of texts at once: the words of a block are one
 word switches freely, cut in pieces that are advanced side by side from every possible state, then chained.
 
 Defined cases: a null text, or one without letters, is ``und`` with score 0; so is any text if nothing could be
-learned; ties go to the language first in alphabetical order; repeated rows are labelled alike (and counted
+learned (marks alone are no letters); ties go to the language first in alphabetical order; repeated rows are labelled alike (and counted
 twice in training, where they are rows); a null language is not learned from; an empty table gives no rows; long
 texts are read whole; extra columns are not read.
 """
@@ -23,11 +23,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytescan as B
-from .runtime import blocks, bytes_of, table
+from .runtime import BLOCK_BYTES, blocks, bytes_of, keep, table
 
 FOLDS, HELD_OUT = 4, 2
-#: Most languages of a model; its table has GRAMS numbers for each.
-MOST_LANGUAGES = 256
+#: Most languages of a model, which bounds its table (GRAMS numbers of 4 bytes for each): with more, learning stops with an error.
+MOST_LANGUAGES = 512
+#: Languages that a learning task counts for at once; numbers of a table that a labelling step works on.
+COUNTED, ROOM = 32, 1 << 21
 GRAMS = 1 << 16
 SMOOTHING = 0.1
 #: Log-probability that a switch costs.
@@ -38,11 +40,6 @@ SCRIPT_SHARE = 0.01
 PIECE = 256
 NEVER = -1e9
 
-IS_LETTER = np.zeros(256, bool)
-IS_LETTER[65:91] = IS_LETTER[97:123] = True
-IS_LETTER[128:] = True
-
-
 def _scripts() -> np.ndarray:
     """Script of each lead byte: 0 Latin (and all that tells nothing), then Greek to Hangul."""
     out = np.zeros(256, np.uint8)
@@ -82,14 +79,21 @@ def _counts(batches):
     """Rows (lang, key, count) of a task's trigrams (key from 0) and scripts (key from GRAMS)."""
     names: dict[str, int] = {}
     total = np.zeros((0, GRAMS + SCRIPTS), np.int64)
+
+    def told():
+        which, key = np.nonzero(total)
+        langs = list(names)
+        return pa.RecordBatch.from_arrays([pa.array([langs[k] for k in which], pa.string()), pa.array(key.astype(np.int32)), pa.array(total[which, key])], ["lang", "key", "count"])
+
     for batch in batches:
         for part in blocks(batch, "text"):
+            if len(names) > COUNTED:  # what was counted goes out, so that a task holds few languages
+                yield told()
+                names, total = {}, np.zeros((0, GRAMS + SCRIPTS), np.int64)
             own = np.array([names.setdefault(x, len(names)) for x in part.column("lang").to_pylist()])
-            if len(names) > MOST_LANGUAGES:
-                raise ValueError(f"more than {MOST_LANGUAGES} languages")
             total = np.concatenate([total, np.zeros((len(names) - len(total), GRAMS + SCRIPTS), np.int64)])
             data, offsets = bytes_of(part.column("text"))
-            words = B.Words(data, offsets, IS_LETTER)
+            words = B.Words(data, offsets, B.letters(data) > 0, by_place=True)
             grams, first = word_grams(data, words)
             lang = own[words.doc]
             size = words.end - words.start + 1
@@ -97,18 +101,19 @@ def _counts(batches):
             flat += np.bincount(np.repeat(lang, size) * (GRAMS + SCRIPTS) + grams, minlength=len(flat))
             flat += np.bincount(lang * (GRAMS + SCRIPTS) + GRAMS + word_scripts(data, words), minlength=len(flat))
             total = flat.reshape(total.shape)
-    which, key = np.nonzero(total)
-    langs = list(names)
-    yield pa.RecordBatch.from_arrays([pa.array([langs[k] for k in which], pa.string()), pa.array(key.astype(np.int32)), pa.array(total[which, key])], ["lang", "key", "count"])
+    yield told()
 
 
 class Model:
-    def __init__(self, rows: list[tuple[str, int, int]]):
-        self.langs = sorted({r[0] for r in rows})
-        number = {x: k for k, x in enumerate(self.langs)}
+    def __init__(self, rows: pa.Table):
+        """rows: lang, key and count, one row for each lang and key."""
+        self.langs = sorted(rows["lang"].unique().to_pylist())
+        if len(self.langs) > MOST_LANGUAGES:
+            raise ValueError(f"{len(self.langs)} languages; a model has {MOST_LANGUAGES} at most")
+        number = rows["lang"].combine_chunks().dictionary_encode()
         counts = np.zeros((len(self.langs), GRAMS + SCRIPTS))
-        for lang, key, count in rows:
-            counts[number[lang], key] = count
+        place = np.array([self.langs.index(x) for x in number.dictionary.to_pylist()], np.int64)
+        counts[place[np.asarray(number.indices)], rows["key"].to_numpy()] = rows["count"].to_numpy()
         grams, scripts = counts[:, :GRAMS] + SMOOTHING, counts[:, GRAMS:]
         self.table = np.ascontiguousarray(np.log(grams / grams.sum(axis=1, keepdims=True)).T.astype(np.float32)) if self.langs else np.zeros((GRAMS, 0), np.float32)
         share = scripts / np.maximum(1, scripts.sum(axis=1, keepdims=True))
@@ -118,9 +123,14 @@ class Model:
     def word_scores(self, data: np.ndarray, words: B.Words) -> np.ndarray:
         """words x languages."""
         grams, first = word_grams(data, words)
-        if not len(words):
-            return np.zeros((0, len(self.langs)))
-        scores = np.add.reduceat(self.table[grams], first, axis=0).astype(np.float64)
+        states = len(self.langs)
+        scores = np.empty((len(words), states))
+        bounds = np.append(first, len(grams))
+        at = 0
+        while at < len(words):  # some words at once, one at least
+            stop = max(at + 1, int(np.searchsorted(bounds, bounds[at] + ROOM // max(1, states), "right")) - 1)
+            scores[at:stop] = np.add.reduceat(self.table[grams[bounds[at] : bounds[stop]]], first[at:stop] - first[at], axis=0)
+            at = stop
         return np.where(self.allowed[word_scripts(data, words)], scores, NEVER)
 
 
@@ -139,16 +149,20 @@ def best_path(scores: np.ndarray, resets: np.ndarray, switch: float = SWITCH) ->
     pad = pieces * PIECE - n
     e = np.concatenate([scores, np.zeros((pad, states))]).reshape(pieces, PIECE, states)
     free = np.concatenate([np.where(resets, 0.0, switch), np.full(pad, switch)]).reshape(pieces, PIECE)
-    # From every state at a piece's start to every state at its end.
-    v = np.broadcast_to(np.where(np.eye(states, dtype=bool), 0.0, NEVER * 4), (pieces, states, states)).copy()
-    for t in range(PIECE):
-        v, _ = _advance(v, e[:, t, None, :], free[:, t, None, None])
-    begin = np.zeros((pieces, states))
-    for k in range(1, pieces):
-        begin[k] = (begin[k - 1][:, None] + v[k - 1]).max(axis=0)
-        begin[k] -= begin[k].max()
+    # From every state at a piece's start to every state at its end, for some pieces at once.
+    begin = np.zeros((pieces + 1, states))
+    some = max(1, ROOM // states**2)
+    for low in range(0, pieces, some):
+        own = slice(low, min(low + some, pieces))
+        v = np.broadcast_to(np.where(np.eye(states, dtype=bool), 0.0, NEVER * 4), (own.stop - low, states, states)).copy()
+        for t in range(PIECE):
+            v, _ = _advance(v, e[own, t, None, :], free[own, t, None, None])
+        for k in range(low, own.stop):
+            begin[k + 1] = (begin[k][:, None] + v[k - low]).max(axis=0)
+            begin[k + 1] -= begin[k + 1].max()
+    begin = begin[:pieces]
     # Again from the true values, noting where each state came from.
-    back = np.empty((PIECE, pieces, states), np.uint8)
+    back = np.empty((PIECE, pieces, states), np.min_scalar_type(states))
     v = begin
     here = np.arange(states)
     for t in range(PIECE):
@@ -178,20 +192,18 @@ def _labelled(shared):
         model = shared.value
         states = len(model.langs)
         for batch in batches:
-            for part in blocks(batch, "text"):
+            for part in blocks(batch, "text", 16 * BLOCK_BYTES // max(16, states)):
                 data, offsets = bytes_of(part.column("text"))
-                words = B.Words(data, offsets, IS_LETTER)
+                kinds = B.letters(data)
+                words = B.Words(data, offsets, kinds > 0, by_place=True)
                 docs = part.num_rows
                 resets = np.zeros(len(words), bool)
                 resets[words.first[:-1][np.diff(words.first) > 0]] = True
                 label = best_path(model.word_scores(data, words), resets)
                 size = (words.end - words.start).astype(np.float64)
                 mass = np.bincount(words.doc * max(states, 1) + label, size, docs * max(states, 1)).reshape(docs, -1)
-                lettered = np.bincount(words.doc[IS_LETTER[:128][np.minimum(data[words.start], 127)] & (data[words.start] < 128)], minlength=docs) > 0
-                letters = lettered.copy()
-                for k in np.flatnonzero(~lettered & (np.diff(words.first) > 0)):
-                    letters[k] = any(c.isalpha() for c in part.column("text")[k].as_py())
-                known = letters & (states > 0) & (mass.sum(axis=1) > 0)
+                total = np.concatenate([[0], np.cumsum(kinds == 1)])
+                known = (total[offsets[1:]] > total[offsets[:-1]]) & (states > 0)
                 top = mass.argmax(axis=1)
                 share = np.where(known, mass.max(axis=1) / np.maximum(1, mass.sum(axis=1)), 0.0)
                 new = resets | np.concatenate([[True], label[1:] != label[:-1]])[: len(label)]
@@ -218,7 +230,10 @@ def held_out():
 def learn(docs: DataFrame) -> Model:
     """The model of all labelled rows (text, lang); only its table, bounded by MOST_LANGUAGES, reaches the driver."""
     counts = docs.filter("lang is not null and text is not null").select("lang", "text").mapInArrow(_counts, "lang string, key int, count long")
-    return Model([tuple(r) for r in counts.groupBy("lang", "key").agg(F.sum("count").alias("count")).collect()])
+    counts = keep(counts.groupBy("lang", "key").agg(F.sum("count").alias("count")), "language-counts")
+    if (found := counts.select("lang").distinct().count()) > MOST_LANGUAGES:
+        raise ValueError(f"{found} languages; a model has {MOST_LANGUAGES} at most")
+    return Model(counts.toArrow())
 
 
 def label_languages(docs: DataFrame, model: Model) -> DataFrame:
