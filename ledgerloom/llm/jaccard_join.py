@@ -13,6 +13,15 @@ not exceed its differences, since any other set meets its partners in a part tha
 taken as frequent, from counts over all documents, bears on the work alone, never on the result. Part sketches of a block of documents travel packed, one row for
 each bucket.
 
+Why one XOR word is the bit sketch of a part: a row of 2^64 bits, of which each shingle flips the one that its hash
+names, is empty wherever no shingle fell, and two rows are equal when their shingles of odd count are the same; the XOR of the
+names of the flipped bits is equal then too, and differs otherwise but for a chance of 2^-40. A row so wide has the
+fewest equal parts by accident, and in this form it takes 5 bytes. Narrow rows, whose Hamming distance
+counts, come after: ``parity_sketch`` has one to two bits a shingle.
+
+Classes are named by 64 bits. Where a second digest shows that two classes have one name, which 10^10 classes
+would see a few times, both get names that the second digest is part of.
+
 Verification. Classes that share part sketches form groups, which are compared in blocks, by sizes and by the Hamming
 distance of parity sketches (it never exceeds the true difference). First each class takes its closest few;
 what links set by set is joined into components. Then all pairs of different components that the sketches leave possible
@@ -20,7 +29,8 @@ are compared set by set. Pairs inside a component need no look, so large groups
 between components is lost.
 
 Defined cases: a text without words, or null, has an empty set and is linked with nothing; repeated rows are in one
-class; an empty table gives no rows; long texts are read whole; extra columns pass through ``one_of_each``.
+class; an empty table gives no rows; long texts are read whole; extra columns, of any name, pass through
+``one_of_each``.
 """
 
 from __future__ import annotations
@@ -32,7 +42,7 @@ from pyspark.sql import functions as F
 
 from . import bytescan as B
 from .components import components
-from .runtime import PACKED_BYTES, RID, blocks, bytes_of, keep, lists, pack, table, unpack, with_rid
+from .runtime import PACKED_BYTES, RID, blocks, bytes_of, keep, lists, pack, shielded, table, unpack, with_rid
 
 SHINGLE = 5
 #: Bytes of text for each bucket of part sketches.
@@ -43,6 +53,9 @@ TOGETHER = 1 << 20
 GROUP_BLOCK = 1024
 #: Closest classes that each one is compared to at first, and groups that a class names for telling pairs apart.
 NEAREST, NAMED = 2, 8
+#: Classes of a group in one row.
+MEMBERS = 4096
+NO_CLASSES = np.zeros(0, np.uint64)
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -75,11 +88,15 @@ def _folded(ufunc, values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
-def class_keys(value: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit digests of each set: the second is the class's name, both together tell sets apart."""
+def class_keys(value: np.ndarray, first: np.ndarray, taken: np.ndarray = NO_CLASSES, bits: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """Two digests of each set: the second is the class's name, both together tell sets apart; ``taken``: names of several classes."""
     a = _folded(np.add, B.mix(value, 61), first)
     b = _folded(np.bitwise_xor, B.mix(value, 62), first)
-    return a, B.mix(a ^ B.mix(b, 63) ^ np.diff(first).astype(np.uint64), 64)
+    return a, renamed(a, B.mix(a ^ B.mix(b, 63) ^ np.diff(first).astype(np.uint64), 64) >> np.uint64(64 - bits), taken)
+
+
+def renamed(a: np.ndarray, cid: np.ndarray, taken: np.ndarray) -> np.ndarray:
+    return np.where(np.isin(cid, taken), B.mix(cid ^ B.mix(a, 65), 66), cid) if len(taken) else cid
 
 
 def most_differences(a):
@@ -166,25 +183,43 @@ def _counted(held: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([none, pa.nulls(len(values), pa.binary()), pa.array(counts, pa.int64()), pa.array(values.view(np.int64)), none], ["doc_id", "rid", "n", "a", "cid"])
 
 
-def _sets(batches):
-    held: list[np.ndarray] = []
-    for batch in batches:
-        for part in blocks(batch, "text"):
-            value, first = shingle_sets(*bytes_of(part.column("text")))
-            a, cid = class_keys(value, first)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column(RID), pa.array(np.diff(first)), pa.array(a.view(np.int64)), pa.array(cid.view(np.int64))], ["doc_id", "rid", "n", "a", "cid"])
-            held.append(value)
-            if sum(map(len, held)) >= HELD:
-                yield _counted(held)
-                held = []
-    if held:
-        yield _counted(held)
+def _sets(bits: int):
+    def sets(batches):
+        held: list[np.ndarray] = []
+        for batch in batches:
+            for part in blocks(batch, "text"):
+                value, first = shingle_sets(*bytes_of(part.column("text")))
+                a, cid = class_keys(value, first, bits=bits)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column(RID), pa.array(np.diff(first)), pa.array(a.view(np.int64)), pa.array(cid.view(np.int64))], ["doc_id", "rid", "n", "a", "cid"])
+                held.append(value)
+                if sum(map(len, held)) >= HELD:
+                    yield _counted(held)
+                    held = []
+        if held:
+            yield _counted(held)
+
+    return sets
+
+
+def _told_apart(taken: np.ndarray):
+    def told_apart(batches):
+        for batch in batches:
+            a, cid = (np.asarray(batch.column(c)).view(np.uint64) for c in ("a", "cid"))
+            yield batch.set_column(4, "cid", pa.array(renamed(a, cid, taken).view(np.int64)))
+
+    return told_apart
+
+
+def _classes(sets: DataFrame) -> DataFrame:
+    """cid, its first document, and the least and the most of the second digest."""
+    found = sets.filter("n > 0").groupBy("cid").agg(F.min(F.struct("doc_id", "rid")).alias("lead"), F.min("a").alias("low"), F.max("a").alias("high"))
+    return keep(found, "classes")
 
 
 PACKED = "bucket int, classes binary, prints binary, upper binary, owners binary"
 
 
-def _dealt(buckets: int, shared):
+def _dealt(buckets: int, shared, taken: np.ndarray, bits: int):
     def emit(prints, owners, classes):
         prints, owners, classes = np.concatenate(prints), np.concatenate(owners), np.concatenate(classes)
         bucket = (((prints >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
@@ -203,7 +238,7 @@ def _dealt(buckets: int, shared):
         for batch in batches:
             for part in blocks(batch, "text"):
                 value, first = shingle_sets(*bytes_of(part.column("text")))
-                _, cid = class_keys(value, first)
+                _, cid = class_keys(value, first, taken, bits)
                 _, one = np.unique(cid, return_index=True)
                 one = np.sort(one[np.diff(first)[one] > 0])  # copies of a text in the block are one class
                 if not len(one):
@@ -225,7 +260,7 @@ def _dealt(buckets: int, shared):
     return dealt
 
 
-GROUPS = "gid long, members array<long>"
+GROUPS = "gid long, part int, members array<long>"
 
 
 def _groups(batches):
@@ -243,7 +278,7 @@ def _groups(batches):
 
 
 def _grouped(held: list[tuple]) -> pa.RecordBatch:
-    """Sets of two or more classes that share a part sketch, equal sets once."""
+    """Sets of two or more classes that share a part sketch, equal sets once, in rows of MEMBERS at most."""
     cids, prints = [], []
     for classes, p, u, o in held:
         p = np.frombuffer(p, np.uint32).astype(np.int64) | np.frombuffer(u, np.uint8).astype(np.int64) << 32
@@ -265,11 +300,16 @@ def _grouped(held: list[tuple]) -> pa.RecordBatch:
     some = size > 1
     start, size = start[some], size[some]
     if not len(start):
-        return pa.RecordBatch.from_arrays([pa.array([], pa.int64()), pa.array([], pa.list_(pa.int64()))], ["gid", "members"])
+        return pa.RecordBatch.from_arrays([pa.array([], pa.int64()), pa.array([], pa.int32()), pa.array([], pa.list_(pa.int64()))], ["gid", "part", "members"])
     at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(start, size)
     gid = np.add.reduceat(B.mix(cids[at].view(np.uint64), 91), np.cumsum(size) - size)
     gid, one = np.unique(gid, return_index=True)
-    return pa.RecordBatch.from_arrays([pa.array(gid.view(np.int64)), lists([cids[start[k] : start[k] + size[k]] for k in one])], ["gid", "members"])
+    start, size = start[one], size[one]
+    parts = -(-size // MEMBERS)
+    part = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+    low = np.repeat(start, parts) + part * MEMBERS
+    high = np.minimum(low + MEMBERS, np.repeat(start + size, parts))
+    return pa.RecordBatch.from_arrays([pa.array(np.repeat(gid, parts).view(np.int64)), pa.array(part.astype(np.int32)), lists([cids[x:y] for x, y in zip(low, high)])], ["gid", "part", "members"])
 
 
 def _chosen(batches):
@@ -395,19 +435,26 @@ def met_pairs(groups: DataFrame, roots: DataFrame | None, chosen: DataFrame, nea
     return met.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
 
 
-def link_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, __jj_rid (row key), n_shingles, component_id and leader (the row key of the component's first document)."""
+def link_documents(docs: DataFrame, bits: int = 64) -> DataFrame:
+    """doc_id, __jj_rid (row key), n_shingles, component_id and leader (the row key of the component's first document).
+
+    bits: of the classes' names, fewer only to test what happens when names clash.
+    """
     texts = with_rid(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    scanned = keep(texts.mapInArrow(_sets, SETS), "sets")
+    scanned = keep(texts.mapInArrow(_sets(bits), SETS), "sets")
     sets = scanned.filter("cid is not null")
+    classes = _classes(sets)
+    taken = np.array([r.cid & (1 << 64) - 1 for r in classes.filter("low != high").select("cid").collect()], np.uint64)
+    if len(taken):
+        sets = keep(sets.mapInArrow(_told_apart(taken), SETS), "sets-apart")
+        classes = _classes(sets)
     counts = scanned.filter("cid is null").groupBy("a").agg(F.sum("n").alias("n")).filter(F.col("n") >= FREQUENT)
     often = np.array(sorted(r.a & (1 << 64) - 1 for r in counts.orderBy(F.col("n").desc(), "a").limit(MOST_FREQUENT).collect()), np.uint64)
     shared = docs.sparkSession.sparkContext.broadcast(often)
-    classes = keep(sets.filter("n > 0").groupBy("cid").agg(F.min(F.struct("doc_id", "rid")).alias("lead")), "classes")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    packed = texts.select("text").mapInArrow(_dealt(max(1, -(-total // BUCKET_BYTES)), shared), PACKED)
+    packed = texts.select("text").mapInArrow(_dealt(max(1, -(-total // BUCKET_BYTES)), shared, taken, bits), PACKED)
     groups = packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_groups, GROUPS)
-    groups = keep(groups.groupBy("gid").agg(F.any_value("members").alias("members")), "groups")
+    groups = keep(groups.groupBy("gid", "part").agg(F.any_value("members").alias("members")), "groups")
     needed = groups.select(F.explode("members").alias("cid")).distinct()
     wanted = needed.join(classes, "cid").select("cid", F.col("lead.rid").alias(RID))
     whole = pack(texts.select(RID, F.col("text").cast("binary").alias("text")))
@@ -429,11 +476,15 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """docs with one document of each group of linked ones: the one of the lowest doc_id."""
     from pyspark.sql import Window
 
-    names = docs.columns
-    stay = link_documents(docs).filter(F.col("leader") == F.col("__jj_rid")).select(F.col("__jj_rid").alias(RID)).distinct()
-    kept = with_rid(docs).join(stay, RID, "left_semi")
-    once = F.row_number().over(Window.partitionBy(RID).orderBy(RID))
-    return kept.withColumn("__jj_once", once).filter("__jj_once = 1").select(names)
+    safe, names = shielded(docs, "doc_id", "text")
+    firsts = link_documents(safe).filter(F.col("leader") == F.col("__jj_rid")).groupBy(F.col("__jj_rid").alias(RID))
+    stay = keep(firsts.agg((F.count(F.lit(1)) > 1).alias("__jj_many")), "stay")
+    kept = with_rid(safe).join(stay, RID)
+    if not stay.filter("__jj_many").isEmpty():  # only repeated rows (same id and text) need to be compared
+        once = F.row_number().over(Window.partitionBy(RID).orderBy(RID))
+        again = kept.filter("__jj_many").withColumn("__jj_once", once).filter("__jj_once = 1").drop("__jj_once")
+        kept = kept.filter("not __jj_many").unionByName(again)
+    return kept.select(names).toDF(*docs.columns)
 
 
 def op6_parity_sketch_join(spark, sf_dir: str) -> DataFrame:
