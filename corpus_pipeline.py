@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import bpe, decontaminate, jaccard_join, line_dedup, quality
-from ledgerloom.llm.runtime import keep, table
+from ledgerloom.llm.runtime import keep, shielded, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,7 +22,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def line_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the lines of repeated three-line windows; a text that loses all its lines goes."""
     out = line_dedup.without_repeated_lines(docs)
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,8 +37,11 @@ def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their token ids, read back once."""
-    coded = bpe.encode_documents(docs)
-    return coded.select(*docs.columns, F.col("__bpe_ids").alias("token_ids"), *bpe.digests(coded))
+    docs = docs.drop("token_ids", "n_tokens", "ids_sha256", "decoded_sha256")
+    safe, names = shielded(docs, "text")
+    coded = bpe.encode_documents(safe)
+    out = coded.select(*names, F.col("__bpe_ids").alias("token_ids"), *bpe.digests(coded))
+    return out.toDF(*docs.columns, *out.columns[len(names) :])
 
 
 STAGES = [

@@ -8,7 +8,8 @@ their bytes gives just these two again, which is tested by undoing their merges,
 for an earlier merge across the border. Pieces and pairs already seen are kept in tables of bounded size.
 
 Defined cases: a null text is encoded as an empty one (no ids, empty decoded text); repeated rows are
-encoded alike; an empty table gives no rows; a long text is read piece by piece; extra columns pass through.
+encoded alike; an empty table gives no rows; a long text is read piece by piece; extra columns, of any name, pass
+through, but that those named as OUTPUT are replaced.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .runtime import blocks, table
+from .runtime import blocks, shielded, table
 
 #: Pieces (and token pairs) that each worker remembers at most.
 REMEMBERED = 200_000
@@ -193,7 +194,10 @@ def _coded(path: str, names: list[str]):
 
 def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
     """The columns of docs, the ids of text (packed as in Codec.encode) and the text decoded from them."""
-    return docs.mapInArrow(_coded(path or vocabulary_path(), docs.columns), T.StructType(docs.schema.fields + OUTPUT))
+    added = [f.name for f in OUTPUT]
+    docs = docs.drop(*added)
+    safe, names = shielded(docs, "text")
+    return safe.mapInArrow(_coded(path or vocabulary_path(), names), T.StructType(safe.schema.fields + OUTPUT)).toDF(*docs.columns, *added)
 
 
 def digests(coded: DataFrame) -> list:

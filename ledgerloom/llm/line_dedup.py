@@ -6,8 +6,8 @@ in the same text, is a later occurrence; the lines that later occurrences cover
 
 Defined cases: a null text has no lines and stays null; texts of fewer than three lines stay whole; repeated rows
 (same id and text) are one document, each other equal text is later than the lowest doc_id's; an empty table
-gives no rows; long texts are cut whole; extra columns pass through ``without_repeated_lines``, and with them a
-text that loses all its lines is left out.
+gives no rows; long texts are cut whole; extra columns, of any name, pass through ``without_repeated_lines``, which leaves
+out a text that loses all its lines; ``line_dedup`` replaces those of its own names.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from . import bytescan as B
 from .occurrences import UNITS, later_spans
-from .runtime import PACKED_BYTES, RID, blocks, bytes_of, merged, pack, table, unpack, with_rid
+from .runtime import PACKED_BYTES, RID, blocks, bytes_of, merged, pack, shielded, table, unpack, with_rid
 
 WINDOW = 3
 
@@ -83,18 +83,21 @@ def _cut(names: list[str]):
 
 def line_dedup(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     """The columns of docs, text without its later lines, and __ld_lines and __ld_removed, numbers of lines."""
-    keyed = with_rid(docs)
+    docs = docs.drop("__ld_lines", "__ld_removed")
+    safe, names = shielded(docs, "doc_id", "text")
+    keyed = with_rid(safe)
     slim = keyed.select(F.col("doc_id").cast("long").alias("doc_id"), RID, "text").filter("text is not null")
     spans = later_spans(slim.mapInArrow(_units(size), UNITS), "line-windows").withColumnRenamed("rid", RID)
     raw = pack(keyed.withColumn("text", F.col("text").cast("binary"))).join(spans, RID, "left")
-    schema = T.StructType(docs.schema.fields + [T.StructField("__ld_lines", T.LongType()), T.StructField("__ld_removed", T.LongType())])
-    return raw.mapInArrow(_cut(docs.columns), schema)
+    schema = T.StructType(safe.schema.fields + [T.StructField("__ld_lines", T.LongType()), T.StructField("__ld_removed", T.LongType())])
+    return raw.mapInArrow(_cut(names), schema).toDF(*docs.columns, "__ld_lines", "__ld_removed")
 
 
 def without_repeated_lines(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     """docs without repeated lines; a text that loses all its lines goes."""
-    out = line_dedup(docs, size)
-    return out.filter(~((F.col("__ld_removed") > 0) & (F.col("__ld_removed") == F.col("__ld_lines")))).select(docs.columns)
+    safe, names = shielded(docs, "doc_id", "text")
+    out = line_dedup(safe, size)
+    return out.filter(~((F.col("__ld_removed") > 0) & (F.col("__ld_removed") == F.col("__ld_lines")))).select(names).toDF(*docs.columns)
 
 
 def op8_line_window_dedup(spark, sf_dir: str) -> DataFrame:

@@ -5,12 +5,15 @@ the largest of its symbol, shouting, exclamation, repeated-line and echoed-word
 In every stratum (language) the labelled good documents are the holdout. Cutoffs are tried from the laxest to
 the strictest, each by an exact binomial test of "more than ``ALPHA`` of the good documents are rejected" (the
 same as asking that the upper Clopper-Pearson bound be ``ALPHA`` at most), and the first that fails ends
-the sequence; the level is ``DELTA`` divided by the number of strata. So with probability 1 - DELTA no stratum
-rejects more than ALPHA of its good documents. A stratum with too few labels has no cutoff and rejects nothing.
+the sequence; the level is ``DELTA`` divided by the number of strata. So with probability 1 - DELTA the cutoff of no stratum
+rejects more than ALPHA of the good documents that pass the base rules; what the base rules reject is fixed beforehand and
+outside this guarantee. A stratum with too few labels is not certified: it has no cutoff and rejects nothing beyond the base.
+``certified_strata`` tells them apart.
 
-Defined cases: a null text has no words and fails the base; a null language is a stratum of its own; labels
+Defined cases: a null text has no words and fails the base; null and empty languages are one stratum; labels
 that are null or for other documents count nowhere, the lowest of repeated labels counts; repeated rows are judged
-alike; an empty table gives no rows; long texts are measured whole; extra columns pass through ``accepted``.
+alike; an empty table gives no rows; long texts are measured whole; extra columns, of any name, pass through
+``accepted``; ``measured`` replaces those of its own names.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import bytescan as B
-from .runtime import append_columns, keep, table
+from .runtime import append_columns, keep, shielded, table
 
 ALPHA = 0.02
 DELTA = 0.05
@@ -102,7 +105,7 @@ def measure(data: np.ndarray, offsets: np.ndarray) -> list[pa.Array]:
 
 def measured(docs: DataFrame) -> DataFrame:
     """The columns of docs and those of MEASURES."""
-    return append_columns(docs, MEASURES, measure)
+    return append_columns(docs.drop(*(f.name for f in MEASURES)), MEASURES, measure)
 
 
 def _share(a: str, b: str, scale: str):
@@ -167,10 +170,17 @@ def judged(rows: DataFrame, cutoffs: DataFrame) -> DataFrame:
 
 def accepted(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """The documents that the rules keep, with their own columns."""
-    rows = measured(docs)
-    names = [f.name for f in MEASURES]
-    cutoffs = keep(fit_cutoffs(keep(rows.select("doc_id", "lang", *names), "measures"), labels, alpha, delta), "cutoffs")
-    return judged(rows, cutoffs).filter("__q_kept").select(docs.columns)
+    safe, names = shielded(docs, "doc_id", "lang", "text")
+    rows = measured(safe)
+    measures = keep(rows.select("doc_id", "lang", *(f.name for f in MEASURES)), "measures")
+    cutoffs = keep(fit_cutoffs(measures, labels, alpha, delta), "cutoffs")
+    return judged(rows, cutoffs).filter("__q_kept").select(names).toDF(*docs.columns)
+
+
+def certified_strata(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
+    """stratum, cutoff (null: not certified, rejects nothing) and certified, for each stratum with labelled good documents."""
+    out = fit_cutoffs(measured(docs.select("doc_id", "lang", "text")).drop("text"), labels, alpha, delta)
+    return out.select(F.col("__q_stratum").alias("stratum"), F.col("__q_cutoff").alias("cutoff"), F.col("__q_cutoff").isNotNull().alias("certified"))
 
 
 def op4_quality_rules(spark, sf_dir: str) -> DataFrame:

@@ -94,7 +94,7 @@ def lists(arrays: list[np.ndarray], kind=None) -> pa.Array:
     kind = kind or pa.int64()
     offsets = np.concatenate([[0], np.cumsum([len(a) for a in arrays])]).astype(np.int32)
     flat = np.concatenate(arrays) if arrays else np.zeros(0, np.int64)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, kind))
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat if len(flat) else [], kind))
 
 
 def _appended(names: list[str], fields: list[str], make):
@@ -111,7 +111,9 @@ def append_columns(docs: DataFrame, fields: list, make) -> DataFrame:
     """docs with more columns, which ``make`` gives for the bytes and offsets of a block of texts."""
     from pyspark.sql import types as T
 
-    return docs.mapInArrow(_appended(docs.columns, [f.name for f in fields], make), T.StructType(docs.schema.fields + fields))
+    added = [f.name for f in fields]
+    safe, names = shielded(docs, "text")
+    return safe.mapInArrow(_appended(names, added, make), T.StructType(safe.schema.fields + fields)).toDF(*docs.columns, *added)
 
 
 def _packed(column: str, names: list[str]):
