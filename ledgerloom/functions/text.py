@@ -8,7 +8,7 @@ import unicodedata
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..rules import LEGAL_SUFFIXES, NOISE_TOKENS, STOPWORDS
+from ..rules import LEGAL_SUFFIXES, NOISE_TOKENS, STOPWORDS, TRANSFER_REFERENCE
 
 #: Breaks of lines as Python's splitlines sees them.
 LINE_BREAK = "\r\n|[\n\r\u000b\u000c\u001c\u001d\u001e\u0085\u2028\u2029]"
@@ -57,7 +57,7 @@ def registry_name(text: Column) -> Column:
 def plain(text: Column) -> Column:
     """Lower case words of a transfer description without references and noise words."""
     low = F.lower(without_accents(F.coalesce(text, F.lit(""))))
-    low = F.regexp_replace(low, r"\b(?:ref|rrn|tid)\s*:?\s*[a-z0-9-]+\b", " ")
+    low = F.regexp_replace(low, TRANSFER_REFERENCE, " ")
     words = F.split(F.trim(F.regexp_replace(F.regexp_replace(low, r"[^a-z0-9\s]", " "), r"\s+", " ")), " ")
     return F.array_join(F.filter(words, lambda w: (w != "") & ~w.isin([t.lower() for t in NOISE_TOKENS])), " ")
 

@@ -92,20 +92,26 @@ def extract_merchants(df: DataFrame, noise: list[str] | None = None) -> DataFram
 
 def lookup(column: Column, table: dict) -> Column:
     """A fixed table as one map expression."""
+    if not table:
+        return F.lit(None).cast("string")
     return F.try_element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), column)
 
 
-def map_categories(df: DataFrame) -> DataFrame:
-    """Adds category_area and mapping_method from merchant_canonical and txn_type, as without any cache."""
+def map_categories(df: DataFrame, rules: dict | None = None) -> DataFrame:
+    """Adds category_area and mapping_method from merchant_canonical and txn_type, as without any cache.
+
+    rules: ``merchants``, ``patterns`` and ``types`` as category_rules reads them; the fixed ones without.
+    """
+    rules = rules or {"merchants": R.MERCHANT_CATEGORIES, "patterns": R.CATEGORY_PATTERNS, "types": R.CATEGORY_BY_TYPE}
     merchant = F.trim("merchant_canonical")
-    exact = lookup(merchant, R.MERCHANT_CATEGORIES)
-    by_type = lookup(F.col("txn_type"), R.CATEGORY_BY_TYPE)
+    exact = lookup(merchant, rules["merchants"])
+    by_type = lookup(F.col("txn_type"), rules["types"])
     method = F.col("mapping_method") if "mapping_method" in df.columns else F.lit(None).cast("string")
     steps = [
         (~F.col("txn_type").isin(R.MERCHANT_TYPES), {"category": F.lit(None), "method": method}),
         (merchant.isNull() | (merchant == ""), {"category": "Unknown", "method": "unmapped"}),
         (exact.isNotNull(), {"category": exact, "method": F.when(method.isin("exact_alias", "fuzzy_alias"), method).otherwise("exact_alias")}),
-        *[(merchant.rlike(f"(?iu){p}"), {"category": c, "method": "regex_rule"}) for p, c in R.CATEGORY_PATTERNS],
+        *[(merchant.rlike(f"(?iu){p}"), {"category": c, "method": "regex_rule"}) for p, c in rules["patterns"]],
         (by_type.isNotNull(), {"category": by_type, "method": "fallback_rule"}),
     ]
     made = cascade(steps, {"category": "Unknown", "method": "unmapped"}, {"category": "string", "method": "string"})

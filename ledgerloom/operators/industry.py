@@ -90,6 +90,15 @@ def feature_sources(columns: list[str]) -> dict[str, str]:
     return {c: "program_2" if c in statement else "questionnaire" if c in profile else "ignore" for c in columns}
 
 
+def required_features(columns: list[str], statement: list[str]) -> dict[str, list[str]]:
+    """What a model still needs: statement features that ``statement`` lacks, and all that the questionnaire gives."""
+    sources = feature_sources(columns)
+    return {
+        "missing_program_features": [c for c in columns if sources[c] == "program_2" and c not in statement],
+        "required_profile_features": [c for c in columns if sources[c] == "questionnaire"],
+    }
+
+
 def first_by(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     return df.withColumn("__k", rank).filter("__k = 1").drop("__k")

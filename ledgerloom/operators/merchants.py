@@ -1,7 +1,8 @@
 """Merchant names: aliases (exact, contained, by pattern, fuzzy), and registry names by blocked similarity.
 
 Every step runs on the distinct spellings alone and is joined back, so that a spelling of a million rows is
-matched once. Alias tables are fixed and small, and go into the plan as broadcast rows.
+matched once. Aliases of any number are met by equi-joins (words, four-letter pieces, lengths); only patterns, which
+have no key, go to every task, and their number is checked.
 """
 
 from __future__ import annotations
@@ -11,10 +12,12 @@ from pyspark.sql import functions as F
 
 from .. import rules as R
 from ..functions import text as X
-from ..runtime import keep
+from ..runtime import bounded, keep, left_join_spread
 from ..functions.similarity import sequence_ratio_udf, token_set_ratio_udf
 
 LEGAL_NOISE = ["SA", "SRL", "SRL.", "S.A", "S.R.L", "ROMANIA", "THE", "COMPANY"]
+#: Patterns have no key to meet texts by: each text is held against all, so their number is bounded.
+MOST_PATTERNS = 1000
 RESULT = ["merchant_canonical", "normalization_source", "merchant_match_method", "mapping_method", "name_confidence"]
 
 
@@ -37,23 +40,32 @@ def spellings(df: DataFrame) -> DataFrame:
 
 def exact_alias(names: DataFrame, aliases: DataFrame) -> DataFrame:
     """norm and exact_name of the texts that are an alias."""
-    return names.select("norm").distinct().join(F.broadcast(aliases), F.col("norm") == F.col("alias")).select("norm", F.col("name").alias("exact_name"))
+    return names.select("norm").distinct().join(aliases, F.col("norm") == F.col("alias")).select("norm", F.col("name").alias("exact_name"))
 
 
 def contained_alias(texts: DataFrame, aliases: DataFrame, column: str = "norm") -> DataFrame:
     """column and contained_name: the longest alias that the text contains.
 
     Aliases that share a word of four letters or more with the text are looked at first; only texts without any such
-    alias are held against all.
+    alias are held against all. An alias that a text contains begins with a piece of the text, so these meet by their
+    first four characters (fewer, of a short compact form).
     """
     texts = texts.select(column).distinct()
     long = F.filter(F.split(column, " "), lambda t: F.length(t) >= 4)
     words = texts.select(column, F.explode(F.array_distinct(long)).alias("word"))
     # Aliases by word: an equi-join takes the place of a substring join.
     by_word = aliases.withColumn("word", F.explode(F.array_distinct(F.filter(F.split("alias", " "), lambda t: F.length(t) >= 4))))
-    shared = words.join(F.broadcast(by_word), "word").select(column, "alias", "name", "compact").distinct()
+    shared = words.join(by_word, "word").select(column, "alias", "name", "compact").distinct()
     rest = texts.join(shared.select(column).distinct(), column, "left_anti")
-    everything = rest.join(F.broadcast(aliases), F.col(column).contains(F.col("alias")) | F.regexp_replace(column, "[^A-Z0-9]", "").contains(F.col("compact")))
+    compact = F.regexp_replace(column, "[^A-Z0-9]", "")
+
+    def pieces(text: Column, size: int) -> Column:
+        return F.when(F.length(text) >= size, F.transform(F.sequence(F.lit(1), F.length(text) - size + 1), lambda k: F.substring(text, k, F.lit(size)))).otherwise(F.array().cast("array<string>"))
+
+    heads = F.array(F.substring("alias", 1, 4), F.when(F.col("compact") != "", F.substring("compact", 1, 4)))
+    by_head = aliases.filter(F.length("alias") >= 4).withColumn("head", F.explode(F.array_distinct(F.filter(heads, lambda h: h.isNotNull()))))
+    met = rest.withColumn("head", F.explode(F.array_distinct(F.concat(pieces(F.col(column), 4), *(pieces(compact, k) for k in (1, 2, 3, 4))))))
+    everything = met.join(by_head, "head").select(column, "alias", "name", "compact").distinct()
     both = shared.unionByName(everything.select(column, "alias", "name", "compact"))
     hit = (F.length("alias") >= 4) & (F.col(column).contains(F.col("alias")) | F.coalesce((F.col("compact") != "") & F.regexp_replace(column, "[^A-Z0-9]", "").contains(F.col("compact")), F.lit(False)))
     first = F.min(F.struct((-F.length("alias")).alias("l"), "alias", "name"))
@@ -62,30 +74,35 @@ def contained_alias(texts: DataFrame, aliases: DataFrame, column: str = "norm")
 
 def pattern_alias(texts: DataFrame, patterns: DataFrame, column: str = "norm") -> DataFrame:
     """column and pattern_name: the first pattern (pattern, name, priority) that is found in the text."""
-    joined = texts.select(column).distinct().join(F.broadcast(patterns), F.regexp(F.col(column), F.concat(F.lit("(?iu)"), F.col("pattern"))))
+    joined = texts.select(column).distinct().join(bounded(patterns, MOST_PATTERNS, "patterns"), F.regexp(F.col(column), F.concat(F.lit("(?iu)"), F.col("pattern"))))
     return joined.groupBy(column).agg(F.min_by("name", "priority").alias("pattern_name"))
 
 
 def fuzzy_alias(texts: DataFrame, aliases: DataFrame, least: float = R.FUZZY_ALIAS_LEAST) -> DataFrame:
-    """norm, fuzzy_name, fuzzy_score: the most similar alias, if at least ``least``.
+    """norm, fuzzy_name, fuzzy_score: the most similar alias, if at least ``least``, of those that share a word if these are eight or
+    more; of equal ones the smallest name.
 
-    The alias list is a fixed small table that goes to every task: each distinct text is scored against it in place.
+    Twice the matching characters over both lengths cannot reach ``least`` unless the lengths are close: texts meet aliases by
+    length, and only pairs with enough characters in common are scored.
     """
     long = F.filter(F.split("norm", " "), lambda t: F.length(t) >= 4)
-    words = texts.select("norm").distinct().withColumn("words", F.array_distinct(long))
-    pairs = words.join(F.broadcast(aliases.withColumn("alias_words", F.split("alias", " "))), F.lit(True))
-    pairs = pairs.withColumn("shared", F.arrays_overlap("words", "alias_words"))
-    scored = pairs.withColumn("score", sequence_ratio_udf()(F.col("norm"), F.col("alias")))
-    many = scored.groupBy("norm").agg(
-        F.count_if("shared").alias("n"),
-        F.max(F.struct("score", F.lit(0).alias("_"))).alias("top"),
-        F.max(F.when(F.col("shared"), F.col("score"))).alias("top_shared"),
-        F.collect_list(F.struct("score", "name", "shared")).alias("all"),  # as many as there are aliases
-    )
-    best = F.when(F.col("n") >= 8, F.col("top_shared")).otherwise(F.col("top.score"))
-    many = many.withColumn("best", best).filter(F.col("best") >= least)
-    ties = F.filter("all", lambda a: (a["score"] == F.col("best")) & ((F.col("n") < 8) | a["shared"]))
-    return many.select("norm", F.array_min(F.transform(ties, lambda a: a["name"])).alias("fuzzy_name"), F.col("best").alias("fuzzy_score"))
+    texts = texts.select("norm").distinct()
+    words = texts.select("norm", F.explode(F.array_distinct(long)).alias("word"))
+    by_word = aliases.select("alias", "name", F.explode(F.array_distinct(F.split("alias", " "))).alias("word"))
+    shared = words.join(by_word, "word").select("norm", "alias", "name", F.lit(True).alias("shared")).distinct()
+    counts = shared.groupBy("norm").agg(F.count(F.lit(1)).alias("n"))
+    ratio = max(least, 0.05) / (2 - max(least, 0.05))
+    size = F.length("norm")
+    sizes = F.sequence(F.greatest(F.lit(1), F.ceil(size * ratio - 1e-9).cast("int")), F.greatest(F.lit(1), F.floor(size / ratio + 1e-9).cast("int")))
+    pairs = texts.withColumn("size", F.explode(sizes)).join(aliases.withColumn("size", F.length("alias")), "size")
+    # Characters in common, in any order: the matching ones are no more.
+    chars = lambda c: F.split(c, "")
+    common = lambda a, b: F.aggregate(F.array_distinct(chars(a)), F.lit(0), lambda n, c: n + F.least(*[F.size(F.filter(chars(x), lambda d: d == c)) for x in (a, b)]))
+    close = pairs.filter(2.0 * common("norm", "alias") >= F.lit(least - 1e-9) * (F.length("norm") + F.length("alias")))
+    scored = close.select("norm", "alias", "name", sequence_ratio_udf()(F.col("norm"), F.col("alias")).alias("score")).filter(F.col("score") >= least)
+    scored = scored.join(shared, ["norm", "alias", "name"], "left").join(counts, "norm", "left").filter((F.coalesce("n", F.lit(0)) < 8) | F.col("shared"))
+    best = scored.groupBy("norm").agg(F.min(F.struct((-F.col("score")).alias("s"), "name")).alias("b"))
+    return best.select("norm", F.col("b.name").alias("fuzzy_name"), (-F.col("b.s")).alias("fuzzy_score"))
 
 
 # Registry.
@@ -249,5 +266,6 @@ def normalise_merchants(df: DataFrame, aliases: DataFrame, firms: DataFrame | No
         F.coalesce("mapping_method", F.lit("unmapped")).alias("mapping_method"),
         F.coalesce("name_confidence", F.lit(0.5)).alias("name_confidence"),
     )
-    out = df.drop("merchant_canonical", "normalization_source", "merchant_match_method", "mapping_method").join(named, "merchant_raw", "left")
+    rest = df.drop("merchant_canonical", "normalization_source", "merchant_match_method", "mapping_method")
+    out = left_join_spread(rest, named, "merchant_raw", "raw_description" if "raw_description" in df.columns else "confidence", *(["seq"] if "seq" in df.columns else []))
     return out.withColumn("confidence", F.coalesce("name_confidence", "confidence")).drop("name_confidence")

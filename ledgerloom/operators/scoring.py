@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import rules as R
+from .expenses import behaviour_band
 from .industry import feature_sources
 
 
@@ -142,6 +144,10 @@ class Model:
     risk_head: tuple[list[float], float] | None = None
     saving_head: tuple[list[float], float] | None = None
     activation: str = "relu"
+    #: ``probability``: the output is the chance of saving; ``score``: it is the risk itself.
+    output: str = "probability"
+    #: Any function of a row's list of numbers, in place of weights: a pair (risk, saving), a mapping of both, or a risk.
+    function: Callable | None = None
     thresholds: dict = field(default_factory=dict)
     rules: list[dict] = field(default_factory=list)
 
@@ -158,6 +164,46 @@ class Model:
             raise ValueError(f"quality gate failed: {', '.join(failed)}")
 
 
+def scaler_of(columns: list[str], mean: list[float], scale: list[float], width: int | None = None) -> tuple[dict[str, float], dict[str, float]]:
+    """Means and scales by name, of a scaler that has them by place; only SCALED_FEATURES among the columns are scaled.
+
+    The scaler may have been fitted on all columns, on all but the income, on all but age and income, on the scaled columns, or on
+    these without the income; what it has not seen stays as it is. width: how many columns it says it was fitted on; if it
+    does not say, as many as it has numbers for, which may be all columns or the scaled ones.
+    """
+    scaled = [c for c in columns if c in R.SCALED_FEATURES]
+    if not scaled:
+        return {}, {}
+    without = lambda own, *gone: [c for c in own if c not in gone]
+    cases = [list(columns)]
+    if width is not None and "Income_Category" in scaled:
+        cases.append(without(columns, "Income_Category"))
+        if "Age" in columns:
+            cases.append(without(columns, "Age", "Income_Category"))
+    cases.append(scaled)
+    if width is not None and "Income_Category" in scaled:
+        cases.append(without(scaled, "Income_Category"))
+    size = len(mean) if width is None else width
+    own = next((c for c in cases if len(c) == size), None)
+    if own is None or not len(mean) == len(scale) == size:
+        raise ValueError(f"a scaler of {size} columns fits neither a row of {len(columns)} nor its {len(scaled)} scaled columns")
+    return {c: m for c, m in zip(own, mean) if c in scaled}, {c: x for c, x in zip(own, scale) if c in scaled}
+
+
+def strict_rows(rows: DataFrame, columns: list[str], *keys: str, projected: bool = False) -> DataFrame:
+    """keys and the model's columns as finite numbers. A column too few is an error, one too many too unless ``projected``;
+    a value that is null or not finite fails the row."""
+    lacking = [c for c in columns if c not in rows.columns]
+    if lacking:
+        raise ValueError(f"Missing required feature: {', '.join(lacking)}")
+    more = sorted(set(rows.columns) - {*columns, *keys})
+    if more and not projected:
+        raise ValueError(f"Unexpected extra features: {more}")
+    value = lambda c: F.col(f"`{c}`").cast("double")
+    finite = lambda c: value(c).isNotNull() & ~F.isnan(value(c)) & (F.abs(value(c)) != math.inf)
+    return rows.select(*keys, *[checked(finite(c), value(c), f"Null or non-finite value for feature: {c}").alias(c) for c in columns])
+
+
 def scale(model: Model) -> list[Column]:
     """The model's columns in order: the scaled ones centred and divided, the others as they are."""
     return [((F.col(f"`{c}`") - model.mean[c]) / model.scale[c] if c in R.SCALED_FEATURES and c in model.mean else F.col(f"`{c}`")).cast("double").alias(c) for c in model.columns]
@@ -172,7 +218,10 @@ def sigmoid(x: Column) -> Column:
 
 
 def linear_scores(values: Column, model: Model) -> tuple[Column, Column]:
-    """Risk and saving probability of a linear model, which predicts the saving."""
+    """Risk and saving probability of a linear model, which predicts the saving, or the risk as a score."""
+    if model.output == "score":
+        risk = dot(values, model.weights) + model.intercept
+        return risk, F.bround(1 - sigmoid(risk), 6)
     saving = sigmoid(dot(values, model.weights) + model.intercept)
     return F.bround(1 - saving, 6), saving
 
@@ -193,6 +242,23 @@ def dense_scores_udf(model: Model):
     return F.pandas_udf(scores, "risk double, saving double")
 
 
+def called_scores_udf(model: Model):
+    """A model that is any function, over arrays of doubles."""
+
+    def scores(values: pd.Series) -> pd.DataFrame:
+        rows = []
+        for x in values:
+            out = model.function([float(v) for v in x])
+            if isinstance(out, Mapping):
+                out = (out["risk_score"], out["saving_probability"])
+            elif not isinstance(out, (list, tuple)):
+                out = (out, round(1 - 1 / (1 + math.exp(-float(out))), 6))
+            rows.append((float(out[0]), float(out[1])))
+        return pd.DataFrame(rows, columns=["risk", "saving"])
+
+    return F.pandas_udf(scores, "risk double, saving double")
+
+
 def clamp(x: Column) -> Column:
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), x))
 
@@ -230,8 +296,10 @@ def alerts(risk: Column, saving: Column, rules: list[dict] | None = None, high:
 def predict(rows: DataFrame, model: Model, *keys: str) -> DataFrame:
     """keys, scores, level, factors and alerts of model rows."""
     model.gate(len(rows.columns) - len(keys))
-    scaled = rows.select(*keys, F.array(*scale(model)).alias("x"))
-    if model.weights is not None:
+    scaled = strict_rows(rows, model.columns, *keys).select(*keys, F.array(*scale(model)).alias("x"))
+    if model.function is not None:
+        scaled = scaled.withColumn("s", called_scores_udf(model)("x")).withColumns({"risk_score": clamp(F.col("s.risk")), "saving_probability": clamp(F.col("s.saving"))})
+    elif model.weights is not None:
         risk, saving = linear_scores(F.col("x"), model)
         scaled = scaled.withColumns({"risk_score": clamp(risk), "saving_probability": clamp(saving)})
     else:
@@ -260,5 +328,4 @@ def fill_back(final: DataFrame, inferred: DataFrame, fallback: DataFrame | None
         only = fallback.agg(F.first("risk_score").alias("__f"))
         out = out.join(F.broadcast(only), F.lit(True), "left").withColumn("__r", F.coalesce("__r", "__f")).drop("__f")
     score = F.coalesce("__r", "Risk_Score")
-    band = F.when(score <= -0.10, "Healthy").when(score <= 0.20, "Moderate").when(score.isNotNull(), "Risky")
-    return out.withColumns({"Risk_Score": score, "Behavior_Risk_Level": F.coalesce(band, "Behavior_Risk_Level")}).drop("__r").select(final.columns)
+    return out.withColumns({"Risk_Score": score, "Behavior_Risk_Level": F.coalesce(behaviour_band(score), "Behavior_Risk_Level")}).drop("__r").select(final.columns)

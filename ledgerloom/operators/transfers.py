@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .. import rules as R
 from ..functions.similarity import token_set_ratio
 from ..functions.text import plain
-from ..runtime import let
+from ..runtime import keep, left_join_spread, let
 from ..sources.tables import month_key
 
 IBAN = r"(?iu)\bRO\d{2}[A-Z0-9]{10,30}\b"
@@ -81,8 +81,9 @@ def fuzzy_terms(texts: DataFrame, column: str) -> DataFrame:
             for text in frame[column]:
                 top = None
                 for category, term in table:
-                    if term and (top is None or token_set_ratio(text, term) > top[2]):
-                        top = (category, term, token_set_ratio(text, term))
+                    score = token_set_ratio(text, term) if term else -1.0
+                    if term and (top is None or score > top[2]):
+                        top = (category, term, score)
                 rows.append((text, *(top or (None, None, None))))
             yield pd.DataFrame(rows, columns=[column, "category", "term", "score"])
 
@@ -95,9 +96,9 @@ def own_evidence(df: DataFrame, fuzzy: bool = True) -> DataFrame:
     rows = df.withColumn("__exact", dictionary_match(F.trim(F.concat_ws(" ", "__recipient", "__text"))))
     if fuzzy:
         texts = rows.filter("txn_type = 'external_transfer' and __exact is null")
-        scored = fuzzy_terms(texts.select(F.explode(F.array("__recipient", "__text")).alias("t")), "t")
+        scored = keep(fuzzy_terms(texts.select(F.explode(F.array("__recipient", "__text")).alias("t")), "t"), "similar-terms")
         for field in ("__recipient", "__text"):
-            rows = rows.join(scored.select(F.col("t").alias(field), F.struct("category", "term", "score").alias(f"{field}_fuzzy")), field, "left")
+            rows = left_join_spread(rows, scored.select(F.col("t").alias(field), F.struct("category", "term", "score").alias(f"{field}_fuzzy")), field, "doc_id", "seq")
         first, second = F.col("__recipient_fuzzy"), F.col("__text_fuzzy")
         top = F.when(second.isNull() | (F.coalesce(first["score"], F.lit(-1.0)) >= second["score"]), first).otherwise(second)
         least = F.create_map(*[F.lit(x) for c, r in R.TRANSFER_TERMS.items() if r["fuzzy"] for x in (c, r["fuzzy"])])
@@ -138,14 +139,24 @@ def remember_first(df: DataFrame) -> DataFrame:
 def classify_transfers(df: DataFrame, memory: DataFrame | None = None, fuzzy: bool = True) -> DataFrame:
     """Sets state, evidence_type, match_source, category_area, confidence, fuzzy_match_term and fuzzy_match_score.
 
-    df has the columns of a classified row, doc_id and seq. memory: rows of earlier runs (columns of MEMORY), of one profile.
+    df has the columns of a classified row, doc_id and seq. memory: rows of earlier runs (columns of MEMORY), of one profile;
+    or of several with a column profile_id, which df has too. Of several rows of one entity the earliest counts.
+
+    The evidence is written out, as it is both told and learned from.
     """
-    rows = own_evidence(counterparties(df), fuzzy)
+    rows = keep(own_evidence(counterparties(df), fuzzy), "evidence")
     learned = remember_first(rows).select("entity_key", "first_doc", "first_row", F.struct("category", "confidence", "evidence_type").alias("__new"))
-    rows = rows.join(learned, "entity_key", "left")
+    rows = left_join_spread(rows, learned, "entity_key", "doc_id", "seq")
     if memory is not None:
-        known = memory.groupBy("entity_key").agg(F.first(F.struct("category", "confidence", "evidence_type", "status")).alias("__old"))
-        rows = rows.join(known, "entity_key", "left")
+        own = ["profile_id"] if "profile_id" in memory.columns and "profile_id" in df.columns else []
+        first = F.min_by(F.struct("category", "confidence", "evidence_type", "status"), F.struct("first_seen", "last_seen", "category", "confidence", "evidence_type", "status"))
+        known = memory.groupBy("entity_key", *own).agg(first.alias("__old"))
+        if own:  # both parts of the key in one
+            both = lambda: F.concat_ws("\u0001", "profile_id", "entity_key")
+            rows = rows.withColumn("__entity", F.when(F.col("entity_key").isNotNull(), both()))
+            rows = left_join_spread(rows, known.select(both().alias("__entity"), "__old"), "__entity", "doc_id", "seq").drop("__entity")
+        else:
+            rows = left_join_spread(rows, known, "entity_key", "doc_id", "seq")
     else:
         rows = rows.withColumn("__old", F.lit(None).cast("struct<category:string,confidence:double,evidence_type:string,status:string>"))
     active = F.col("txn_type").isin("external_transfer", "salary_income")

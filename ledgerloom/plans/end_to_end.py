@@ -14,6 +14,7 @@ from ..operators import merchants as M
 from ..operators import scoring as S
 from ..operators import statements as P
 from ..operators import transfers as T
+from ..runtime import keep
 
 
 @dataclass
@@ -30,7 +31,8 @@ class Run:
 def classify_rows(rows: DataFrame, firms: DataFrame | None = None, memory: DataFrame | None = None, external: DataFrame | None = None, fuzzy: bool = True) -> DataFrame:
     """All columns of classified transactions, from the seven required ones with doc_id and seq."""
     spark = rows.sparkSession
-    rows = C.extract_merchants(C.classify_types(rows))
+    # Written out: the merchants' spellings and the rows themselves are both read from it.
+    rows = keep(C.extract_merchants(C.classify_types(rows)), "typed")
     rows = M.normalise_merchants(rows, M.alias_table(spark), firms, external=external, fuzzy=fuzzy)
     return C.row_flags(T.classify_transfers(C.map_categories(rows), memory, fuzzy))
 

@@ -8,7 +8,7 @@ from ..operators.expenses import TOTALS
 from ..operators.merchants import LEGAL_NOISE
 from ..operators.transfers import AREAS, TRANSFER_TYPES, normalised, terms_of
 from ..sources.tables import DESCRIPTIONS
-from .queries import EXTERNAL, LITERALS, MEMORY, PATTERNS, RULES, WEIGHTS
+from .queries import EXTERNAL, LITERALS, MEMORY, MONTH_COLUMNS, MONTH_WEIGHTS, PATTERNS, RULES, WEIGHTS
 
 
 def s(text) -> str:
@@ -79,6 +79,11 @@ SELECT *, {case([(c, s(x)) for c, x, _, _ in TYPE_STEPS], "'OTHER'")} AS channel
   {case([(c, f"{x}::DOUBLE") for c, _, _, x in TYPE_STEPS], "0.55::DOUBLE")} AS confidence
 FROM ledger"""
 
+CTE["both_sides"] = """
+SELECT * FROM typed UNION ALL
+SELECT * REPLACE (seq + 1000000000 AS seq, transaction_id || 'm' AS transaction_id, CASE WHEN direction = 'debit' THEN 'credit' ELSE 'debit' END AS direction) FROM typed
+WHERE txn_type IN ('internal_transfer', 'external_transfer') AND seq % 3 = 0"""
+
 
 def cleaned() -> str:
     t = f"regexp_replace(coalesce(raw_description, ''), {s(R.URL)}, ' ', 'gi')"
@@ -376,6 +381,13 @@ CTE["weights"] = f"SELECT [{', '.join(f'{w}::DOUBLE' for w in WEIGHTS)}] AS w"
 CTE["scored"] = """
 SELECT vec_id, label, x, least(1, greatest(0, round_even(1 - saving, 6))) AS risk_score, round_even(least(1, greatest(0, saving)), 6) AS saving_probability
 FROM (SELECT *, 1 / (1 + exp(-z)) AS saving FROM (SELECT *, list_sum(list_transform(x, lambda v, i: v * w[i])) + 0.25 AS z FROM model, weights))"""
+def linear(x: str, b: float = 0.25) -> str:
+    """The score of a list of numbers."""
+    return f"1 / (1 + exp(-(list_sum(list_transform({x}, lambda v, i: v * w[i])) + {b})))"
+
+
+CTE["vectors"] = "SELECT vec_id, list_transform(embedding, lambda v: v::DOUBLE) AS x FROM embeddings"
+CTE["month_weights"] = f"SELECT [{', '.join(f'{w}::DOUBLE' for w in MONTH_WEIGHTS)}] AS w"
 CTE["contributions"] = "SELECT vec_id, label, i, printf('f%02d', i - 1) AS f, v * w[i] AS c FROM (SELECT vec_id, label, unnest(x) AS v, generate_subscripts(x, 1) AS i FROM model), weights"
 LEVEL = f"CASE WHEN risk_score < {R.HEALTHY_BELOW} THEN 'healthy' WHEN risk_score < {R.RISKY_FROM} THEN 'moderate' ELSE 'risky' END"
 SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
@@ -383,6 +395,56 @@ PRIORITIES = {"1-URGENT": 4.0, "2-HIGH": 3.0, "3-MEDIUM": 2.0, "4-NOT SPECIFIED"
 CTE["answers"] = "SELECT c_custkey, c_mktsegment, list_sort(list(DISTINCT o_orderstatus)) AS statuses, max(o_orderpriority) AS priority FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY ALL"
 
 
+def seven(*gone: int) -> str:
+    """The vector with its first numbers (those of the scaled features) scaled, but for some places."""
+    some = ", ".join(str(k) for k in range(1, len(R.SCALED_FEATURES) + 1) if k not in gone)
+    return f"list_transform(x, lambda v, i: CASE WHEN i IN ({some}) THEN (v - 0.01) / 0.1 ELSE v END)"
+
+
+def month_value(c: str) -> str:
+    v = f'coalesce("{c}", 0)::DOUBLE'
+    return {"Essential_Needs_Percentage": f"({v} - 50.0) / 20.0", "Income_Category": f"({v} - 1000.0) / 2000.0"}.get(c, v)
+
+
+# Firms by name and by set of tokens; the smallest number wins.
+CTE["firm_names"] = f"""
+SELECT firm_id, trim(name) AS display, {registry_name('trim(name)')} AS norm, list_sort(list_distinct({tokens(registry_name('trim(name)'), True)})) AS own FROM (
+  SELECT * FROM firm_list UNION ALL SELECT min(seq) + 1000000000, merchant_raw || ' SRL' FROM merchants WHERE merchant_raw <> '' AND seq % 2 = 0 GROUP BY merchant_raw)"""
+CTE["exact_firms"] = f"""
+SELECT *, concat_ws(' ', dataset, query) AS both_names, array_to_string(list_transform(list_filter(string_split(dataset, ' '), lambda t: t <> '' AND t NOT IN ({listed(LEGAL_NOISE)}))[1:2], lambda t: upper(left(t, 1)) || lower(t[2:])), ' ') AS short FROM (
+  SELECT n.query, coalesce(a.display, b.display) AS display, {canonical('coalesce(a.display, b.display)')} AS dataset
+  FROM (SELECT norm AS query, {registry_name('norm')} AS n, list_sort(list_distinct({tokens(registry_name('norm'), True)})) AS own FROM norms) n
+  LEFT JOIN (SELECT norm, arg_min(display, firm_id) AS display FROM firm_names WHERE len(own) > 0 GROUP BY norm) a ON n.n = a.norm
+  LEFT JOIN (SELECT own, arg_min(display, firm_id) AS display FROM firm_names WHERE len(own) > 0 GROUP BY own) b ON n.own = b.own
+  WHERE len(n.own) > 0 AND coalesce(a.display, b.display) IS NOT NULL)"""
+CTE["firm_texts"] = "SELECT DISTINCT both_names AS norm FROM exact_firms"
+
+
+def pick_of(labels, by: str) -> str:
+    labels = list(labels)
+    return f"[{listed(labels)}][({by}) % {len(labels)} + 1]"
+
+
+def answers_of() -> dict[str, str]:
+    """Each question's answer, by the rule of the queries' stand-in profiles; several chosen ones as a list."""
+    out = {g: pick_of(o, f"c_custkey + {k}") for k, (g, o) in enumerate(R.QUESTIONS.items())}
+    out |= {g: f"list_distinct([{pick_of(o, 'c_custkey')}] || CASE WHEN c_custkey % 2 = 0 THEN [{pick_of(o, 'c_custkey + 1')}] ELSE [] END)" for g, o in R.MULTI_QUESTIONS.items()}
+    return out | {g: pick_of(steps, f"c_custkey + {k}") for k, (g, (_, steps)) in enumerate(R.ORDINAL_QUESTIONS.items())}
+
+
+CTE["answered"] = "SELECT c_custkey, " + ", ".join(f'{v} AS "{g}"' for g, v in answers_of().items()) + " FROM customer"
+
+
+def profile_values() -> dict[str, str]:
+    out = {f: f'("{g}" = {s(label)})::INT::DOUBLE' for g, options in R.QUESTIONS.items() for label, f in options.items()}
+    out |= {f: f'list_contains("{g}", {s(label)})::INT::DOUBLE' for g, options in R.MULTI_QUESTIONS.items() for label, f in options.items()}
+    out |= {name: f'({case([(f"{chr(34)}{g}{chr(34)} = {s(label)}", f"{v}::DOUBLE") for label, v in steps.items()])})' for g, (name, steps) in R.ORDINAL_QUESTIONS.items()}
+    for k, n in enumerate(R.NUMERIC_FEATURES):
+        number = f"(20 + (c_custkey + {k}) % 40)::DOUBLE"
+        out[n] = f"CASE WHEN c_custkey % 5 = 0 THEN 0::DOUBLE ELSE {number} END" if n in R.LIFETIMES else number
+    return out
+
+
 def used(sql: str) -> list[str]:
     """The CTEs that a text needs, in order of definition."""
     import re
@@ -445,6 +507,12 @@ def oracle_sql() -> dict[str, str]:
         kind = "VARCHAR" if c == "Behavior_Risk_Level" else "DOUBLE" if c in R.REAL_COLUMNS else "INT"
         value = "income" if c == "Income_Category" else f"(f.\"{c}\" >= {R.DISTRIBUTION_LEAST})::INT" if c.startswith("Expense_Distribution_") else f'f."{c}"' if c in R.feature_columns() else "l.quality" if c == "Gender_Female" else "NULL"
         final.append(f'({value})::{kind} AS "{c}"')
+    values, assembled = profile_values(), []
+    for c in MONTH_COLUMNS:
+        value = "1000.0::DOUBLE" if c == "Income_Category" else f'("{c}" >= {R.DISTRIBUTION_LEAST})::INT::DOUBLE' if c.startswith("Expense_Distribution_") else f'"{c}"::DOUBLE' if c in R.feature_columns() else values.get(c, "0::DOUBLE")
+        if c.startswith("Savings_Obstacle_"):
+            value = f'CASE WHEN coalesce("Save_Money_Yes", 0) >= 0.5 THEN 0 ELSE {value} END'
+        assembled.append(f'{value} AS "{c}"')
     money = "coalesce(round(sum(abs(amount)::DECIMAL(18, 4)) FILTER (WHERE txn_type = 'salary_income' AND direction = 'credit'), 2), 0)::DOUBLE"
     ref = r"nullif(upper(regexp_extract(coalesce(raw_description, ''), '\bREF\s*[:=]?\s*([A-Z0-9-]+)', 1, 'i')), '')"
     desc = r"trim(regexp_replace(upper(coalesce(raw_description, '')), '\s+', ' ', 'g'))"
@@ -495,12 +563,10 @@ def oracle_sql() -> dict[str, str]:
         "header_footer_removal": f"SELECT l.doc_id, l.page_no, l.line_no, l.line FROM edged l WHERE NOT {NOISE} AND NOT EXISTS (SELECT 1 FROM (SELECT doc_id, key FROM (SELECT doc_id, key FROM edged WHERE up <= 4 UNION ALL SELECT doc_id, key FROM edged WHERE down <= 4) GROUP BY ALL HAVING count(*) >= 2) g WHERE g.doc_id = l.doc_id AND g.key = l.key)",
         "statement_candidates": "SELECT * FROM candidates",
         "statement_parse": f"SELECT doc_id, candidate AS seq, {entry_id('candidate', 'booking_date', 'amount', 'direction', 'raw_description', 'section')} AS transaction_id, booking_date, amount, currency, direction, raw_description, section AS source_section FROM parsed",
-        "section_carry": "SELECT conv_id, turn, last_value(CASE WHEN role <> 'assistant' THEN role END IGNORE NULLS) OVER d AS section, count(CASE WHEN role <> 'assistant' THEN role END) OVER d AS run FROM conversations WINDOW d AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)",
-        "candidate_text": "SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY entry) AS candidate, text FROM (SELECT conv_id, turn // 2 AS entry, string_agg(coalesce(text, ''), ' ' ORDER BY turn) AS text FROM conversations GROUP BY ALL)",
-        "amount_parse": f"SELECT literal, {amount_of('l')} AS amount FROM (SELECT literal, ltrim(literal, '+-') AS l FROM {table_of([(x,) for x in LITERALS], 'literal')})",
+        "amount_parse": f"SELECT literal, {amount_of('l')} AS amount FROM (SELECT literal, ltrim(literal, '+-') AS l FROM (SELECT literal FROM {table_of([(x,) for x in LITERALS], 'literal')} UNION SELECT CASE p_partkey % 4 WHEN 0 THEN printf('%.2f', p_retailprice) WHEN 1 THEN replace(printf('%.2f', p_retailprice), '.', ',') WHEN 2 THEN format('{{:,.2f}}', p_retailprice) ELSE '-' || translate(format('{{:,.2f}}', p_retailprice), ',.', '.,') END FROM part))",
         "transaction_id": f"SELECT seq, d AS raw_description, {entry_id('seq', 'booking_date', 'amount', 'direction', 'd', 'source_section')} AS id FROM (SELECT *, {described('whole', 'booking_date')} AS d FROM (SELECT *, booking_date || ' ' || raw_description AS whole FROM ledger))",
         "registry_tokens": f"SELECT name, array_to_string(list_sort(list_distinct({tokens('n', True)})), '|') AS screened, array_to_string(list_sort(list_distinct({tokens('n', False)})), '|') AS tokens, array_to_string(list_transform(list_sort(list_transform(list_filter(k, lambda t, i: list_position(k, t) = i), lambda t, i: {{b: CASE WHEN left(t, 4) IN ({listed(R.BRAND_PREFIXES)}) THEN 0 ELSE 1 END, l: -length(t), i: i, t: t}}))[1:3], lambda x: x.t), '|') AS important FROM (SELECT *, {tokens('n', True)} AS k FROM (SELECT name, {registry_name('name')} AS n FROM (SELECT s_name AS name FROM supplier UNION SELECT p_name || ' SRL Romania ' || p_type FROM part)))",
-        "registry_blocking": f"SELECT query, firm_id, block_score, block_rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY block_score DESC, firm_id) AS block_rank FROM (SELECT query, firm_id, sum(w)::BIGINT AS block_score FROM (SELECT query, firm_id, CASE WHEN a = b THEN 3 ELSE 0 END + CASE WHEN length(a) >= 4 AND length(b) >= 4 AND left(a, 4) = left(b, 4) THEN 1 ELSE 0 END AS w FROM (SELECT query, unnest(list_distinct({tokens(registry_name('query'), True)})) AS a FROM wanted), (SELECT firm_id, unnest(list_distinct({tokens(registry_name('name'), True)})) AS b FROM firm_list)) WHERE w > 0 GROUP BY ALL)) WHERE block_rank <= 20",
+        "registry_blocking": f"SELECT query, firm_id, block_score, block_rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY block_score DESC, firm_id) AS block_rank FROM (SELECT query, firm_id, sum(w)::BIGINT AS block_score FROM (SELECT query, firm_id, CASE WHEN a = b THEN 3 ELSE 0 END + CASE WHEN length(a) >= 4 AND length(b) >= 4 AND left(a, 4) = left(b, 4) THEN 1 ELSE 0 END AS w FROM (SELECT query, unnest(list_distinct({tokens(registry_name('query'), True)})) AS a FROM wanted), (SELECT firm_id, unnest(list_distinct({tokens(registry_name('name'), True)})) AS b FROM firm_list)) WHERE w > 0 GROUP BY ALL)) WHERE block_rank <= {R.REGISTRY_CANDIDATES}",
         "registry_topk_match": "SELECT query, firm_id, round_even(score, 6) AS score FROM best_firm",
         "registry_code_join": f"SELECT firm, code, description, coalesce({mapped('code', R.INDUSTRY_OVERRIDES)}, description, {s(R.UNKNOWN_INDUSTRY)}) AS industry FROM (SELECT DISTINCT l_suppkey AS firm, lpad(l_partkey::VARCHAR, greatest(4, length(l_partkey::VARCHAR))::INT, '0') AS code FROM lineitem JOIN supplier ON l_suppkey = s_suppkey) LEFT JOIN (SELECT lpad(p_partkey::VARCHAR, 4, '0') AS class, arg_min(p_name, p_partkey) AS description FROM part GROUP BY 1) ON class = code",
         "registry_resolve": f"SELECT w.query, CASE WHEN b.query IS NOT NULL THEN 'onrc' WHEN x.name IS NOT NULL THEN 'termene' ELSE 'not_found' END AS source, coalesce(f.name, x.name) AS name, coalesce(f.firm_id::VARCHAR, x.cui) AS cui FROM wanted w LEFT JOIN best_firm b ON w.query = b.query LEFT JOIN firm_list f ON b.firm_id = f.firm_id LEFT JOIN (SELECT * FROM (VALUES ('COLD STORES', 'Cold Stores', '77'), ('ECONOMY', 'Economy Trade', '78')) v(query_norm, name, cui)) x ON b.query IS NULL AND {registry_name('w.query')} = x.query_norm",
@@ -509,22 +575,31 @@ def oracle_sql() -> dict[str, str]:
         "transfer_exact_terms": f"SELECT seq, recipient_iban, recipient_name, entity_key, {dictionary('category')} AS category, {dictionary('term')} AS term FROM (SELECT *, trim(concat_ws(' ', rec, txt)) AS hay FROM ({parties('typed')})) WHERE tr",
         "onehot_encode": f"SELECT c_custkey, {', '.join(f'(c_mktsegment = {s(x)})::INT::DOUBLE AS Segment_{x.title()}' for x in SEGMENTS)}, {', '.join(f'list_contains(statuses, {s(x)})::INT::DOUBLE AS Status_{x}' for x in 'FOP')}, ({mapped('priority', PRIORITIES)})::DOUBLE AS \"Priority\" FROM answers",
         "onehot_decode": "SELECT c_custkey, c_mktsegment AS segment, array_to_string(statuses, '; ') AS statuses, priority FROM answers",
-        "scale_score": f"SELECT vec_id, risk_score, saving_probability, {LEVEL} AS risk_level FROM scored",
+        "scale_score": f"SELECT vec_id, risk_score, saving_probability, {LEVEL} AS risk_level FROM (SELECT vec_id, round_even(1 - p, 6) AS risk_score, round_even(p, 6) AS saving_probability FROM (SELECT vec_id, {linear(seven())} AS p FROM vectors, weights))",
+        "scaler_widths": " UNION ALL ".join(f"SELECT '{name}' AS scaler, vec_id, round_even(1 - {linear(seven(*gone))}, 6) AS risk_score FROM vectors, weights" for name, gone in {"full": (), "no_income": (2,), "no_age_income": (1, 2), "subset": (), "subset_no_income": (2,), "untold": ()}.items()),
+        "score_months": "SELECT doc_id, statement_month, round_even(round_even(1 - p, 6), 4) AS risk_score, round_even(p, 4) AS saving_probability FROM (SELECT doc_id, statement_month, " + linear("x", 0.1) + f" AS p FROM (SELECT doc_id, statement_month, [{', '.join(month_value(c) for c in MONTH_COLUMNS)}] AS x FROM final_rows), month_weights)",
+        "field_renames": "SELECT c_custkey, coalesce(CASE WHEN c_custkey % 3 <> 0 THEN (c_custkey % 50)::DOUBLE END, CASE WHEN c_custkey % 5 <> 0 THEN (c_custkey % 100)::DOUBLE END) AS \"Expense_Distribution_Food\", CASE WHEN c_custkey % 7 <> 0 THEN trunc(c_acctbal)::DOUBLE END AS \"Expense_Distribution_Housing\", (c_custkey % 9)::DOUBLE AS \"Save_Money_Yes\" FROM customer",
+        "traceability": "SELECT DISTINCT source AS doc_id, true AS processed FROM documents",
+        "registry_exact": f"SELECT query, coalesce(c.contained_name, a.name, nullif(short, ''), display) AS brand FROM exact_firms e LEFT JOIN (SELECT norm AS both_names, contained_name FROM ({contained('firm_texts')})) c ON e.both_names = c.both_names LEFT JOIN aliases a ON e.dataset = a.alias",
+        "assemble_row": f"SELECT c_custkey, {', '.join(assembled)} FROM whole JOIN answered ON doc_id = c_custkey",
+        "profile_encode": "SELECT c_custkey, " + ", ".join(f'{v} AS "{n}"' for n, v in profile_values().items()) + ", true AS complete FROM answered",
         "factor_topk": f"SELECT m.vec_id, coalesce(a.t, '') AS top_factors, coalesce(b.t, '') AS risk_factors, coalesce(c.t, '') AS healthy_factors FROM model m LEFT JOIN {top('true', 'abs(c) DESC')} a ON m.vec_id = a.vec_id LEFT JOIN {top('c > 0', 'c DESC')} b ON m.vec_id = b.vec_id LEFT JOIN {top('c < 0', 'c')} c ON m.vec_id = c.vec_id",
         "alerts": f"SELECT vec_id, array_to_string(list_filter([{', '.join(f'CASE WHEN {c} THEN {s(m)} END' for c, m in rules)}], lambda x: x IS NOT NULL), ',') AS alerts FROM scored",
         "monthly_average": "SELECT a.label, risk_score, saving_probability, months, factors FROM (SELECT label, round_even(avg(risk_score), 6) AS risk_score, round_even(avg(saving_probability), 6) AS saving_probability, count(*) AS months FROM scored GROUP BY label) a JOIN (SELECT label, string_agg(f, ',' ORDER BY abs(m) DESC, f) AS factors FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY abs(m) DESC, f) AS k FROM (SELECT label, f, round_even(avg(round_even(c, 6)), 6) AS m FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY abs(c) DESC, i) AS r FROM contributions) WHERE r <= 5 GROUP BY ALL)) WHERE k <= 5 GROUP BY label) b ON a.label = b.label",
         "month_backfill_update": "SELECT statement_month, coalesce(r, -0.25) AS \"Risk_Score\", CASE WHEN coalesce(r, -0.25) <= -0.10 THEN 'Healthy' WHEN coalesce(r, -0.25) <= 0.20 THEN 'Moderate' ELSE 'Risky' END AS \"Behavior_Risk_Level\", \"Save_Money_Yes\" FROM (" + features("month_totals", "statement_month") + ") LEFT JOIN (VALUES ('2024-01', 0.15::DOUBLE), ('2024-02', 0.5)) v(month, r) ON statement_month = month",
-        "report_cap": "SELECT doc_id, count(*) FILTER (WHERE k <= 20) AS kept, greatest(0, count(*) - 20) AS transactions_omitted_from_report, max(seq) FILTER (WHERE k <= 20) AS last_kept FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY seq) AS k FROM ledger) GROUP BY doc_id",
+        "report_cap": "SELECT seq, transaction_id, amount, greatest(0, (SELECT count(*) FROM ledger) - 500) AS transactions_omitted_from_report FROM ledger ORDER BY seq LIMIT 500",
         "semi_anti_union_sets": "SELECT 'semi' AS part, c_custkey FROM customer WHERE c_custkey IN (SELECT c FROM big) UNION ALL SELECT 'anti', c_custkey FROM customer WHERE c_custkey NOT IN (SELECT c FROM big) UNION ALL (SELECT 'intersect', c FROM big INTERSECT SELECT 'intersect', c FROM urgent) UNION ALL SELECT DISTINCT 'except', c FROM (SELECT c FROM big EXCEPT ALL SELECT c FROM urgent) UNION ALL (SELECT 'union', c FROM big UNION SELECT 'union', c FROM urgent)",
     }
-    mirrored = lambda rows: f"SELECT *, min(seq) OVER (PARTITION BY ref, txn_type) AS place, row_number() OVER (PARTITION BY ref, txn_type ORDER BY (fd = 'debit' AND direction = 'credit') DESC, seq) AS k FROM (SELECT *, first_value(direction) OVER (PARTITION BY ref, txn_type ORDER BY seq) AS fd FROM (SELECT *, CASE WHEN txn_type IN ('internal_transfer', 'external_transfer') THEN {ref} END AS ref FROM {rows}))"
+    mirrored = lambda rows: f"SELECT *, min(seq) OVER (PARTITION BY ref, round_even(amount, 2), txn_type) AS place, row_number() OVER (PARTITION BY ref, round_even(amount, 2), txn_type ORDER BY (fd = 'debit' AND direction = 'credit') DESC, seq) AS k FROM (SELECT *, first_value(direction) OVER (PARTITION BY ref, round_even(amount, 2), txn_type ORDER BY seq) AS fd FROM (SELECT *, CASE WHEN txn_type IN ('internal_transfer', 'external_transfer') THEN {ref} END AS ref FROM {rows}))"
     more = {
         "kpi_block": {"kpi_totals": totals(keys="doc_id", group="GROUP BY doc_id", more=", count(*) FILTER (WHERE txn_type IN ('external_transfer', 'internal_transfer') AND state IN ('unknown', 'candidate')) AS unknown_transfer_count")},
-        "dedup_mirror": {"tied": mirrored("typed")},
-        "removed_ids": {"once": f"SELECT *, row_number() OVER (PARTITION BY booking_date, direction, source_section, {desc} ORDER BY seq) AS r FROM typed", "tied": mirrored("(SELECT * FROM once WHERE r = 1)")},
+        "dedup_mirror": {"tied": mirrored("both_sides")},
+        "removed_ids": {"once": f"SELECT *, row_number() OVER (PARTITION BY booking_date, round_even(amount, 2), direction, source_section, {desc} ORDER BY seq) AS r FROM both_sides", "tied": mirrored("(SELECT * FROM once WHERE r = 1)")},
         "header_footer_removal": {"edged": f"SELECT *, {KEY} AS key, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY line_no) AS up, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY line_no DESC) AS down FROM page_lines"},
         "semi_anti_union_sets": {"big": "SELECT o_custkey AS c FROM orders WHERE o_totalprice > 200000", "urgent": "SELECT o_custkey AS c FROM orders WHERE o_orderpriority = '1-URGENT'"},
     }
+    more["score_months"] = {"final_rows": out["final_row_month"]}
+    more["assemble_row"] = {"whole_totals": totals(keys="doc_id", group="GROUP BY doc_id"), "whole": features("whole_totals", "doc_id")}
     done = {name: q(sql, **more.get(name, {})) for name, sql in out.items()}
     done["memory_backfill"] = q(f"SELECT seq, state, evidence_type, match_source, category_area, confidence, fuzzy_match_term, fuzzy_match_score FROM transferred WHERE {tr}", **memory)
     done["memory_upsert"] = q(

@@ -16,8 +16,9 @@ from ..operators import scoring as S
 from ..operators import statements as P
 from ..operators import transfers as T
 from ..runtime import keep
-from ..sources.tables import ledger, month_key, read_table
-from .end_to_end import classify_rows
+from ..sources import sinks
+from ..sources.tables import ledger, month_key, read_table, renamed_fields, traceability
+from .end_to_end import classify_rows, score_months
 
 #: Amounts as statements write them.
 LITERALS = ["1,000.00", "2.900,00", "2,900", "1.000.00", "1,000,00", "12,5", "77.20", "+3500,00", "-12.30", "1234", "12,34"]
@@ -80,6 +81,25 @@ def q_normalise_cascade(spark, d):
     return out.select("seq", "merchant_canonical", "normalization_source", "merchant_match_method", "mapping_method", "confidence")
 
 
+def registry_of_merchants(spark: SparkSession, d: str) -> DataFrame:
+    """A registry of firms: parts, and the merchants' own spellings with a legal form."""
+    parts = firms(spark, d).select("firm_id", "name")
+    own = typed(spark, d).filter("merchant_raw is not null and merchant_raw != '' and seq % 2 = 0").groupBy("merchant_raw").agg(F.min("seq").alias("firm_id"))
+    return parts.unionByName(own.select((F.col("firm_id") + 1_000_000_000).alias("firm_id"), F.concat("merchant_raw", F.lit(" SRL")).alias("name")))
+
+
+def q_normalise_registry(spark, d):
+    """Names by registry first: the whole cascade with firms."""
+    out = M.normalise_merchants(typed(spark, d), M.alias_table(spark), keep(registry_of_merchants(spark, d), "firms"), fuzzy=False)
+    return out.select("seq", "merchant_canonical", "normalization_source", "merchant_match_method", "mapping_method", "confidence")
+
+
+def q_registry_exact(spark, d):
+    """Names that a firm has, or whose tokens it has, with the brand that the firm's name gives."""
+    found = M.exact_registry(M.registry_queries(norms(spark, d), "norm"), M.registry(registry_of_merchants(spark, d))).withColumn("score", F.lit(100.0))
+    return M.brand_names(keep(found, "exact-firms"), M.alias_table(spark)).select("query", "brand")
+
+
 def q_category_map(spark, d):
     rows = M.normalise_merchants(typed(spark, d), M.alias_table(spark), fuzzy=False)
     return C.map_categories(rows).select("seq", "merchant_canonical", "category_area", "mapping_method")
@@ -165,15 +185,21 @@ def q_dedup_exact(spark, d):
     return kept.select("seq", "transaction_id", "booking_date", "amount")
 
 
+def with_mirrors(spark: SparkSession, d: str) -> DataFrame:
+    """Classified rows, and of every third transfer the other account's side: the other direction, a later row."""
+    rows = C.classify_types(ledger(spark, d))
+    other = rows.filter("txn_type in ('internal_transfer', 'external_transfer') and seq % 3 = 0")
+    other = other.withColumns({"direction": F.when(F.col("direction") == "debit", "credit").otherwise("debit"), "seq": F.col("seq") + 1_000_000_000, "transaction_id": F.concat("transaction_id", F.lit("m"))})
+    return rows.unionByName(other)
+
+
 def q_dedup_mirror(spark, d):
-    rows = C.classify_types(ledger(spark, d)).withColumn("amount", F.lit(10.0))
-    kept, _ = D.without_mirrors(rows)
+    kept, _ = D.without_mirrors(with_mirrors(spark, d))
     return kept.select("seq", "transaction_id", "direction", "txn_type")
 
 
 def q_removed_ids(spark, d):
-    rows = C.classify_types(ledger(spark, d)).withColumn("amount", F.lit(10.0))
-    return D.deduplicate(rows)[1].select("transaction_id", "seq", "reason")
+    return D.deduplicate(with_mirrors(spark, d))[1].select("transaction_id", "seq", "reason")
 
 
 def documents_as_pages(spark, d):
@@ -219,22 +245,13 @@ def q_statement_parse(spark, d):
     return P.parse_candidates(P.candidates(statement_lines(spark, d)))
 
 
-def q_section_carry(spark, d):
-    """Sections of conversations: the last role that is not the assistant's is carried on, and runs of it are numbered."""
-    rows = read_table(spark, d, "conversations").withColumn("event", F.when(F.col("role") != "assistant", F.col("role")))
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.select("conv_id", "turn", F.last("event", ignorenulls=True).over(w).alias("section"), F.count("event").over(w).alias("run"))
-
-
-def q_candidate_text(spark, d):
-    """Turns of each run of a conversation joined in order, with the number of the run."""
-    rows = read_table(spark, d, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"), F.floor(F.col("turn") / 2).alias("entry"))
-    joined = rows.groupBy("conv_id", "entry").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), " ").alias("text"))
-    return joined.select("conv_id", F.row_number().over(Window.partitionBy("conv_id").orderBy("entry")).alias("candidate"), "text")
-
-
 def q_amount_parse(spark, d):
-    return spark.createDataFrame([(x,) for x in LITERALS], "literal string").select("literal", P.amount_value(F.ltrim(F.col("literal"), F.lit("+-"))).alias("amount"))
+    """Amounts as statements may write them: fixed literals, and prices of parts in four notations."""
+    price, key = F.col("p_retailprice"), F.col("p_partkey")
+    plain = F.format_string("%.2f", price)
+    notation = F.when(key % 4 == 0, plain).when(key % 4 == 1, F.replace(plain, F.lit("."), F.lit(","))).when(key % 4 == 2, F.format_number(price, 2)).otherwise(F.concat(F.lit("-"), F.translate(F.format_number(price, 2), ",.", ".,")))
+    literals = spark.createDataFrame([(x,) for x in LITERALS], "literal string").union(read_table(spark, d, "part").select(notation)).distinct()
+    return literals.select("literal", P.amount_value(F.ltrim(F.col("literal"), F.lit("+-"))).alias("amount"))
 
 
 def q_transaction_id(spark, d):
@@ -261,7 +278,7 @@ def q_registry_tokens(spark, d):
 
 def q_registry_blocking(spark, d):
     queries, reg = M.registry_queries(wanted(spark, d), "query"), M.registry(firms(spark, d))
-    return M.blocking_scores(queries, reg, 20)
+    return M.blocking_scores(queries, reg)
 
 
 def q_registry_topk_match(spark, d):
@@ -379,8 +396,64 @@ def scored(spark: SparkSession, d: str) -> DataFrame:
     return model_rows(spark, d).withColumns({"risk_score": risk, "saving_probability": F.bround(S.clamp(saving), 6)})
 
 
+#: Names of a vector's numbers as a model's columns: the scaled ones first.
+VECTOR = [*R.SCALED_FEATURES, *(f"f{k:02d}" for k in range(len(R.SCALED_FEATURES), 64))]
+
+
+def vector_rows(spark: SparkSession, d: str) -> DataFrame:
+    return read_table(spark, d, "embeddings").select("vec_id", *[F.col("embedding")[k].cast("double").alias(c) for k, c in enumerate(VECTOR)])
+
+
+def vector_model(width: int | None = None, size: int = 64) -> S.Model:
+    """A linear model over VECTOR, its scaler given by place for ``size`` columns."""
+    mean, scale = S.scaler_of(VECTOR, [0.01] * size, [0.1] * size, width)
+    return S.Model(VECTOR, mean, scale, WEIGHTS, 0.25)
+
+
 def q_scale_score(spark, d):
-    return scored(spark, d).select("vec_id", "risk_score", "saving_probability", S.risk_level(F.col("risk_score")).alias("risk_level"))
+    out = S.predict(vector_rows(spark, d), vector_model(), "vec_id")
+    return out.select("vec_id", "risk_score", F.bround("saving_probability", 6).alias("saving_probability"), "risk_level")
+
+
+def q_scaler_widths(spark, d):
+    """The same rows by the six kinds of scalers: on all columns, without income, without age and income, on the scaled ones, on
+    these without income, and one that does not tell its width."""
+    n = len(R.SCALED_FEATURES)
+    kinds = {"full": (64, 64), "no_income": (63, 63), "no_age_income": (62, 62), "subset": (n, n), "subset_no_income": (n - 1, n - 1), "untold": (None, n)}
+    out = None
+    for name, (width, size) in kinds.items():
+        part = S.predict(vector_rows(spark, d), vector_model(width, size), "vec_id").select(F.lit(name).alias("scaler"), "vec_id", "risk_score")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+#: Weights of a linear model over the final columns, by a rule.
+MONTH_COLUMNS = [c for c in R.final_columns() if c not in ("Risk_Score", "Behavior_Risk_Level")]
+MONTH_WEIGHTS = [((k * 29) % 17 - 8) / 400 for k in range(len(MONTH_COLUMNS))]
+
+
+def q_score_months(spark, d):
+    """Predictions of the final monthly rows; a feature without a value counts as 0."""
+    model = S.Model(MONTH_COLUMNS, {"Essential_Needs_Percentage": 50.0, "Income_Category": 1000.0}, {"Essential_Needs_Percentage": 20.0, "Income_Category": 2000.0}, MONTH_WEIGHTS, 0.1)
+    out = score_months(q_final_row_month(spark, d), model, ("doc_id", "statement_month"))
+    return out.select("doc_id", "statement_month", F.bround("risk_score", 4).alias("risk_score"), F.bround("saving_probability", 4).alias("saving_probability"))
+
+
+def q_field_renames(spark, d):
+    """Shares under older names, some no numbers, some given twice."""
+    key = F.col("c_custkey")
+    rows = read_table(spark, d, "customer").select(
+        "c_custkey",
+        F.when(key % 5 == 0, "n/a").otherwise((key % 100).cast("string")).alias("Expense_Distribution_Food"),
+        F.when(key % 3 == 0, F.lit(None).cast("string")).otherwise((key % 50).cast("string")).alias("food_total_pct"),
+        F.when(key % 7 == 0, "x").otherwise(F.col("c_acctbal").cast("int").cast("string")).alias("housing_total_pct"),
+        (key % 9).alias("Save_Money_Yes"),
+    )
+    return renamed_fields(rows, "c_custkey")
+
+
+def q_traceability(spark, d):
+    return traceability(documents_as_pages(spark, d))
 
 
 def q_factor_topk(spark, d):
@@ -418,10 +491,9 @@ def q_month_backfill_update(spark, d):
 
 
 def q_report_cap(spark, d):
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("seq"))
-    rows = ledger(spark, d).withColumn("k", rank)
-    kept = rows.groupBy("doc_id").agg(F.count_if(F.col("k") <= 20).alias("kept"), F.greatest(F.lit(0).cast("long"), F.count(F.lit(1)) - 20).alias("transactions_omitted_from_report"), F.max(F.when(F.col("k") <= 20, F.col("seq"))).alias("last_kept"))
-    return kept
+    """The transactions of a report, which takes the first 500, with the number left out."""
+    rows, omitted = sinks.capped(ledger(spark, d), 500)
+    return rows.select("seq", "transaction_id", "amount").join(F.broadcast(omitted), F.lit(True))  # one row
 
 
 def q_semi_anti_union_sets(spark, d):

@@ -60,6 +60,8 @@ TRANSFER_TERMS = {
     },
 }
 #: Tokens that normalised descriptions and terms lose.
+#: Fixed value: references inside transfer descriptions.
+TRANSFER_REFERENCE = r"\b(?:ref|rrn|tid)\s*:?\s*[a-z0-9-]+\b"
 NOISE_TOKENS = ["REF", "RRN", "TID", "POS", "EPOS", "PLATA", "TRANSFER", "INSTANT", "CANAL", "ELECTRONIC"]
 
 # Merchant extraction.
@@ -344,6 +346,7 @@ NOT_PURCHASED = ["not purchased yet", "not_purchased"]
 SCALED_FEATURES = ["Age", "Income_Category", "Essential_Needs_Percentage", *LIFETIMES]
 HEALTHY_BELOW, RISKY_FROM = 0.33, 0.67
 HIGH_RISK, SAVING_LEAST, TOP_FACTORS = 0.7, 0.5, 5
+#: Older names of the model's share columns.
 PERCENT_ALIASES = {f"{c.lower()}_total_pct": f"Expense_Distribution_{c}" for c in DISTRIBUTION}
 
 TRANSACTION_COLUMNS = [
@@ -384,18 +387,78 @@ TRANSACTION_COLUMNS = [
 ]
 
 
+#: The columns of the final monthly row, in order.
+FINAL_COLUMNS = [
+    "Age",
+    "Income_Category",
+    "Essential_Needs_Percentage",
+    "Product_Lifetime_Clothing",
+    "Product_Lifetime_Tech",
+    "Product_Lifetime_Appliances",
+    "Product_Lifetime_Cars",
+    "Impulse_Buying_Frequency",
+    "Debt_Level",
+    "Bank_Account_Analysis_Frequency",
+    "Savings_Goal_Major_Purchases",
+    "Savings_Goal_Retirement",
+    "Savings_Goal_Emergency_Fund",
+    "Savings_Goal_Child_Education",
+    "Savings_Goal_Vacation",
+    "Savings_Goal_Other",
+    "Savings_Obstacle_Other",
+    "Savings_Obstacle_Insufficient_Income",
+    "Savings_Obstacle_Other_Expenses",
+    "Savings_Obstacle_Not_Priority",
+    "Expense_Distribution_Food",
+    "Expense_Distribution_Housing",
+    "Expense_Distribution_Transport",
+    "Expense_Distribution_Entertainment",
+    "Expense_Distribution_Health",
+    "Expense_Distribution_Personal_Care",
+    "Expense_Distribution_Child_Education",
+    "Expense_Distribution_Other",
+    "Credit_Usage_Essential_Needs",
+    "Credit_Usage_Major_Purchases",
+    "Credit_Usage_Unexpected_Expenses",
+    "Credit_Usage_Personal_Needs",
+    "Credit_Usage_Never_Used",
+    "Family_Status_Another",
+    "Family_Status_In a relationship/married with children",
+    "Family_Status_In a relationship/married without children",
+    "Family_Status_Single, no children",
+    "Family_Status_Single, with children",
+    "Gender_Female",
+    "Gender_Male",
+    "Gender_Prefer not to say",
+    "Financial_Attitude_I am disciplined in saving",
+    "Financial_Attitude_I try to find a balance",
+    "Financial_Attitude_Spend more than I earn",
+    "Budget_Planning_Don't plan at all",
+    "Budget_Planning_Plan budget in detail",
+    "Budget_Planning_Plan only essentials",
+    "Save_Money_No",
+    "Save_Money_Yes",
+    "Impulse_Buying_Category_Clothing or personal care products",
+    "Impulse_Buying_Category_Electronics or gadgets",
+    "Impulse_Buying_Category_Entertainment",
+    "Impulse_Buying_Category_Food",
+    "Impulse_Buying_Category_Other",
+    "Impulse_Buying_Reason_Discounts or promotions",
+    "Impulse_Buying_Reason_Other",
+    "Impulse_Buying_Reason_Self-reward",
+    "Impulse_Buying_Reason_Social pressure",
+    "Financial_Investments_No, but interested",
+    "Financial_Investments_No, not interested",
+    "Financial_Investments_Yes, occasionally",
+    "Financial_Investments_Yes, regularly",
+    "Risk_Score",
+    "Behavior_Risk_Level",
+]
+
+
 def final_columns() -> list[str]:
     """The 64 columns of the final monthly row, in order."""
-    distribution = [f"Expense_Distribution_{c}" for c in DISTRIBUTION]
-    goals = list(MULTI_QUESTIONS["Savings goals"].values())
-    obstacles = ["Savings_Obstacle_Other", "Savings_Obstacle_Insufficient_Income", "Savings_Obstacle_Other_Expenses", "Savings_Obstacle_Not_Priority"]
-    families = ["Family_Status_Another", *list(QUESTIONS["Family status"].values())[:4]]
-    reasons = ["Impulse_Buying_Reason_Discounts or promotions", "Impulse_Buying_Reason_Other", "Impulse_Buying_Reason_Self-reward", "Impulse_Buying_Reason_Social pressure"]
-    many = [list(QUESTIONS[q].values()) for q in ("Credit usage", "Gender", "Financial attitude", "Budget planning", "Financial investments")]
-    credit, gender, attitude, budget, investments = many
-    impulse = [f"Impulse_Buying_Category_{c}" for c in IMPULSE_CATEGORIES]
-    head = ["Age", "Income_Category", "Essential_Needs_Percentage", *LIFETIMES, "Impulse_Buying_Frequency", "Debt_Level", "Bank_Account_Analysis_Frequency"]
-    return [*head, *goals, *obstacles, *distribution, *credit, *families, *gender, *attitude, *budget, "Save_Money_No", "Save_Money_Yes", *impulse, *reasons, *investments, "Risk_Score", "Behavior_Risk_Level"]
+    return list(FINAL_COLUMNS)
 
 
 def feature_columns() -> list[str]:

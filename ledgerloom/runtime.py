@@ -44,3 +44,22 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Parts that rows without a key are dealt over.
+SPREAD = 1024
+
+
+def left_join_spread(left: DataFrame, right: DataFrame, key: str, *by: str) -> DataFrame:
+    """left joined with right (one row for each key). Rows without a key, null or empty, match nothing: they are dealt out by the columns ``by``, not all to one task."""
+    spread = F.concat(F.lit("\u0000"), F.pmod(F.xxhash64(*by), F.lit(SPREAD)).cast("string"))
+    has = F.coalesce(F.col(key) != "", F.lit(False))
+    rows = left.withColumn("__to", F.when(has, F.col(key)).otherwise(spread))
+    return rows.join(right.withColumnRenamed(key, "__of"), has & (F.col("__to") == F.col("__of")), "left").drop("__to", "__of")
+
+
+def bounded(table: DataFrame, most: int, what: str) -> DataFrame:
+    """A broadcast of a caller's table, once it is known to have ``most`` rows at most; more are an error."""
+    if table.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} {what}")
+    return F.broadcast(table)

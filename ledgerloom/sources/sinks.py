@@ -34,7 +34,9 @@ def capped(df: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
 
 
 def run_report(df: DataFrame, sections: dict[str, DataFrame], most: int = 500) -> str:
-    """A JSON report with sorted keys: one-row sections, and the first transactions."""
+    """A JSON report with sorted keys: one-row sections, and the first transactions. Without a cap use write_report."""
+    if most < 0:
+        raise ValueError("a report of all transactions is written by Spark: use write_report")
     rows, omitted = capped(df, most)
     out = {name: (lambda r: r.asDict(True) if r else {})(section.first()) for name, section in sections.items()}
     out["transactions"] = [json.loads(r.j) for r in rows.select(F.to_json(F.struct("*")).alias("j")).collect()]
@@ -42,6 +44,16 @@ def run_report(df: DataFrame, sections: dict[str, DataFrame], most: int = 500) -
     return json.dumps(out, indent=2, ensure_ascii=False, sort_keys=True, default=str)
 
 
+def write_report(df: DataFrame, sections: dict[str, DataFrame], path: str, most: int = 500) -> None:
+    """The same report as a folder: ``sections`` (one line of JSON) and ``transactions``, which never pass the driver."""
+    rows, omitted = capped(df, most)
+    whole = omitted
+    for name, section in sections.items():
+        whole = whole.join(F.broadcast(section.limit(1).select(F.struct("*").alias(name))), F.lit(True), "left")  # one row each
+    whole.select(F.to_json(F.struct(*sorted(whole.columns))).alias("value")).coalesce(1).write.mode("overwrite").text(f"{path}/sections")
+    rows.select(F.to_json(F.struct(*sorted(rows.columns))).alias("value")).write.mode("overwrite").text(f"{path}/transactions")
+
+
 def save_memory(memory: DataFrame, path: str, profile_id: str) -> None:
     """Rewrites one profile's part of the memory, and only that."""
     memory.withColumn("profile_id", F.lit(profile_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("profile_id").parquet(path)
