@@ -14,7 +14,7 @@ from ledgerloom.operators import scoring as S
 from ledgerloom.operators import statements as P
 from ledgerloom.operators import transfers as T
 from ledgerloom.plans.end_to_end import run_statements
-from ledgerloom.sources import sinks
+from ledgerloom.sources import sinks, tables
 from ledgerloom.sources.tables import month_key, read_registry, transactions
 
 ROW = "transaction_id string, amount double, direction string, raw_description string, source_section string"
@@ -255,3 +255,85 @@ def test_streaming_totals(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(r.outgoing_expense_total for r in spark.table("t").collect()) == [5.0, 7.0]
+
+
+def test_scalers_of_any_width(spark):
+    columns = ["Age", "Income_Category", "Essential_Needs_Percentage", "x"]
+    fit = lambda n, width: S.scaler_of(columns, [float(k) for k in range(n)], [2.0] * n, width)[0]
+    assert fit(4, 4) == {"Age": 0.0, "Income_Category": 1.0, "Essential_Needs_Percentage": 2.0}
+    assert fit(3, 3) == {"Age": 0.0, "Essential_Needs_Percentage": 1.0}  # all but the income
+    assert fit(2, 2) == {"Essential_Needs_Percentage": 0.0}  # all but age and income
+    wide = [*columns, "y", "z"]
+    assert S.scaler_of(wide, [5.0, 6.0, 7.0], [1.0] * 3, 3)[0] == {"Age": 5.0, "Income_Category": 6.0, "Essential_Needs_Percentage": 7.0}
+    assert S.scaler_of(wide, [5.0, 6.0], [1.0] * 2, 2)[0] == {"Age": 5.0, "Essential_Needs_Percentage": 6.0}
+    assert S.scaler_of(wide, [5.0, 6.0, 7.0], [1.0] * 3)[0]["Income_Category"] == 6.0  # its width untold
+    assert S.scaler_of(["x"], [1.0], [1.0], 1) == ({}, {})
+    with pytest.raises(ValueError):
+        S.scaler_of(wide, [1.0], [1.0], 1)
+
+
+def test_strict_rows(spark):
+    rows = spark.createDataFrame([("r", 1.0, None), ("s", 2.0, 3.0)], "k string, a double, b double")
+    with pytest.raises(ValueError, match="extra"):
+        S.strict_rows(rows, ["a"], "k")
+    assert S.strict_rows(rows, ["a"], "k", projected=True).columns == ["k", "a"]
+    with pytest.raises(Exception, match="non-finite"):
+        S.strict_rows(rows, ["a", "b"], "k").collect()
+
+
+def test_models_of_any_kind(spark):
+    rows = spark.createDataFrame([("r", 0.5, 0.25)], "k string, a double, b double")
+    score = S.predict(rows, S.Model(["a", "b"], weights=[1.0, 0.0], output="score"), "k").first()
+    assert (score.risk_score, score.saving_probability) == (0.5, pytest.approx(0.377541, abs=1e-6))
+    for function in (lambda x: (x[0], x[1]), lambda x: {"risk_score": x[0], "saving_probability": x[1]}):
+        out = S.predict(rows, S.Model(["a", "b"], function=function), "k").first()
+        assert (out.risk_score, out.saving_probability) == (0.5, 0.25)
+
+
+def test_rule_files(spark, tmp_path):
+    path = tmp_path / "aliases.yaml"
+    path.write_text('{"b": {"canonical": "Beta", "aliases": ["BETA SHOP", " "], "regex_aliases": ["BET+A"]}, "a": {"canonical": "Alfa", "aliases": ["ALFA"]}, "c": {"aliases": ["NONE"]}}')
+    aliases, patterns = tables.alias_rules(tables.read_rules(str(path)))
+    assert list(aliases.items()) == [("Alfa", ["ALFA"]), ("Beta", ["BETA SHOP"])] and patterns == [("BET+A", "Beta", 0)]
+    path.write_text('{"merchant_categories": {"Alfa": "Food", "": "x"}, "regex_rules": [{"pattern": "bet", "category_area": "Health"}, {"pattern": ""}], "fallback_by_txn_type": {"card_purchase": "Other"}}')
+    rules = tables.category_rules(tables.read_rules(str(path)))
+    rows = spark.createDataFrame([("Alfa",), ("Beta",), ("Gama",)], "merchant_canonical string").withColumn("txn_type", F.lit("card_purchase"))
+    assert {r.merchant_canonical: r.category_area for r in C.map_categories(rows, rules).collect()} == {"Alfa": "Food", "Beta": "Health", "Gama": "Other"}
+
+
+def test_memory_of_profiles(spark, tmp_path):
+    row = lambda category, first: ("RO86INGB0000999911338663", "x", category, 0.9, "confirmed", first, first, 1, "e")
+    path = str(tmp_path / "memory")
+    for profile, category in (("p", "Housing"), ("q", "Other")):
+        sinks.save_memory(spark.createDataFrame([row(category, "2026-01")], T.MEMORY), path, profile)
+    assert tables.load_memory(spark, path, "p", T.MEMORY).first().category == "Housing"
+    assert tables.load_memory(spark, path, "z", T.MEMORY).count() == tables.load_memory(spark, path + "-none", "p", T.MEMORY).count() == 0
+    rows = [(p, "d", k, "external_transfer", "Plata Instant; Ion; diverse RO86INGB0000999911338663") for k, p in enumerate("pq")]
+    df = spark.createDataFrame(rows, "profile_id string, doc_id string, seq long, txn_type string, raw_description string")
+    df = df.withColumns({"confidence": F.lit(0.5), "category_area": F.lit(None).cast("string"), "booking_date": F.lit("01/02/2026")})
+    out = T.classify_transfers(df, spark.read.parquet(path), fuzzy=False)
+    assert {r.profile_id: r.category_area for r in out.collect()} == {"p": "Housing", "q": "Other"}
+    one = spark.createDataFrame([row("Other", "2026-02"), row("Housing", "2026-01")], T.MEMORY)
+    assert {r.category_area for r in T.classify_transfers(df, one, fuzzy=False).collect()} == {"Housing"}  # the earliest counts
+
+
+def test_reports(spark, tmp_path):
+    rows = spark.createDataFrame([(k, float(k)) for k in range(7)], "seq long, amount double")
+    assert '"transactions_omitted_from_report": 4' in sinks.run_report(rows, {"kpis": rows.limit(1)}, 3)
+    sinks.write_report(rows, {"kpis": rows.filter("seq = 2")}, str(tmp_path / "r"), -1)
+    assert spark.read.text(str(tmp_path / "r" / "transactions")).count() == 7
+    assert spark.read.json(str(tmp_path / "r" / "sections")).first().kpis.amount == 2.0
+    with pytest.raises(ValueError):
+        sinks.run_report(rows, {}, -1)
+
+
+def test_feature_needs():
+    need = J.required_features(["Age", "Income_Category", "Save_Money_Yes"], ["Income_Category"])
+    assert need == {"missing_program_features": ["Save_Money_Yes"], "required_profile_features": ["Age"]}
+
+
+def test_income_of_a_prior_dataset(spark, tmp_path):
+    rows = [("2026-01", "10"), ("2026-01", "12.5"), ("2026-02", "x"), (None, "3")]
+    spark.createDataFrame(rows, "statement_month string, Income_Category string").coalesce(1).write.csv(str(tmp_path / "f"), header=True)
+    out = tables.income_by_month(tables.read_final(spark, str(tmp_path / "f"))).collect()
+    assert [(r.statement_month, r.Income_Category) for r in out] == [("2026-01", 12.5)]
