@@ -2,11 +2,15 @@
 
 Every window of ``size`` bytes goes to the shard of its smallest 64-byte hash. Equal windows have the same
 smallest hash, so they meet in one shard, and consecutive windows with one smallest hash travel as one piece.
-Equal pieces are counted before they are dealt out, keys that stand once in the whole corpus are left out
-(their windows cannot repeat), and keys with very many different pieces are dealt further by the smallest
-hashes of other hash functions. Each shard sorts its suffixes by induced sorting, computes the permuted
+Equal pieces are counted before they are dealt out, and keys that stand once in the whole corpus are left out
+(their windows cannot repeat). Each shard sorts its suffixes by induced sorting, computes the permuted
 common prefixes, and marks the windows that share ``size`` bytes with a neighbour in the suffix array.
 
+A passage that very many documents share has one key and, as each document goes on in its own way, very many different
+pieces. Tasks count different pieces while they scan; the windows of keys that have many are scanned once more
+and keyed by further minima, of other hash functions, too: equal windows still have equal keys, the pieces get shorter, and those
+inside the passage are equal in all documents and are counted as one. Which keys are taken as hot bears on the work alone.
+
 Defined cases: a null text is empty; a text under ``size`` bytes loses nothing; repeated rows repeat each
 other's windows, so both lose them; an empty table gives no rows; extra columns are not read.
 """
@@ -28,11 +32,13 @@ SIZE = 400
 ANCHOR = 64
 #: Most windows of one piece.
 LONGEST = 2048
-#: Different pieces from which a key is dealt further, and again for each 8 times as many.
-HOT = 512
+#: Different pieces from which a key is dealt by one more minimum, and by one more for each doubling, up to DEEPEST; the least
+#: of them that a task tells, the runs it holds to count them, and the most keys that are dealt further (4 MB go to the tasks).
+HOT, DEEPEST, LOCAL, HELD, MOST_HOT = 128, 6, 3, 1 << 18, 1 << 18
 #: Bytes of text from which a shard is sorted; one key's pieces stay together.
 SHARD_BYTES = 1 << 19
 
+#: Runs of documents; and, without rid, numbers of different pieces (digest) of a key.
 RUNS = "key long, digest long, rid binary, first int, count int, again boolean"
 
 
@@ -62,8 +68,20 @@ def _runs(data: np.ndarray, offsets: np.ndarray, size: int, minima: np.ndarray)
     return doc, new, stop - new
 
 
-def _scan(size: int):
+def _different(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    pairs = np.unique(np.concatenate([np.stack(h, axis=1) for h in held]), axis=0)
+    keys, n = np.unique(pairs[:, 0], return_counts=True)
+    keys, n = keys[n >= LOCAL], n[n >= LOCAL]
+    none = pa.nulls(len(keys), pa.int32())
+    return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64)), pa.nulls(len(keys), pa.binary()), none, none, pa.nulls(len(keys), pa.bool_())], ["key", "digest", "rid", "first", "count", "again"])
+
+
+def _scan(size: int, shared=None):
+    """Runs of all windows; with ``shared`` (hot keys in order, and how deep each is dealt) those of the hot keys' windows, by further minima."""
+
     def scan(batches):
+        hot, depths = shared.value if shared else (None, None)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
             for part in blocks(batch, "text"):
                 data, offsets = bytes_of(part.column(1))
@@ -71,13 +89,26 @@ def _scan(size: int):
                     continue
                 hashes = B.rolling(data, ANCHOR)
                 minima = B.sliding_min(hashes, size - ANCHOR + 1)
-                doc, first, count = _runs(data, offsets, size, minima)
+                keys = minima
+                if shared:
+                    at = np.minimum(np.searchsorted(hot, minima), len(hot) - 1)
+                    depth = np.where(hot[at] == minima, depths[at], 0)
+                    if not depth.any():
+                        continue
+                    keys = minima.copy()
+                    for k in range(1, int(depth.max()) + 1):
+                        on = depth >= k
+                        keys[on] = B.mix(keys[on] ^ B.sliding_min(B.mix(hashes, 100 + k), size - ANCHOR + 1)[on], 13)
+                doc, first, count = _runs(data, offsets, size, keys)
+                if shared:
+                    own = depth[first] > 0
+                    doc, first, count = doc[own], first[own], count[own]
                 if not len(first):
                     continue
-                key = minima[first]
+                key, anchor = keys[first], minima[first]
                 digest = B.SpanHash(data)(first, first + count + size - 1)
-                # Places of the key inside each piece: two or more, and the piece may repeat itself.
-                names, own_name = np.unique(key, return_inverse=True)
+                # Places of the smallest hash inside each piece: two or more, and the piece may repeat itself.
+                names, own_name = np.unique(anchor, return_inverse=True)
                 place = np.searchsorted(names, hashes)
                 place[place == len(names)] = 0
                 spots = np.flatnonzero(names[place] == hashes)
@@ -88,36 +119,31 @@ def _scan(size: int):
                     [pa.array(key.view(np.int64)), pa.array(digest.view(np.int64)), part.column(0).take(pa.array(doc)), pa.array((first - offsets[doc]).astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(inside > 1)],
                     ["key", "digest", "rid", "first", "count", "again"],
                 )
+                if not shared:
+                    held.append((key, digest))
+                    if sum(len(h[0]) for h in held) >= HELD:
+                        yield _different(held)
+                        held = []
+        if held:
+            yield _different(held)
 
     return scan
 
 
-PIECES = "key long, shard long, digest long, off int, count int, many boolean, piece binary"
+PIECES = "key long, digest long, count int, many boolean, piece binary"
 
 
 def _cut(size: int):
-    """Pieces of the documents' runs; those of hot keys are dealt on by further minima."""
+    """Pieces of the documents' runs."""
 
     def cut(batches):
         for batch in (part for whole in batches for part in blocks(whole, "text", PACKED_BYTES)):
             texts, runs = unpack(batch.column("text")), batch.column("runs")
             out: list[tuple] = []
             for text, own in zip(texts, runs):
-                raw = text.as_buffer()
+                raw = memoryview(text.as_buffer())
                 for r in own.as_py():
-                    piece = memoryview(raw)[r["first"] : r["first"] + r["count"] + size - 1]
-                    if r["depth"] == 0:
-                        out.append((r["key"], r["key"], r["digest"], 0, r["count"], r["w"] > 1, bytes(piece)))
-                    else:
-                        data = np.frombuffer(piece, np.uint8)
-                        hashes = B.rolling(data, ANCHOR)
-                        more = [B.sliding_min(B.mix(hashes, 100 + k), size - ANCHOR + 1) for k in range(r["depth"])]
-                        shard = np.full(r["count"], np.int64(r["key"]).view(np.uint64), np.uint64)
-                        for m in more:
-                            shard = B.mix(shard ^ m, 13)
-                        new = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]]))
-                        for a, b in zip(new, [*new[1:], r["count"]]):
-                            out.append((r["key"], int(shard[a].view(np.int64)), r["digest"], int(a), int(b - a), r["w"] > 1, bytes(piece[a : b + size - 1])))
+                    out.append((r["key"], r["digest"], r["count"], r["w"] > 1, bytes(raw[r["first"] : r["first"] + r["count"] + size - 1])))
                     if len(out) >= 1024:
                         yield _pieces(out)
                         out = []
@@ -128,8 +154,8 @@ def _cut(size: int):
 
 
 def _pieces(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["key", "shard", "digest", "off", "count", "many", "piece"])
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["key", "digest", "count", "many", "piece"])
 
 
 FOUND = "key long, digest long, starts array<int>, ends array<int>"
@@ -154,9 +180,9 @@ def _sort_shards(size: int):
         weight = 0
         for batch in batches:
             while batch.num_rows:
-                shard = np.asarray(batch.column("shard"))
+                shard = np.asarray(batch.column("key"))
                 if weight >= SHARD_BYTES:
-                    same = len(shard) if shard[-1] == (last := held[-1].column("shard")[-1].as_py()) else int(np.argmax(shard != last))
+                    same = len(shard) if shard[-1] == (last := held[-1].column("key")[-1].as_py()) else int(np.argmax(shard != last))
                     if same:
                         held.append(batch.slice(0, same))
                         batch = batch.slice(same)
@@ -164,7 +190,6 @@ def _sort_shards(size: int):
                             break
                     yield from _shard(held, size)
                     held, weight = [], 0
-                    shard = np.asarray(batch.column("shard"))
                 lengths = np.diff(bytes_of(batch.column("piece"))[1])
                 take = int(np.searchsorted(np.cumsum(lengths), SHARD_BYTES)) + 1
                 held.append(batch.slice(0, take))
@@ -191,8 +216,7 @@ def _shard(held: list[pa.RecordBatch], size: int):
     if not len(up):
         return
     of = owner[up]
-    off = t["off"].to_numpy().astype(np.int64)
-    a, b = up - base[of] + off[of], down - base[of] + off[of]
+    a, b = up - base[of], down - base[of]
     rows, cut = np.unique(of, return_index=True)
     yield pa.RecordBatch.from_arrays(
         [pa.array(t["key"].to_numpy()[rows]), pa.array(t["digest"].to_numpy()[rows]), lists(np.split(a.astype(np.int32), cut[1:]), pa.int32()), lists(np.split(b.astype(np.int32), cut[1:]), pa.int32())],
@@ -203,14 +227,23 @@ def _shard(held: list[pa.RecordBatch], size: int):
 def repeated_spans(docs: DataFrame, size: int = SIZE) -> DataFrame:
     """Columns rid (as with_rid gives), starts, ends: lists of the repeated windows' starts, half-open, in bytes."""
     long = with_rid(docs.select("doc_id", "text")).filter(F.octet_length("text") >= size).select(RID, F.col("text").cast("binary").alias("text"))
-    runs = keep(long.mapInArrow(_scan(size), RUNS), "runs")
+    scanned = keep(long.mapInArrow(_scan(size), RUNS), "runs")
+    runs = scanned.filter("rid is not null")
+    counts = scanned.filter("rid is null").groupBy("key").agg(F.sum("digest").alias("n")).filter(F.col("n") >= HOT)
+    hot = {r.key: r.n for r in counts.orderBy(F.col("n").desc(), "key").limit(MOST_HOT).collect()}
+    if hot:
+        keys = np.sort(np.array(list(hot), np.int64).view(np.uint64))
+        depths = np.minimum(DEEPEST, 1 + np.log2([hot[int(k)] / HOT for k in keys.view(np.int64)]).astype(np.int64))
+        shared = docs.sparkSession.sparkContext.broadcast((keys, depths))
+        deeper = keep(long.mapInArrow(_scan(size, shared), RUNS), "hot-runs")
+        own = docs.sparkSession.createDataFrame([(k,) for k in hot], "key long")
+        runs = runs.join(F.broadcast(own), "key", "left_anti").unionByName(deeper)  # MOST_HOT rows at most
     pieces = runs.groupBy("key", "digest").agg(F.count(F.lit(1)).alias("w"), F.max("again").alias("again"), F.min(F.struct("rid", "first", "count")).alias("at"))
-    keys = pieces.groupBy("key").agg(F.sum("w").alias("total"), F.max("again").alias("again"), F.count(F.lit(1)).alias("different")).filter("total > 1 or again")
-    depth = F.when(F.col("different") < HOT, 0).otherwise((F.floor(F.log(8.0, F.col("different") / HOT)) + 1).cast("int"))
-    wanted = pieces.drop("again").join(keys.select("key", depth.alias("depth")), "key")
-    by_doc = wanted.groupBy(F.col("at.rid").alias(RID)).agg(F.collect_list(F.struct("key", "digest", "at.first", "at.count", "w", "depth")).alias("runs"))
+    keys = pieces.groupBy("key").agg(F.sum("w").alias("total"), F.max("again").alias("again")).filter("total > 1 or again").select("key")
+    wanted = pieces.drop("again").join(keys, "key")
+    by_doc = wanted.groupBy(F.col("at.rid").alias(RID)).agg(F.collect_list(F.struct("key", "digest", "at.first", "at.count", "w")).alias("runs"))
     cut = pack(long).join(by_doc, RID).select("text", "runs").mapInArrow(_cut(size), PIECES)
-    found = cut.repartition("shard").sortWithinPartitions("shard").mapInArrow(_sort_shards(size), FOUND)
+    found = cut.repartition("key").sortWithinPartitions("key").mapInArrow(_sort_shards(size), FOUND)
     found = found.groupBy("key", "digest").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends"))
     spots = runs.select("key", "digest", "rid", "first").join(found, ["key", "digest"])
     moved = spots.select("rid", F.expr("transform(starts, x -> x + first)").alias("starts"), F.expr("transform(ends, x -> x + first)").alias("ends"))
