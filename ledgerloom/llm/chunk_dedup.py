@@ -24,7 +24,8 @@ from . import bytescan as B
 from .occurrences import UNITS, later_spans
 from .runtime import PACKED_BYTES, RID, blocks, bytes_of, merged, pack, table, unpack, with_rid
 
-LEAST, MOST, BITS = 32, 512, 5
+#: On prose, chunks of 64 bytes at least (97 on average) meet nearly all repeated passages of 50 words, and few phrases.
+LEAST, MOST, BITS = 64, 512, 5
 
 
 def gear(data: np.ndarray) -> np.ndarray:
