@@ -188,3 +188,38 @@ def op4_quality_rules(spark, sf_dir: str) -> DataFrame:
     out = judged(rows, fit_cutoffs(rows, table(spark, sf_dir, "labels")))
     long = {"n_words": "words", "word_chars": "chars", "n_symbols": "symbols", "n_dup_lines": "dup_lines", "n_repeat_words": "repeats"}
     return out.select("doc_id", *[F.col(f"__q_{c}").alias(n) for n, c in long.items()], F.col("__q_base_failed").alias("base_failed"), F.col("__q_kept").alias("kept"), F.col("__q_score").alias("score"), F.col("__q_cutoff").alias("cutoff"))
+
+
+ORACLE_SQL = {
+    "op4_quality_rules": rf"""
+WITH t AS (
+  SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), grams AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM t)
+), repeats AS (
+  SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS c FROM grams) WHERE c > 1) GROUP BY doc_id
+), lines AS (
+  SELECT doc_id, count(*) AS n, count(*) - count(DISTINCT line) AS dup FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM t) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id
+), m AS (
+  SELECT t.doc_id, stratum, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+    coalesce(dup, 0)::BIGINT AS n_dup_lines, coalesce(repeats.n, 0)::BIGINT AS n_repeat_words, coalesce(lines.n, 0) AS n_lines, length(regexp_replace(text, '[^!]', '', 'g')) AS exclaims,
+    length(regexp_replace(text, '[^A-Z]', '', 'g')) AS capitals, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS letters, len(list_filter(w, lambda x, i: i > 1 AND x = w[i - 1])) AS echoes
+  FROM t LEFT JOIN repeats ON t.doc_id = repeats.doc_id LEFT JOIN lines ON t.doc_id = lines.doc_id
+), scored AS (
+  SELECT *, n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED} * n_words AS base_failed,
+    greatest(coalesce(n_symbols / nullif(n_words, 0)::DOUBLE, 0) / {SCALES["symbols"]}::DOUBLE, coalesce(exclaims / nullif(n_words, 0)::DOUBLE, 0) / {SCALES["exclaims"]}::DOUBLE, coalesce(capitals / nullif(letters, 0)::DOUBLE, 0) / {SCALES["capitals"]}::DOUBLE,
+      coalesce(n_dup_lines / nullif(n_lines, 0)::DOUBLE, 0) / {SCALES["lines"]}::DOUBLE, coalesce(echoes / nullif(n_words, 0)::DOUBLE, 0) / {SCALES["echoes"]}::DOUBLE) AS score FROM m
+), held AS (
+  SELECT stratum, score FROM scored JOIN (SELECT doc_id FROM labels GROUP BY doc_id HAVING min(quality) = 1) good ON scored.doc_id = good.doc_id WHERE NOT base_failed
+), tried AS (
+  SELECT stratum, k, cutoff, count(*) AS n, count(*) FILTER (WHERE score >= cutoff) AS x, {DELTA} / (SELECT count(DISTINCT stratum) FROM held) AS level
+  FROM held, (SELECT unnest({CUTOFFS}::DOUBLE[]) AS cutoff, unnest(range({len(CUTOFFS)})) AS k) GROUP BY stratum, k, cutoff
+), judged AS (
+  SELECT *, x < {ALPHA} * n AND list_sum(list_transform(range(x + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({ALPHA}) + (n - j) * ln(1 - {ALPHA})))) <= level AS ok FROM tried
+), cutoffs AS (
+  SELECT stratum, arg_max(cutoff, k) FILTER (WHERE passed) AS cutoff FROM (SELECT *, bool_and(ok) OVER (PARTITION BY stratum ORDER BY k) AS passed FROM judged) GROUP BY stratum
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(score < cutoff, true) AS kept, score, cutoff
+FROM scored LEFT JOIN cutoffs ON scored.stratum = cutoffs.stratum
+"""
+}

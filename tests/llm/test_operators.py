@@ -444,6 +444,16 @@ def test_op8(spark):
 # 9
 
 
+def base_spans(text):
+    """Spans by form: start, rank, stop and kind, in order."""
+    want = []
+    for rank, (kind, (pattern, least)) in enumerate(secret_scan.KINDS.items()):
+        for m in re.finditer(pattern, text or ""):
+            if len(m.group(2) if kind == "assign" else m.group(0)) >= least:
+                want.append((m.start(), rank, m.end(), kind))
+    return sorted(want)
+
+
 def test_op9(spark):
     rng = random.Random(4)
     some = lambda al, n: "".join(rng.choice(al) for _ in range(n))
@@ -454,12 +464,7 @@ def test_op9(spark):
     df = spark.createDataFrame(rows, DOCS).withColumns({"base": F.lit(1), "spans": F.lit(2)})
     texts = dict(rows)
     for r in secret_scan.find_secrets(df).collect():
-        want = []
-        for rank, (kind, (pattern, least)) in enumerate(secret_scan.KINDS.items()):
-            for m in re.finditer(pattern, texts[r.doc_id] or ""):
-                if len(m.group(2) if kind == "assign" else m.group(0)) >= least:
-                    want.append((m.start(), rank, m.end(), kind))
-        assert [tuple(x) for x in r.base] == sorted(want)
+        assert [tuple(x) for x in r.base] == base_spans(texts[r.doc_id])
         found = [texts[r.doc_id][s.start : s.stop] for s in r.spans if s.kind == secret_scan.FOUND]
         assert found == ([key] if r.doc_id == 5 else [])
     assert secret_scan.find_secrets(df.limit(0)).count() == 0
