@@ -38,14 +38,25 @@ def _local_dir() -> str:
     return where
 
 
+def _own_folder(spark: SparkSession) -> str:
+    return f"{scratch_dir(spark)}/ledgerloom-{spark.sparkContext.applicationId}"
+
+
 def keep(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back."""
+    """Write ``df`` to the application's own part of the shared folder and read it back."""
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{_own_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sweep(spark: SparkSession) -> bool:
+    """Deletes all tables that ``keep`` wrote in this application; results that are still to be computed from them are lost."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 #: Parts that rows without a key are dealt over.
 SPREAD = 1024
 

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom import rules as R
+from ledgerloom import runtime
 from ledgerloom.functions import similarity
 from ledgerloom.operators import classify as C
 from ledgerloom.operators import dedup as D
@@ -327,6 +328,11 @@ def test_reports(spark, tmp_path):
         sinks.run_report(rows, {}, -1)
 
 
+def test_sweep(spark):
+    kept = runtime.keep(spark.range(3).toDF("x"), "three")
+    assert kept.count() == 3 and runtime.sweep(spark) and not runtime.sweep(spark)
+
+
 def test_feature_needs():
     need = J.required_features(["Age", "Income_Category", "Save_Money_Yes"], ["Income_Category"])
     assert need == {"missing_program_features": ["Save_Money_Yes"], "required_profile_features": ["Age"]}
