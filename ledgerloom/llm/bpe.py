@@ -28,8 +28,8 @@ from pyspark.sql import types as T
 
 from .runtime import blocks, shielded, table
 
-#: Pieces (and token pairs) that each worker remembers at most.
-REMEMBERED = 200_000
+#: Pieces (and token pairs) that each worker remembers at most, and the longest piece of them: so the tables' bytes are bounded too.
+REMEMBERED, LONGEST = 200_000, 64
 VOCABULARY = "byte_bpe_50k.json"
 #: Fixed value: the pattern that the byte-level pre-tokenizer cuts texts by.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -60,9 +60,11 @@ class Pieces(dict):
         self.codec = codec
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        out = self[piece] = np.array(self.codec.encode_piece(piece.encode()), "<u4").tobytes()
+        out = np.array(self.codec.encode_piece(piece.encode()), "<u4").tobytes()
+        if len(piece) <= LONGEST:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[piece] = out
         return out
 
 
