@@ -17,7 +17,7 @@ Why one XOR word is the bit sketch of a part: a row of 2^64 bits, of which each
 names, is empty wherever no shingle fell, and two rows are equal when their shingles of odd count are the same; the XOR of the
 names of the flipped bits is equal then too, and differs otherwise but for a chance of 2^-40. A row so wide has the
 fewest equal parts by accident, and in this form it takes 5 bytes. Narrow rows, whose Hamming distance
-counts, come after: ``parity_sketch`` has two to four bits a shingle.
+counts, come after: ``parity_sketch`` has one to two bits a shingle, and 256 at least.
 
 Classes are named by 64 bits. Where a second digest shows that two classes have one name, which 10^10 classes
 would see a few times, both get names that the second digest is part of.
@@ -153,8 +153,8 @@ def part_sketches(value: np.ndarray, first: np.ndarray, frequent: np.ndarray) ->
 
 
 def parity_sketch(values: np.ndarray) -> np.ndarray:
-    """Bits whose parities tell how many of the set's shingles fall there: 2 to 4 for each shingle, 128 at least."""
-    bits = 1 << max(7, int(band_of(np.array([len(values)]))[0]) + 2)
+    """Bits whose parities tell how many of the set's shingles fall there: 1 to 2 for each shingle, 256 at least."""
+    bits = 1 << max(8, int(band_of(np.array([len(values)]))[0]) + 1)
     odd = np.bincount((B.mix(values, 81) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
 
