@@ -224,9 +224,16 @@ def _shard(held: list[pa.RecordBatch], size: int):
     )
 
 
+def _dealt_texts(docs: DataFrame) -> DataFrame:
+    """doc_id, rid and the packed text. Both joins with texts read these very columns, so that the texts are dealt out once."""
+    whole = with_rid(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    whole = whole.select("doc_id", F.col(RID).alias("rid"), F.col("text").cast("binary").alias("text"))
+    return pack(whole).filter("rid is not null")
+
+
 def repeated_spans(docs: DataFrame, size: int = SIZE) -> DataFrame:
-    """Columns rid (as with_rid gives), starts, ends: lists of the repeated windows' starts, half-open, in bytes."""
-    long = with_rid(docs.select("doc_id", "text")).filter(F.octet_length("text") >= size).select(RID, F.col("text").cast("binary").alias("text"))
+    """Columns rid (as with_rid gives of doc_id as a long), starts, ends: lists of the repeated windows' starts, half-open, in bytes."""
+    long = with_rid(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).filter(F.octet_length("text") >= size).select(RID, F.col("text").cast("binary").alias("text"))
     scanned = keep(long.mapInArrow(_scan(size), RUNS), "runs")
     runs = scanned.filter("rid is not null")
     counts = scanned.filter("rid is null").groupBy("key").agg(F.sum("digest").alias("n")).filter(F.col("n") >= HOT)
@@ -241,8 +248,8 @@ def repeated_spans(docs: DataFrame, size: int = SIZE) -> DataFrame:
     pieces = runs.groupBy("key", "digest").agg(F.count(F.lit(1)).alias("w"), F.max("again").alias("again"), F.min(F.struct("rid", "first", "count")).alias("at"))
     keys = pieces.groupBy("key").agg(F.sum("w").alias("total"), F.max("again").alias("again")).filter("total > 1 or again").select("key")
     wanted = pieces.drop("again").join(keys, "key")
-    by_doc = wanted.groupBy(F.col("at.rid").alias(RID)).agg(F.collect_list(F.struct("key", "digest", "at.first", "at.count", "w")).alias("runs"))
-    cut = pack(long).join(by_doc, RID).select("text", "runs").mapInArrow(_cut(size), PIECES)
+    by_doc = wanted.groupBy(F.col("at.rid").alias("rid")).agg(F.collect_list(F.struct("key", "digest", "at.first", "at.count", "w")).alias("runs"))
+    cut = _dealt_texts(docs).join(by_doc, "rid").select("doc_id", "text", "runs").mapInArrow(_cut(size), PIECES)
     found = cut.repartition("key").sortWithinPartitions("key").mapInArrow(_sort_shards(size), FOUND)
     found = found.groupBy("key", "digest").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends"))
     spots = runs.select("key", "digest", "rid", "first").join(found, ["key", "digest"])
@@ -282,9 +289,7 @@ def _strip(size: int, full: bool):
 def exact_substring_dedup(docs: DataFrame, size: int = SIZE, with_bytes: bool = True) -> DataFrame:
     """Per document the spans removed and, if asked for, the bytes that stay (they need not be valid UTF-8)."""
     spans = repeated_spans(docs, size)
-    whole = with_rid(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    whole = whole.withColumn("text", F.col("text").cast("binary")).withColumn("rid", F.col(RID)).drop(RID)
-    return pack(whole).join(spans, "rid", "left").select("doc_id", "text", "starts", "ends").mapInArrow(_strip(size, with_bytes), OUT)
+    return _dealt_texts(docs).join(spans, "rid", "left").select("doc_id", "text", "starts", "ends").mapInArrow(_strip(size, with_bytes), OUT)
 
 
 def op1_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:
