@@ -16,6 +16,9 @@ MODULES = {
     "op8_line_window_dedup": "line_dedup",
     "op9_secret_randomness": "secret_scan",
     "op10_bpe_prefix_dp": "bpe",
+    "op11_periodic_runs": "periodic_runs",
+    "op12_main_text": "main_text",
+    "op13_centroid_clustering": "centroids",
 }
 
 

@@ -33,8 +33,9 @@ def _segment_names(sym: np.ndarray, size: np.ndarray) -> np.ndarray:
             word[: n - k] |= np.where(size[: n - k] > k, sym[k:], 0)
     rank = _places(word)
     del word
-    done, room = per, max(1, (62 - max(1, n.bit_length())) // bits)
+    done = per
     active = np.flatnonzero(size > done).astype(np.int32)
+    alone = None
     while len(active):
         # One of a kind needs no more symbols. Equal starts that go on do so together: the types are in the symbols.
         counts = np.bincount(rank[active], minlength=n)
@@ -42,13 +43,14 @@ def _segment_names(sym: np.ndarray, size: np.ndarray) -> np.ndarray:
         del counts
         if not len(active):
             break
-        old = rank[active]
-        word = old.astype(np.int64)
-        for k in range(done, done + room):
-            word <<= bits
-            word |= np.where(size[active] > k, sym[np.minimum(active + np.int32(k), np.int32(n - 1))], 0)
+        if alone is None:
+            # A segment's last symbol starts a segment itself, but counts as a symbol alone.
+            alone = _places(sym) if sym.max() > 4 * n else (np.cumsum(np.bincount(sym)) - np.bincount(sym)).astype(np.int32)[sym]
+        old, ahead = rank[active], active + np.int32(done)
+        word = old.astype(np.int64) << 31
+        word |= np.where(size[active] == done + 1, alone[ahead], rank[ahead])
         rank[active] = old + _places(word) - _places(old)
-        done += room
+        done *= 2
         active = active[size[active] > done]
     return rank
 
@@ -121,3 +123,37 @@ def permuted_prefixes(data: np.ndarray, order: np.ndarray) -> tuple[np.ndarray,
     source = np.maximum.accumulate(np.where(whole, at, np.int32(0)))
     plcp = np.maximum(plcp[source] - (at - source), 0)
     return before, plcp
+
+
+def common_prefixes(text: np.ndarray, order: np.ndarray, most: int = 1 << 20) -> np.ndarray:
+    """For each entry of a suffix array of integers its common prefix with the entry before (0 for the first).
+
+    As in ``permuted_prefixes`` only irreducible values are compared, in stretches that double with what is already equal.
+    """
+    n = len(text)
+    before = np.full(n, -1, np.int64)
+    before[order[1:]] = order[:-1]
+    shared = np.zeros(n, np.int64)
+    if n < 2:
+        return shared
+    at = np.arange(n)
+    starts = text[np.maximum(before, 0)] == text
+    left = np.concatenate([[True], text[np.maximum(before[1:] - 1, 0)] != text[:-1]])
+    whole = left | (before <= 0) | ~starts
+    padded = np.append(text, -1)
+    todo = np.flatnonzero(whole & starts & (before >= 0))
+    width = 2
+    while len(todo):
+        rest = []
+        for first in range(0, len(todo), max(1, most // width)):
+            own = todo[first : first + max(1, most // width)]
+            ahead = shared[own][:, None] + np.arange(width)
+            differ = padded[np.minimum(own[:, None] + ahead, n)] != padded[np.minimum(before[own][:, None] + ahead, n)]
+            some = differ.any(1)
+            shared[own] += np.where(some, differ.argmax(1), width)
+            rest.append(own[~some])
+        todo = np.concatenate(rest)
+        width = min(2 * width, most)
+    source = np.maximum.accumulate(np.where(whole, at, 0))
+    shared = np.maximum(shared[source] - (at - source), 0)
+    return shared[order]
