@@ -8,8 +8,10 @@ Candidates. A class takes part in the size band of its own size, and in the one
 In a band every shingle falls in one of P parts, and a part's sketch is the parity of its shingles over a very wide
 row of bits, of which the XOR of one random word for each shingle is the fingerprint. P exceeds the most
 differences, so two sets that link have a part alike. Empty parts, and parts of nothing but very frequent shingles (a
-line or passage that countless documents share), tell nothing. They are dealt out only by a set of which the other parts do
-not exceed its differences, since any other set meets its partners in a part that tells something. Which shingles are
+line or passage that countless documents share), tell nothing. A part of frequent shingles is dealt out only by a set of which
+the other parts do not exceed its differences, since any other set meets its partners in a part that tells something; an
+empty part only by a set whose parts with anything in them do not either; and a set that can differ from no partner deals
+nothing, as equal sets are one class already. Which shingles are
 taken as frequent, from counts over all documents, bears on the work alone, never on the result. Part sketches of a block of documents travel packed, one row for
 each bucket.
 
@@ -116,8 +118,8 @@ def parts_of(band: int) -> int:
 def part_sketches(value: np.ndarray, first: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """64-bit fingerprints of part sketches, with band and part mixed in, and the set of each.
 
-    A part tells something if it has a shingle that is not frequent. Two sets that link have more parts alike than the
-    parts of either that tell nothing, unless one has too few that do: only such a set deals out all its parts.
+    A part tells something if it has a shingle that is not frequent. Of a set with more such parts than differences one is
+    alike in each partner, and these suffice; else its parts of frequent shingles count too; else, rarely, the empty ones.
     """
     size = np.diff(first)
     band = band_of(size)
@@ -130,6 +132,9 @@ def part_sketches(value: np.ndarray, first: np.ndarray, frequent: np.ndarray) ->
                 continue
             low = 1 << config
             sets = np.flatnonzero((size > 0) & (band == b) & ((config == b) | (3 * size <= 4 * (2 * low - 1))))
+            # As the larger of a pair, a set's partner here is under 2 * low.
+            differ = np.where(size[sets] < 2 * low, most_differences(size[sets]), (size[sets] + 2 * low - 1) // 7)
+            sets, differ = sets[differ > 0], differ[differ > 0]
             if not len(sets):
                 continue
             parts = parts_of(int(config))
@@ -141,10 +146,9 @@ def part_sketches(value: np.ndarray, first: np.ndarray, frequent: np.ndarray) ->
             print_ = np.zeros(len(sets) * parts, np.uint64)
             np.bitwise_xor.at(print_, cell, words[at])
             used = np.bincount(cell[rare[at]], minlength=len(print_)) > 0
-            # As the larger of a pair, a set's partner here is under 2 * low.
-            differ = np.where(n < 2 * low, most_differences(n), (n + 2 * low - 1) // 7)
-            short = used.reshape(-1, parts).sum(axis=1) <= differ
-            deal = np.flatnonzero(used | np.repeat(short, parts))
+            filled = np.bincount(cell, minlength=len(print_)) > 0
+            short, bare = (np.repeat(x.reshape(-1, parts).sum(axis=1) <= differ, parts) for x in (used, filled))
+            deal = np.flatnonzero(used | short & filled | bare)
             out.append(B.mix(print_[deal] ^ B.mix((deal % parts + (int(config) << 40)).astype(np.uint64), 72), 73))
             owner.append(sets[deal // parts])
     if not out:

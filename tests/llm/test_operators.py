@@ -8,6 +8,7 @@ import re
 import unicodedata
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -489,3 +490,35 @@ def test_op10(spark):
         assert list(memoryview(bytes(r["__bpe_ids"])).cast("I")) == ids
         assert r["__bpe_decoded"] == library.decode(ids, skip_special_tokens=False) == (r.text or "")
     assert bpe.encode_documents(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("often", [0, 5, 40])
+def test_linked_sets_share_a_part(often):
+    """Pairs that link by removing and adding shingles share a dealt part, whichever shingles count as frequent; sets that can link with nothing deal none."""
+    rng = random.Random(often)
+    everything = np.array([rng.getrandbits(64) for _ in range(60)], np.uint64)
+    frequent = np.sort(everything[:often])
+    deal = lambda sets: (lambda p, o: [set(p[o == k].tolist()) for k in range(len(sets))])(*jaccard_join.part_sketches(np.concatenate([np.sort(np.array(sorted(s), np.uint64)) for s in sets]), np.cumsum([0, *map(len, sets)]), frequent))
+    linked = 0
+    for _ in range(1500):
+        a = set(rng.sample(everything.tolist(), rng.randint(1, 24)))
+        b = set(rng.sample(sorted(a), len(a) - rng.randint(0, min(3, len(a) - 1)))) | set(rng.sample(everything.tolist(), rng.randint(0, 3)))
+        if a != b and 4 * len(a & b) >= 3 * len(a | b):
+            linked += 1
+            x, y = deal([a, b])
+            assert x & y, (a, b)
+    assert linked > 300
+    assert deal([{int(v)} for v in everything]) == [set()] * 60 and deal([set(everything[:2].tolist())]) == [set()]
+
+
+def test_short_sets_of_frequent_shingles_form_no_group():
+    """16000 different sets of one to eight frequent shingles: few deal a part with nothing in it."""
+    rng = np.random.default_rng(1)
+    frequent = np.sort(rng.integers(0, 1 << 63, 1 << 16).astype(np.uint64))
+    sizes = np.arange(16_000) % 8 + 1
+    sets = [np.sort(rng.choice(frequent, n, replace=False)) for n in sizes]
+    first = np.concatenate([[0], np.cumsum(sizes)])
+    prints, owner = jaccard_join.part_sketches(np.concatenate(sets), first, frequent)
+    assert not np.isin(sizes[owner], (1, 2)).any()
+    _, together = np.unique(prints, return_counts=True)
+    assert (together**2).sum() < 16_000**2 / 100  # the share of all pairs that the groups hold
