@@ -7,8 +7,8 @@ from ..functions.text import LINE_BREAK
 from ..operators.expenses import TOTALS
 from ..operators.merchants import LEGAL_NOISE
 from ..operators.transfers import AREAS, TRANSFER_TYPES, normalised, terms_of
-from ..sources.tables import DESCRIPTIONS
-from .queries import EXTERNAL, LITERALS, MEMORY, MONTH_COLUMNS, MONTH_WEIGHTS, PATTERNS, RULES, WEIGHTS
+from ..sources import grammar as G
+from .queries import EXTERNAL, LATE, LITERALS, MEMORY, MONTH_COLUMNS, MONTH_WEIGHTS, PATTERNS, RULES, WEIGHTS
 
 
 def s(text) -> str:
@@ -54,12 +54,24 @@ def tokens(name: str, screened: bool) -> str:
     return f"list_filter(list_transform(string_split({name}, ' '), lambda t: trim(t, '.-')), lambda t: length(t) >= 3 AND NOT regexp_full_match(t, '[0-9]+'){extra})"
 
 
+def description(i: str) -> str:
+    """The text of row i by the grammar."""
+    j = f"({i} // {len(G.FORMS)})"
+    text = f"[{listed(G.FORMS)}][{i} % {len(G.FORMS)} + 1]"
+    for slot, (words, every) in G.SLOTS.items():
+        text = f"replace({text}, '{{{slot}}}', [{listed(words)}][{j} // {every} % {len(words)} + 1])"
+    numbers = {"n": f"{j}::VARCHAR", "pair": f"({j} // 2)::VARCHAR", "amount": f"({j} % 400)::VARCHAR || ',' || lpad(({j} * 7 % 100)::VARCHAR, 2, '0')"}
+    for slot in G.NUMBERS:
+        text = f"replace({text}, '{{{slot}}}', {numbers[slot]})"
+    return text
+
+
 CTE: dict[str, str] = {}
 CTE["ledger"] = f"""
 SELECT event_id AS seq, user_id AS doc_id, event_id::VARCHAR AS transaction_id,
   CASE WHEN event_id % 11 = 0 THEN 'n/a' WHEN event_id % 7 = 0 THEN strftime(day, '%Y-%m-%d') ELSE strftime(day, '%d/%m/%Y') END AS booking_date,
-  value AS amount, 'RON' AS currency, CASE WHEN event_type = 'signup' OR k % {len(DESCRIPTIONS)} = 12 THEN 'credit' ELSE 'debit' END AS direction,
-  replace(replace(replace([{listed(DESCRIPTIONS)}][k % {len(DESCRIPTIONS)} + 1], '{{e}}', (event_id // 2)::VARCHAR), '{{u}}', user_id::VARCHAR), '{{k}}', k::VARCHAR) AS raw_description,
+  value AS amount, 'RON' AS currency, CASE WHEN event_type = 'signup' OR event_id % {len(G.FORMS)} = {G.FORMS.index(G.SALARY)} THEN 'credit' ELSE 'debit' END AS direction,
+  {description('event_id')} AS raw_description,
   CASE WHEN event_type = 'error' AND k < 20 THEN 'blocked_amounts' ELSE 'booked_transactions' END AS source_section
 FROM (SELECT *, json_extract_string(props, '$.k')::INT AS k, ts::DATE + ((event_id % 3)::INT * 31) AS day FROM events)"""
 UPPER = "upper(coalesce(raw_description, ''))"
@@ -499,7 +511,7 @@ def oracle_sql() -> dict[str, str]:
     eligible, unknown = f"count(*) FILTER (WHERE txn_type IN ({listed(R.MERCHANT_TYPES)}))", f"count(*) FILTER (WHERE txn_type IN ({listed(R.MERCHANT_TYPES)}) AND category_area = 'Unknown')"
     valid = "count(*) FILTER (WHERE txn_type <> 'unknown')"
     tr = f"txn_type IN ({listed(TRANSFER_TYPES)})"
-    late = "CASE WHEN seq % 240 = 11 AND txn_type = 'external_transfer' THEN raw_description || '; chirie' ELSE raw_description END"
+    late = f"CASE WHEN {LATE} THEN raw_description || '; chirie' ELSE raw_description END"
     own, firsts, outcome = transferred("late_rows", True)
     memory = {"late_rows": f"SELECT * EXCLUDE (raw_description), {late} AS raw_description, NULL::VARCHAR AS category_area FROM typed", "own": own, "firsts": firsts, "transferred": outcome}
     final = []

@@ -16,15 +16,18 @@ from ..operators import scoring as S
 from ..operators import statements as P
 from ..operators import transfers as T
 from ..runtime import keep
+from ..sources import grammar as G
 from ..sources import sinks
 from ..sources.tables import ledger, month_key, read_table, renamed_fields, traceability
 from .end_to_end import classify_rows, score_months
 
 #: Amounts as statements write them.
 LITERALS = ["1,000.00", "2.900,00", "2,900", "1.000.00", "1,000,00", "12,5", "77.20", "+3500,00", "-12.30", "1234", "12,34"]
-PATTERNS = [("^DRM\\b", "Auchan", 1), ("MK\\.?", "Carrefour", 2), ("UNKNOWN|ANEI", "Anei", 3)]
-EXTERNAL = [("BUCATARIA ANEI SRL", "Bucataria Anei", "123", "4711"), ("COLD", "Cold Stores", "77", "5610")]
-MEMORY = [("RO49AAAA1B31007593840000", "ASOCIATIA", "Housing", 0.97, "confirmed", "2023-12", "2024-01", 2, "exact_text")]
+PATTERNS = [("^LIBRARIA\\b", "Libraria", 1), ("CAFENEA|ZORI", "Cafenea", 2), ("MOLID", "Molid", 3)]
+EXTERNAL = [("ATELIER MOLID", "Atelier Molid", "123", "4711"), ("COLD", "Cold Stores", "77", "5610")]
+MEMORY = [(G.ENTITIES[3], "Mara Enache", "Housing", 0.97, "confirmed", "2023-12", "2024-01", 2, "exact_text")]
+#: Rows of the payee that gives no reason, but for these.
+LATE = f"seq % {10 * len(G.FORMS)} = {9 * len(G.FORMS) + G.FORMS.index(G.SILENT)} AND txn_type = 'external_transfer'"
 #: Weights of the linear model over embeddings, by a rule.
 WEIGHTS = [((k * 37) % 21 - 10) / 10 for k in range(64)]
 
@@ -317,8 +320,8 @@ def q_transfer_exact_terms(spark, d):
 
 def with_memory(spark: SparkSession, d: str) -> DataFrame:
     rows = C.classify_types(ledger(spark, d)).withColumn("category_area", F.lit(None).cast("string"))
-    # One entity gives its reason in its last row only, so that earlier rows are filled back.
-    late = F.when((F.col("seq") % 240 == 11) & (F.col("txn_type") == "external_transfer"), F.concat(F.col("raw_description"), F.lit("; chirie"))).otherwise(F.col("raw_description"))
+    # One payee gives its reason late, so that earlier rows are filled back.
+    late = F.when(F.expr(LATE), F.concat(F.col("raw_description"), F.lit("; chirie"))).otherwise(F.col("raw_description"))
     return rows.withColumns({"raw_description": late})
 
 
