@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from .. import rules as R
 from ..functions import text as X
+from ..runtime import keep
 from .classify import lookup
+from .merchants import common_atoms, postings
 
 
 def industry_code(code: Column) -> Column:
@@ -37,17 +39,51 @@ def primary_category(df: DataFrame, key: str, code: str) -> DataFrame:
     return counts.groupBy(key).agg(best.alias("primary_category"))
 
 
-def best_firm(queries: DataFrame, firms: DataFrame, least: float = 0.5) -> DataFrame:
+#: Firms that may share a key before they are taken by classes of equal common keys.
+COMMON = 150
+
+
+def firm_pairs(q: DataFrame, f: DataFrame, common: int = COMMON) -> DataFrame:
+    """query, firm_id: pairs among which the best firm of each query is, however many firms share a token.
+
+    A firm that shares a key (a token or a prefix) of up to ``common`` firms is taken. Of the firms that share commoner keys alone,
+    those with the same common keys differ for a query only by their number of tokens and by whether their name contains the
+    query's. So the one of fewest tokens, and lowest number, stands for its class; and names that contain a query's are found by equality
+    with a part of that length.
+    """
+    asked = q.select("query", F.explode("q_keys").alias("atom"))
+    owned = keep(postings(f, "firm_id", F.col("f_keys"), asked), "firm-keys")
+    hot = keep(common_atoms(owned, common), "common-keys")
+    rare = asked.join(hot, "atom", "left_anti").join(owned, "atom").select("query", "firm_id")
+    of_firm = owned.join(hot, "atom").groupBy("firm_id").agg(F.array_sort(F.collect_set("atom")).alias("common"))
+    busy = f.join(of_firm, "firm_id")
+    classes = busy.groupBy("common").agg(F.min(F.struct(F.size("f_tokens").alias("n"), "firm_id")).alias("first"))
+    open_ = asked.join(hot, "atom")
+    alike = open_.join(classes.select(F.col("first.firm_id").alias("firm_id"), F.explode("common").alias("atom")), "atom").select("query", "firm_id")
+    # Queries with a common key, by the length of their name: lengths are few, however many names there are.
+    some = q.join(open_.select("query").distinct(), "query", "left_semi").select("query", "q_norm", "q_keys")
+    lengths = [r.n for r in some.select(F.length("q_norm").alias("n")).distinct().collect()]
+    if not lengths:
+        return rare.distinct()
+    cut = lambda n: F.when(F.length("f_norm") >= n, F.transform(F.sequence(F.lit(1), F.length("f_norm") - n + 1), lambda k: F.substring("f_norm", k, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    parts = busy.select("firm_id", "f_keys", F.explode(F.array_distinct(F.flatten(F.array(*map(cut, sorted(lengths)))))).alias("q_norm"))
+    inside = parts.join(some, "q_norm").filter(F.arrays_overlap("q_keys", "f_keys"))
+    # All have 0.97 or more, and those with more share all tokens and are no longer: a class of its own finds them.
+    held = inside.groupBy("query").agg(F.min("firm_id").alias("firm_id"))
+    return rare.unionByName(alike).unionByName(held).distinct()
+
+
+def best_firm(queries: DataFrame, firms: DataFrame, least: float = 0.5, common: int = COMMON) -> DataFrame:
     """query, firm_id, score: by shared tokens or prefixes, 0.97 at least if the firm's name contains the query.
 
     queries: query. firms: firm_id, name. Equal scores go to the smallest firm_id.
     """
+    keys = lambda tokens: F.concat(F.transform(tokens, lambda t: F.concat(F.lit("="), t)), X.prefixes(F.col(tokens)))
     q = queries.select("query").distinct().withColumn("q_norm", X.registry_name(F.coalesce("query", F.lit(""))))
-    q = q.withColumn("q_tokens", X.name_tokens(F.col("q_norm"), False)).filter(F.size("q_tokens") > 0)
+    q = q.withColumn("q_tokens", X.name_tokens(F.col("q_norm"), False)).filter(F.size("q_tokens") > 0).withColumn("q_keys", keys("q_tokens"))
     f = firms.select("firm_id", X.registry_name(F.coalesce("name", F.lit(""))).alias("f_norm")).withColumn("f_tokens", X.name_tokens(F.col("f_norm"), False))
-    keys = lambda tokens: F.concat(F.transform(tokens, lambda t: F.concat(F.lit("="), t)), X.prefixes(F.col(tokens)))
-    pairs = q.select("query", F.explode(keys("q_tokens")).alias("key")).join(f.select("firm_id", F.explode(keys("f_tokens")).alias("key")), "key").select("query", "firm_id").distinct()
-    rows = pairs.join(q, "query").join(f, "firm_id")
+    f = f.withColumn("f_keys", keys("f_tokens"))
+    rows = firm_pairs(q, f, common).join(q, "query").join(f, "firm_id")
     shared = F.size(F.array_intersect("q_tokens", "f_tokens"))
     overlap = F.greatest(shared, F.lit(1)).cast("double")
     score = 0.65 * (overlap / F.size("q_tokens")) + 0.35 * (overlap / F.greatest(F.lit(1), F.size("f_tokens")))

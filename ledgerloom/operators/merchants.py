@@ -137,17 +137,89 @@ def exact_registry(queries: DataFrame, firms: DataFrame) -> DataFrame:
     return names.select("query", F.coalesce("by_name", "by_core").alias("display")).filter("display is not null")
 
 
-def blocking_scores(queries: DataFrame, firms: DataFrame, most: int = R.REGISTRY_CANDIDATES) -> DataFrame:
-    """query, firm_id, block_score: 3 for each shared important token, 1 for each token with its prefix; the best ``most``.
+def postings(rows: DataFrame, key: str, keys: Column, asked: DataFrame) -> DataFrame:
+    """key and atom: the keys of rows that somebody asks for (column atom of ``asked``), one row each."""
+    return rows.select(key, F.explode(keys).alias("atom")).join(asked.select("atom").distinct(), "atom", "left_semi")
 
-    Tokens are exploded on both sides and joined by equality; the counts are added up before they are shuffled.
+
+def common_atoms(owned: DataFrame, common: int) -> DataFrame:
+    """Atoms with more than ``common`` postings; counts are added up before they are shuffled."""
+    return owned.groupBy("atom").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > common).select("atom")
+
+
+def _atoms(tokens: Column) -> Column:
+    return F.concat(F.transform(tokens, lambda t: F.concat(F.lit("="), t)), X.prefixes(tokens))
+
+
+def _heads(tokens: Column, head: Column) -> Column:
+    return F.size(F.filter(tokens, lambda t: (F.length(t) >= 4) & (F.substring(t, 1, 4) == head)))
+
+
+def _block_score(important: Column, tokens: Column) -> Column:
+    each = F.transform(important, lambda t: F.when(F.array_contains(tokens, t), 3).otherwise(0) + F.when(F.length(t) >= 4, _heads(tokens, F.substring(t, 1, 4))).otherwise(0))
+    return F.aggregate(each, F.lit(0).cast("long"), lambda s, x: s + x)
+
+
+def _demands(important: Column, common: Column) -> Column:
+    """What firms may share with a query by common atoms alone: for each choice of none, prefix or whole token of each
+    important token, the atoms, the prefixes that count (once for each token) and the points of whole tokens."""
+    nothing = F.struct(F.array().cast("array<string>").alias("atoms"), F.array().cast("array<string>").alias("heads"), F.lit(0).alias("points"))
+
+    def choices(k: int) -> Column:
+        t = F.get(important, F.lit(k))
+        head = F.substring(t, 1, 4)
+        heads = F.when(F.length(t) >= 4, F.array(head)).otherwise(F.array().cast("array<string>"))
+        whole = F.concat(F.lit("="), t)
+        some = F.array(F.struct(F.array(whole).alias("atoms"), heads.alias("heads"), F.lit(3).alias("points")), F.struct(F.array(head).alias("atoms"), heads.alias("heads"), F.lit(0).alias("points")))
+        some = F.filter(some, lambda c: F.array_contains(common, c["atoms"][0]) & ((c["points"] > 0) | (F.length(t) >= 4)))
+        return F.when(t.isNull(), F.array(nothing)).otherwise(F.concat(F.array(nothing), some))
+
+    def both(a: Column, b: Column) -> Column:
+        return F.struct(F.array_sort(F.array_union(a["atoms"], b["atoms"])).alias("atoms"), F.array_sort(F.concat(a["heads"], b["heads"])).alias("heads"), (a["points"] + b["points"]).alias("points"))
+
+    pairs = F.flatten(F.transform(choices(0), lambda x: F.transform(choices(1), lambda y: both(x, y))))
+    three = F.flatten(F.transform(pairs, lambda x: F.transform(choices(2), lambda y: both(x, y))))
+    return F.filter(F.array_distinct(three), lambda c: F.size(c["atoms"]) > 0)
+
+
+def _subsets(atoms: Column) -> Column:
+    """Sorted sets of one to three of the atoms."""
+    one = F.transform(F.array_sort(atoms), lambda a: F.array(a))
+    grow = lambda sets: F.flatten(F.transform(sets, lambda s: F.transform(F.filter(atoms, lambda a: a > F.element_at(s, -1)), lambda a: F.concat(s, F.array(a)))))
+    two = grow(one)
+    return F.concat(one, two, grow(two))
+
+
+def blocking_pairs(queries: DataFrame, firms: DataFrame, most: int = R.REGISTRY_CANDIDATES, common: int = R.REGISTRY_CANDIDATES) -> DataFrame:
+    """query, firm_id: pairs among which the best ``most`` firms of each query are, however many firms share a token.
+
+    An atom is a whole token or a four-letter prefix. Firms that share an atom of up to ``common`` firms are all taken. A firm
+    that shares only commoner atoms shares a certain set of them; among the firms with that set, ordered by the points it
+    gives and by number, it is one of the first ``most``, since each firm before it has as many points at least. So one
+    list of ``most`` firms for each asked set is enough: a query has up to 6 atoms and 26 sets, whatever the registry's size. Lists are
+    cut to ``most`` before they are shuffled (the group limit of ranked windows), so that no task sees all firms of a set.
     """
-    wanted = queries.select("query", F.explode("important").alias("token"))
-    owned = firms.select("firm_id", F.explode("tokens").alias("token"))
-    tokens = wanted.join(owned, "token").select("query", "firm_id", F.lit(3).alias("w"))
-    prefix = lambda df: df.filter(F.length("token") >= 4).withColumn("prefix", F.substring("token", 1, 4)).drop("token")
-    heads = prefix(wanted).join(prefix(owned), "prefix").select("query", "firm_id", F.lit(1).alias("w"))
-    scores = tokens.unionByName(heads).groupBy("query", "firm_id").agg(F.sum("w").alias("block_score"))
+    asked = queries.select("query", F.explode(_atoms(F.col("important"))).alias("atom"))
+    owned = keep(postings(firms, "firm_id", _atoms(F.col("tokens")), asked), "postings")
+    hot = keep(common_atoms(owned, common), "common-atoms")
+    rare = asked.join(hot, "atom", "left_anti").join(owned, "atom").select("query", "firm_id")
+    by_query = asked.join(hot, "atom").groupBy("query").agg(F.collect_set("atom").alias("common"))
+    demands = queries.join(by_query, "query").select("query", F.explode(_demands(F.col("important"), F.col("common"))).alias("d"))
+    demands = demands.select("query", F.array_join("d.atoms", "|").alias("set"), "d.heads", "d.points")
+    of_firm = owned.join(hot, "atom").groupBy("firm_id").agg(F.collect_set("atom").alias("common"))
+    offered = of_firm.join(firms.select("firm_id", "tokens"), "firm_id").select("firm_id", "tokens", F.explode(_subsets(F.col("common"))).alias("s"))
+    offered = offered.select("firm_id", "tokens", F.array_join("s", "|").alias("set")).join(demands.select("set", "heads", "points").distinct(), "set")
+    worth = F.col("points") + F.aggregate("heads", F.lit(0), lambda n, h: n + _heads(F.col("tokens"), h))
+    first = F.row_number().over(Window.partitionBy("set", "heads", "points").orderBy(worth.desc(), "firm_id"))
+    lists = offered.withColumn("k", first).filter(F.col("k") <= most).select("set", "heads", "points", "firm_id")
+    return rare.unionByName(demands.join(lists, ["set", "heads", "points"]).select("query", "firm_id")).distinct()
+
+
+def blocking_scores(queries: DataFrame, firms: DataFrame, most: int = R.REGISTRY_CANDIDATES, common: int = R.REGISTRY_CANDIDATES) -> DataFrame:
+    """query, firm_id, block_score: 3 for each shared important token, 1 for each token with its prefix; the best ``most``."""
+    pairs = blocking_pairs(queries, firms, most, common)
+    rows = pairs.join(queries.select("query", "important"), "query").join(firms.select("firm_id", "tokens"), "firm_id")
+    scores = rows.select("query", "firm_id", _block_score(F.col("important"), F.col("tokens")).alias("block_score"))
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.col("block_score").desc(), "firm_id"))
     return scores.withColumn("block_rank", rank).filter(F.col("block_rank") <= most)
 
