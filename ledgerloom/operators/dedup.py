@@ -16,9 +16,19 @@ def exact_key() -> list[Column]:
 
 
 def without_repeats(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The first row of each key, and the removed rows (transaction_id, seq)."""
-    ranked = df.withColumn("__k", F.row_number().over(Window.partitionBy(*exact_key()).orderBy("seq")))
-    return ranked.filter("__k = 1").drop("__k"), ranked.filter("__k > 1").select("transaction_id", "seq")
+    """The first row of each key, and the removed rows (transaction_id, seq).
+
+    The first seq of each key is found by partial sums, so that a row repeated a million times is one row a task before it is
+    shuffled; rows then meet the first ones by seq, whose values are all different.
+    """
+    firsts = df.groupBy(*[k.alias(f"__k{n}") for n, k in enumerate(exact_key())]).agg(F.min("seq").alias("seq")).select("seq")
+    return df.join(firsts, "seq", "left_semi"), df.join(firsts, "seq", "left_anti").select("transaction_id", "seq")
+
+
+def reference() -> Column:
+    """The reference of a transfer, null without one and for other rows."""
+    found = F.nullif(F.upper(F.regexp_extract(F.coalesce("raw_description", F.lit("")), REFERENCE, 1)), F.lit(""))
+    return F.when(F.col("txn_type").isin(TRANSFERS), found)
 
 
 def without_mirrors(df: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -26,8 +36,7 @@ def without_mirrors(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     The survivor takes the first row's place (column seq); removed rows keep theirs.
     """
-    reference = F.nullif(F.upper(F.regexp_extract(F.coalesce("raw_description", F.lit("")), REFERENCE, 1)), F.lit(""))
-    rows = df.withColumn("__ref", F.when(F.col("txn_type").isin(TRANSFERS), reference))
+    rows = df.withColumn("__ref", reference())
     plain, tied = rows.filter("__ref is null").drop("__ref"), rows.filter("__ref is not null")
     group = Window.partitionBy("__ref", F.bround("amount", 2), "txn_type")
     tied = tied.withColumns({"__place": F.min("seq").over(group), "__first": F.min_by("direction", "seq").over(group)})

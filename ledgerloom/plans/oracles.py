@@ -197,8 +197,8 @@ def dictionary(column: str) -> str:
     return case(steps)
 
 
-def transferred(source: str, with_memory: bool) -> tuple[str, str, str]:
-    """CTE bodies: own evidence, first confirming rows, and the outcome."""
+def transferred(source: str, with_memory: bool, back: bool = True) -> tuple[str, str, str]:
+    """CTE bodies: own evidence, first confirming rows, and the outcome; without ``back`` rows take nothing from later ones."""
     own = f"""
 SELECT *, CASE WHEN txn_type = 'salary_income' OR (txn_type = 'external_transfer' AND d_category IS NOT NULL) THEN 'confirmed' WHEN txn_type = 'external_transfer' THEN 'unknown' END AS o_state,
   CASE WHEN txn_type = 'salary_income' THEN 'explicit_text' WHEN txn_type = 'external_transfer' AND d_category IS NOT NULL THEN 'exact_text' WHEN txn_type = 'external_transfer' THEN 'no_signal' END AS o_evidence,
@@ -222,7 +222,7 @@ SELECT * EXCLUDE (category_area, confidence), {pick("'excluded'", "'confirmed'",
   {pick('confidence', f"greatest(coalesce(confidence, 0), CASE WHEN known THEN {m('m_confidence')} ELSE f_confidence END)", 'greatest(coalesce(o_confidence, 0), f_confidence)', 'o_confidence', 'confidence')} AS confidence,
   {pick('NULL', 'NULL', 'o_term', 'o_term')} AS fuzzy_match_term, {pick('NULL', 'NULL', "CASE WHEN o_term IS NOT NULL THEN 100.0::DOUBLE END", "CASE WHEN o_term IS NOT NULL THEN 100.0::DOUBLE END")} AS fuzzy_match_score
 FROM (SELECT o.*, f.* EXCLUDE (entity_key), {'mem.*, ' if with_memory else ''}{known} AS known, o.txn_type IN ('external_transfer', 'salary_income') AS active,
-    coalesce(o.doc_id > f_doc OR (o.doc_id = f_doc AND o.seq > f_row), false) AS later, coalesce(o.doc_id = f_doc AND o.seq < f_row, false) AS earlier
+    coalesce(o.doc_id > f_doc OR (o.doc_id = f_doc AND o.seq > f_row), false) AS later, {'coalesce(o.doc_id = f_doc AND o.seq < f_row, false)' if back else 'false'} AS earlier
   FROM own o LEFT JOIN firsts f ON o.entity_key = f.entity_key {old})""".replace("mem.m_category", "m_category").replace("mem.m_evidence", "m_evidence").replace("mem.m_confidence", "m_confidence")
     return own, first, out
 
@@ -568,6 +568,7 @@ def oracle_sql() -> dict[str, str]:
         "summary_merge": f"SELECT doc_id, count(*) AS total, {valid} AS valid, {unknown} AS unknown_category, round_even({valid} / count(*)::DOUBLE, 4) AS valid_rate, round_even({unknown} / count(*)::DOUBLE, 4) AS unknown_rate FROM flagged GROUP BY doc_id",
         "profile_hash": f"SELECT doc_id, 'profile-' || left(sha256(coalesce(string_agg(iban, '|' ORDER BY iban), doc_id::VARCHAR)), 12) AS profile_id FROM (SELECT DISTINCT doc_id, upper(nullif(regexp_extract(raw_description, {s(IBAN)}, 0, 'i'), '')) AS iban FROM ledger) GROUP BY doc_id",
         "dedup_exact": f"SELECT seq, transaction_id, booking_date, amount FROM (SELECT *, row_number() OVER (PARTITION BY booking_date, round_even(amount, 2), direction, source_section, {desc} ORDER BY seq) AS k FROM (SELECT * FROM ledger UNION ALL SELECT * REPLACE (seq + 1000000000 AS seq) FROM ledger)) WHERE k = 1",
+        "dedup_stream": f"SELECT DISTINCT ON (booking_date, round_even(amount, 2), direction, source_section, {desc}) booking_date, amount, direction, source_section, raw_description FROM ledger",
         "dedup_mirror": "SELECT CASE WHEN ref IS NULL THEN seq ELSE place END AS seq, transaction_id, direction, txn_type FROM tied WHERE ref IS NULL OR k = 1",
         "removed_ids": f"SELECT transaction_id, seq, 'repeat' AS reason FROM once WHERE r > 1 UNION ALL SELECT transaction_id, seq, 'mirror' FROM tied WHERE ref IS NOT NULL AND k > 1",
         "split_lines": "SELECT page_no, line_no, line FROM page_lines",
@@ -614,8 +615,12 @@ def oracle_sql() -> dict[str, str]:
     more["assemble_row"] = {"whole_totals": totals(keys="doc_id", group="GROUP BY doc_id"), "whole": features("whole_totals", "doc_id")}
     done = {name: q(sql, **more.get(name, {})) for name, sql in out.items()}
     done["memory_backfill"] = q(f"SELECT seq, state, evidence_type, match_source, category_area, confidence, fuzzy_match_term, fuzzy_match_score FROM transferred WHERE {tr}", **memory)
+    forward = {**memory, "transferred": transferred("late_rows", True, back=False)[2]}
+    done["memory_stream"] = q(f"SELECT seq, state, evidence_type, match_source, category_area, confidence, fuzzy_match_term, fuzzy_match_score FROM transferred WHERE {tr}", **forward)
     done["memory_upsert"] = q(
         f"SELECT coalesce(m_key, entity_key) AS entity_key, coalesce(f_name, m_name) AS canonical_name, coalesce(f_area, m_category) AS category, coalesce(f_confidence, m_confidence) AS confidence, 'confirmed' AS status, coalesce(m_first, month) AS first_seen, coalesce(month, m_last) AS last_seen, (coalesce(m_months, 0) + CASE WHEN month IS NOT NULL AND m_last IS DISTINCT FROM month THEN 1 ELSE 0 END)::INT AS months_seen, coalesce(f_evidence, m_evidence) AS evidence_type FROM (SELECT *, {MONTH.replace('booking_date', 'f_date')} AS month FROM firsts) FULL OUTER JOIN (SELECT * FROM {table_of(MEMORY, *MEMORY_NAMES)}) ON entity_key = m_key",
         **memory,
     )
+    done["memory_state"] = done["memory_upsert"]
+    done["mirror_stream"] = done["dedup_mirror"]
     return done

@@ -15,10 +15,12 @@ from ..operators import merchants as M
 from ..operators import scoring as S
 from ..operators import statements as P
 from ..operators import transfers as T
-from ..runtime import keep
+from ..runtime import keep, scratch
 from ..sources import grammar as G
 from ..sources import sinks
 from ..sources.tables import ledger, month_key, read_table, renamed_fields, traceability
+from ..streaming import duplicates as SD
+from ..streaming import memory as SM
 from .end_to_end import classify_rows, score_months
 
 #: Amounts as statements write them.
@@ -188,9 +190,9 @@ def q_dedup_exact(spark, d):
     return kept.select("seq", "transaction_id", "booking_date", "amount")
 
 
-def with_mirrors(spark: SparkSession, d: str) -> DataFrame:
+def with_mirrors(spark: SparkSession, d: str, *more: str) -> DataFrame:
     """Classified rows, and of every third transfer the other account's side: the other direction, a later row."""
-    rows = C.classify_types(ledger(spark, d))
+    rows = C.classify_types(ledger(spark, d, *more))
     other = rows.filter("txn_type in ('internal_transfer', 'external_transfer') and seq % 3 = 0")
     other = other.withColumns({"direction": F.when(F.col("direction") == "debit", "credit").otherwise("debit"), "seq": F.col("seq") + 1_000_000_000, "transaction_id": F.concat("transaction_id", F.lit("m"))})
     return rows.unionByName(other)
@@ -517,5 +519,57 @@ def q_semi_anti_union_sets(spark, d):
     return out
 
 
+def arriving(rows: DataFrame, name: str, column: str, parts: int = 3) -> DataFrame:
+    """rows as a stream of files that come one after the other, by ranges of a number column."""
+    spark = rows.sparkSession
+    path, (low, high) = scratch(spark, name), rows.agg(F.min(column), F.max(column)).first()
+    for k in range(parts if low is not None else 0):
+        place = F.floor((F.col(column) - low) * parts / (high - low + 1))
+        rows.filter(place == k).write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 64).parquet(path) if low is not None else rows
+
+
+def arrived(stream: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """What a stream has written when all its files are read, and its checkpoint."""
+    spark = stream.sparkSession
+    out, checkpoint = scratch(spark, name), scratch(spark, f"{name}-state")
+    query = stream.writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(out)
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out), checkpoint
+
+
+def memory_stream(spark: SparkSession, d: str) -> tuple[DataFrame, str]:
+    memory = spark.createDataFrame(MEMORY, T.MEMORY)
+    return arrived(SM.remembered(arriving(with_memory(spark, d), "memory-rows", "doc_id"), memory), "remembered")
+
+
+def q_memory_stream(spark, d):
+    """Transfers as a stream sees them: what is known before a row, and nothing that comes after it."""
+    return memory_stream(spark, d)[0].select("seq", "state", "evidence_type", "match_source", "category_area", "confidence", "fuzzy_match_term", "fuzzy_match_score")
+
+
+def q_memory_state(spark, d):
+    """The memory that the stream leaves in its state."""
+    return SM.memory_of(spark, memory_stream(spark, d)[1])
+
+
+def q_dedup_stream(spark, d):
+    """Rows that come again an hour later are left out."""
+    rows = ledger(spark, d, "ts").withColumn("ts", F.col("ts").cast("timestamp"))
+    again = rows.withColumns({"seq": F.col("seq") + 1_000_000_000, "ts": F.expr("ts + interval 1 hour")})
+    stream = arriving(rows.unionByName(again), "repeated-rows", "seq", 2)
+    return arrived(SD.without_repeats(stream, "ts", "60 days"), "once")[0].select("booking_date", "amount", "direction", "source_section", "raw_description")
+
+
+def q_mirror_stream(spark, d):
+    """Both sides of transfers, the second a day later. A last row far ahead lets the watermark pass all others."""
+    rows = with_mirrors(spark, d, "ts").withColumn("ts", F.col("ts").cast("timestamp"))
+    rows = rows.withColumn("ts", F.when(F.col("seq") >= 1_000_000_000, F.expr("ts + interval 1 day")).otherwise(F.col("ts")))
+    end = rows.orderBy(F.desc("seq")).limit(1).withColumns({"seq": F.lit(2_000_000_000).cast("long"), "txn_type": F.lit("end"), "ts": F.expr("ts + interval 400 days")})
+    stream = arriving(rows.unionByName(end), "both-sides", "seq", 4)
+    kept = arrived(SD.without_mirrors(stream, "ts", "60 days"), "one-side")[0]
+    return kept.filter("txn_type != 'end'").select("seq", "transaction_id", "direction", "txn_type")
+
+
 def queries() -> dict:
     return {name[2:]: f for name, f in globals().items() if name.startswith("q_")}
