@@ -1,8 +1,8 @@
 """Merchant names: aliases (exact, contained, by pattern, fuzzy), and registry names by blocked similarity.
 
 Every step runs on the distinct spellings alone and is joined back, so that a spelling of a million rows is
-matched once. Aliases of any number are met by equi-joins (words, four-letter pieces, lengths); only patterns, which
-have no key, go to every task, and their number is checked.
+matched once. Aliases of any number are met by equi-joins (words, four-letter pieces, lengths), patterns by the literal
+pieces that they cannot match without; only patterns that have none are held against every text.
 """
 
 from __future__ import annotations
@@ -12,12 +12,13 @@ from pyspark.sql import functions as F
 
 from .. import rules as R
 from ..functions import text as X
-from ..runtime import bounded, keep, left_join_spread
+from ..functions.patterns import pieces
+from ..runtime import keep, left_join_spread
 from ..functions.similarity import sequence_ratio_udf, token_set_ratio_udf
 
 LEGAL_NOISE = ["SA", "SRL", "SRL.", "S.A", "S.R.L", "ROMANIA", "THE", "COMPANY"]
-#: Patterns have no key to meet texts by: each text is held against all, so their number is bounded.
-MOST_PATTERNS = 1000
+#: Letters by which texts and pieces of patterns meet, and blocks over which patterns without a piece are dealt.
+PART, PATTERN_BLOCKS = 4, 64
 RESULT = ["merchant_canonical", "normalization_source", "merchant_match_method", "mapping_method", "name_confidence"]
 
 
@@ -72,10 +73,43 @@ def contained_alias(texts: DataFrame, aliases: DataFrame, column: str = "norm")
     return both.filter(hit).groupBy(column).agg(first.alias("first")).select(column, F.col("first.name").alias("contained_name"))
 
 
+def _with_pieces(frames):
+    import pandas as pd
+
+    for frame in frames:
+        rows = [(p, n, k, piece) for p, n, k in frame.itertuples(index=False) for piece in pieces(p) or [None]]
+        yield pd.DataFrame(rows, columns=["pattern", "name", "priority", "piece"])
+
+
 def pattern_alias(texts: DataFrame, patterns: DataFrame, column: str = "norm") -> DataFrame:
-    """column and pattern_name: the first pattern (pattern, name, priority) that is found in the text."""
-    joined = texts.select(column).distinct().join(bounded(patterns, MOST_PATTERNS, "patterns"), F.regexp(F.col(column), F.concat(F.lit("(?iu)"), F.col("pattern"))))
-    return joined.groupBy(column).agg(F.min_by("name", "priority").alias("pattern_name"))
+    """column and pattern_name: the first pattern (pattern, name, priority) that is found in the text.
+
+    A match of a pattern has one of its literal pieces. A piece is looked up by that of its four-letter parts (itself, if
+    shorter) which the fewest texts have, so that texts and patterns meet by equality and only pairs with the piece are tried.
+    Patterns without a piece are tried on every text, in blocks.
+    """
+    texts = texts.select(column).distinct()
+    kinds = {f.name: f.dataType.simpleString() for f in patterns.schema.fields}
+    table = patterns.select("pattern", "name", "priority").mapInPandas(_with_pieces, f"pattern string, name string, priority {kinds['priority']}, piece string")
+    table = keep(table, "pattern-pieces")
+    fold = lambda c: F.lower(F.upper(F.translate(c, "\u0130", "I")))
+    parts = lambda text, size: F.when(F.length(text) >= size, F.transform(F.sequence(F.lit(1), F.length(text) - size + 1), lambda k: F.substring(text, k, F.lit(size)))).otherwise(F.array().cast("array<string>"))
+    wanted = table.filter("piece is not null")
+    wanted = wanted.withColumn("part", F.explode(F.array_distinct(F.when(F.length("piece") >= PART, parts(F.col("piece"), PART)).otherwise(F.array("piece")))))
+    asked = wanted.select("part").distinct()
+    owned = texts.withColumn("text", fold(F.col(column)))
+    owned = owned.select(column, "text", F.explode(F.array_distinct(F.concat(*(parts(F.col("text"), k) for k in range(1, PART + 1))))).alias("part")).join(asked, "part", "left_semi")
+    owned = keep(owned, "text-parts")
+    # Parts that no text has leave their pieces out.
+    counts = owned.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    rare = wanted.join(counts, "part", "left").groupBy("pattern", "name", "priority", "piece").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "part")).alias("r"))
+    rare = rare.filter("r.n > 0").select("pattern", "name", "priority", "piece", F.col("r.part").alias("part"))
+    tried = owned.join(rare, "part").filter(F.col("text").contains(F.col("piece"))).select(column, "pattern", "name", "priority").distinct()
+    bare = table.filter("piece is null").withColumn("block", F.pmod(F.xxhash64("pattern", "priority"), F.lit(PATTERN_BLOCKS))).drop("piece")
+    used = bare.select("block").distinct().agg(F.sort_array(F.collect_list("block")).alias("used"))  # one row of PATTERN_BLOCKS numbers at most
+    everywhere = texts.join(F.broadcast(used), F.lit(True)).select(column, F.explode("used").alias("block")).join(bare, "block").drop("block")
+    hit = F.regexp(F.col(column), F.concat(F.lit("(?iu)"), F.col("pattern")))
+    return tried.unionByName(everywhere.select(tried.columns)).filter(hit).groupBy(column).agg(F.min_by("name", "priority").alias("pattern_name"))
 
 
 def fuzzy_alias(texts: DataFrame, aliases: DataFrame, least: float = R.FUZZY_ALIAS_LEAST) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import rules as R
-from ..functions.similarity import token_set_ratio
+from ..functions.similarity import TermTable
 from ..functions.text import plain
 from ..runtime import keep, left_join_spread, let
 from ..sources.tables import month_key
@@ -69,23 +69,23 @@ def _dictionary_match(haystack: Column) -> Column:
     return out
 
 
-def fuzzy_terms(texts: DataFrame, column: str) -> DataFrame:
-    """column, category, term, score: the first best term of the categories that allow similar ones, by distinct text."""
-    table = [(c, normalised(t)) for c, rule in R.TRANSFER_TERMS.items() if rule["fuzzy"] for t in terms_of(c) if t.strip()]
+def similar_terms() -> list[tuple[str, str]]:
+    """Category and normalised term of the categories that allow similar ones, in order."""
+    return [(c, normalised(t)) for c, rule in R.TRANSFER_TERMS.items() if rule["fuzzy"] for t in terms_of(c) if t.strip()]
+
+
+def fuzzy_terms(texts: DataFrame, column: str, table: list[tuple[str, str]] | None = None) -> DataFrame:
+    """column, category, term, score: the first best term (category, normalised term) by distinct text; a batch of texts is compared at once."""
+    table = [(c, t) for c, t in (similar_terms() if table is None else table) if t]
 
     def best(frames):
         import pandas as pd
 
+        terms = TermTable([t for _, t in table])
         for frame in frames:
-            rows = []
-            for text in frame[column]:
-                top = None
-                for category, term in table:
-                    score = token_set_ratio(text, term) if term else -1.0
-                    if term and (top is None or score > top[2]):
-                        top = (category, term, score)
-                rows.append((text, *(top or (None, None, None))))
-            yield pd.DataFrame(rows, columns=[column, "category", "term", "score"])
+            which, score = terms.best(frame[column].tolist())
+            pick = lambda k: [table[w][k] if w >= 0 else None for w in which]
+            yield pd.DataFrame({column: frame[column], "category": pick(0), "term": pick(1), "score": pd.Series(score).where(which >= 0)})
 
     distinct = texts.select(column).filter(F.col(column) != "").distinct()
     return distinct.mapInPandas(best, f"{column} string, category string, term string, score double")

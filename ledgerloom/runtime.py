@@ -73,9 +73,3 @@ def left_join_spread(left: DataFrame, right: DataFrame, key: str, *by: str) -> D
     rows = left.withColumn("__to", F.when(has, F.col(key)).otherwise(spread))
     return rows.join(right.withColumnRenamed(key, "__of"), has & (F.col("__to") == F.col("__of")), "left").drop("__to", "__of")
 
-
-def bounded(table: DataFrame, most: int, what: str) -> DataFrame:
-    """A broadcast of a caller's table, once it is known to have ``most`` rows at most; more are an error."""
-    if table.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} {what}")
-    return F.broadcast(table)
