@@ -617,6 +617,8 @@ def oracle_sql() -> dict[str, str]:
     done["memory_backfill"] = q(f"SELECT seq, state, evidence_type, match_source, category_area, confidence, fuzzy_match_term, fuzzy_match_score FROM transferred WHERE {tr}", **memory)
     forward = {**memory, "transferred": transferred("late_rows", True, back=False)[2]}
     done["memory_stream"] = q(f"SELECT seq, state, evidence_type, match_source, category_area, confidence, fuzzy_match_term, fuzzy_match_score FROM transferred WHERE {tr}", **forward)
+    timed = "SELECT own.*, ts FROM own JOIN events ON seq = event_id WHERE txn_type IN ('external_transfer', 'salary_income')"
+    done["memory_asof"] = q(f"SELECT r.seq, r.entity_key, v.seq AS from_seq, v.o_area AS category FROM ({timed}) r ASOF LEFT JOIN (SELECT * FROM ({timed}) WHERE o_state = 'confirmed') v ON r.entity_key = v.entity_key AND r.ts > v.ts", **memory)
     done["memory_upsert"] = q(
         f"SELECT coalesce(m_key, entity_key) AS entity_key, coalesce(f_name, m_name) AS canonical_name, coalesce(f_area, m_category) AS category, coalesce(f_confidence, m_confidence) AS confidence, 'confirmed' AS status, coalesce(m_first, month) AS first_seen, coalesce(month, m_last) AS last_seen, (coalesce(m_months, 0) + CASE WHEN month IS NOT NULL AND m_last IS DISTINCT FROM month THEN 1 ELSE 0 END)::INT AS months_seen, coalesce(f_evidence, m_evidence) AS evidence_type FROM (SELECT *, {MONTH.replace('booking_date', 'f_date')} AS month FROM firsts) FULL OUTER JOIN (SELECT * FROM {table_of(MEMORY, *MEMORY_NAMES)}) ON entity_key = m_key",
         **memory,

@@ -15,6 +15,7 @@ from ..operators import merchants as M
 from ..operators import scoring as S
 from ..operators import statements as P
 from ..operators import transfers as T
+from ..operators.asof import last_evidence
 from ..runtime import keep, scratch
 from ..sources import grammar as G
 from ..sources import sinks
@@ -548,6 +549,12 @@ def q_memory_stream(spark, d):
     return memory_stream(spark, d)[0].select("seq", "state", "evidence_type", "match_source", "category_area", "confidence", "fuzzy_match_term", "fuzzy_match_score")
 
 
+def q_memory_asof(spark, d):
+    """What was last known of each transfer's entity before it, by time."""
+    times = read_table(spark, d, "events").select(F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"))
+    return last_evidence(T.own_evidence(T.counterparties(with_memory(spark, d).join(times, "seq")), fuzzy=False), "ts")
+
+
 def q_memory_state(spark, d):
     """The memory that the stream leaves in its state."""
     return SM.memory_of(spark, memory_stream(spark, d)[1])
