@@ -6,7 +6,8 @@ A gear hash rolls over the bytes of a text: each byte shifts it by one bit and a
 nearby bytes alone, an insertion moves no borders beyond its surroundings. Chunks are compared by a 128-bit digest;
 all but the first occurrence (lowest doc_id, then place in the text) are removed.
 
-Defined cases: a null text is empty; a text under ``LEAST`` bytes stays whole; repeated rows (same id and text) are
+Defined cases: a null text is empty; a text under ``LEAST`` bytes is one chunk, so that its later copies go;
+a shorter rest of a text that was cut is never compared; repeated rows (same id and text) are
 one document; an empty table gives no rows; a long text of one repeated byte is cut at ``MOST``; extra columns are
 not read.
 """
@@ -72,7 +73,7 @@ def _units(batches):
             data, offsets = bytes_of(part.column("text"))
             ends, doc = chunk_ends(data, offsets)
             starts = np.concatenate([[0], ends[:-1]])[: len(ends)]
-            fits = ends - starts >= LEAST
+            fits = (ends - starts >= LEAST) | ((starts == offsets[doc]) & (ends == offsets[doc + 1]))
             starts, ends, doc = starts[fits], ends[fits], doc[fits]
             a, b = (B.SpanHash(data, seed)(starts, ends) for seed in (7, 8))
             pick = pa.array(doc)

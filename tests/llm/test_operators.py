@@ -413,18 +413,18 @@ def test_op7(spark):
         return out
 
     passage = prose(rng, 160)
-    rows = [(1, None), (2, ""), (3, "x" * 5000), (4, "ab" * 40), (5, "x" * 5000), (6, "x" * 31), (7, "x" * 31)] + [(10 + k, prose(rng, 60) + passage + prose(rng, 9)) for k in range(9)]
+    rows = [(1, None), (2, ""), (3, "x" * 5000), (4, "ab" * 40), (5, "x" * 5000), (6, "x" * 31), (7, "x" * 31), (8, "five equal copies of a few words"), (9, "five equal copies of a few words")] + [(10 + k, prose(rng, 60) + passage + prose(rng, 9)) for k in range(9)]
     seen, want = set(), []
     for i, t in rows:
         raw = (t or "").encode()
         mask = bytearray(len(raw))
         for a, b in chunks(raw):
-            if b - a >= chunk_dedup.LEAST:
+            if b - a >= chunk_dedup.LEAST or b - a == len(raw):
                 if raw[a:b] in seen:
                     mask[a:b] = b"\1" * (b - a)
                 seen.add(raw[a:b])
         want.append((i, len(raw), sum(mask), spans(mask), sha(kept(raw, mask))))
-    df = spark.createDataFrame(rows + [rows[9]], DOCS).withColumn("rid", F.lit(1))
+    df = spark.createDataFrame(rows + [rows[11]], DOCS).withColumn("rid", F.lit(1))
     got = sorted(tuple(r)[:5] for r in chunk_dedup.chunk_dedup(df).collect())
     assert got == sorted(want + [want[9]])
     assert all(r[2] > 64 for r in got if r[0] > 10)  # all but the first lose chunks of the passage
