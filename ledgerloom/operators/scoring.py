@@ -226,6 +226,58 @@ def linear_scores(values: Column, model: Model) -> tuple[Column, Column]:
     return F.bround(1 - saving, 6), saving
 
 
+#: Numbers of a net's weights that the driver takes (400 MB of doubles).
+MOST_WEIGHTS = 50_000_000
+TRUNK, RISK_HEAD, SAVING_HEAD = "shared_trunk", "risk_head", "savings_head"
+
+
+def net_from_weights(weights: DataFrame, columns: list[str] | None = None, activation: str = "relu", **fields) -> Model:
+    """The two-headed net of a table of named weights: name, shape (array of int) and values (array of double, row by row).
+
+    ``shared_trunk.<k>.weight`` are the layers in order of k, whatever lies between them; a layer or head without a bias has
+    none. Sizes follow from the shapes and must fit each other. Without ``columns`` the inputs are called x0, x1, ...; an unknown
+    activation is relu.
+    """
+    size = weights.agg(F.sum(F.size("values"))).first()[0] or 0
+    if size > MOST_WEIGHTS:
+        raise ValueError(f"{size} weights are more than {MOST_WEIGHTS}")
+    table = {r["name"]: r for r in weights.select("name", "shape", F.col("values").cast("array<double>").alias("values")).collect()}
+
+    def matrix(name: str) -> list[list[float]]:
+        shape, values = list(table[name]["shape"]), table[name]["values"]
+        if len(shape) != 2 or shape[0] * shape[1] != len(values):
+            raise ValueError(f"{name} has {len(values)} values and the shape {shape}")
+        return [values[k * shape[1] : (k + 1) * shape[1]] for k in range(shape[0])]
+
+    def bias(name: str, wide: int) -> list[float]:
+        values = list(table[name]["values"]) if name in table else [0.0] * wide
+        if len(values) != wide:
+            raise ValueError(f"{name} has {len(values)} values, not {wide}")
+        return values
+
+    numbers = sorted(int(n.split(".")[1]) for n in table if n.startswith(f"{TRUNK}.") and n.endswith(".weight"))
+    lacking = [n for n in (f"{RISK_HEAD}.weight", f"{SAVING_HEAD}.weight") if n not in table] + ([] if numbers else [f"{TRUNK}.0.weight"])
+    if lacking:
+        raise ValueError(f"no weights called {', '.join(lacking)}")
+    layers = []
+    for k in numbers:
+        layer = matrix(f"{TRUNK}.{k}.weight")
+        if layers and len(layer[0]) != len(layers[-1][0]):
+            raise ValueError(f"{TRUNK}.{k}.weight takes {len(layer[0])} numbers, but the layer before gives {len(layers[-1][0])}")
+        layers.append((layer, bias(f"{TRUNK}.{k}.bias", len(layer))))
+    heads = []
+    for name in (RISK_HEAD, SAVING_HEAD):
+        head = matrix(f"{name}.weight")
+        if len(head) != 1 or len(head[0]) != len(layers[-1][0]):
+            raise ValueError(f"{name}.weight is {len(head)} by {len(head[0])}, not 1 by {len(layers[-1][0])}")
+        heads.append((head[0], bias(f"{name}.bias", 1)[0]))
+    inputs = len(layers[0][0][0])
+    if columns is not None and len(columns) != inputs:
+        raise ValueError(f"{len(columns)} columns for a net of {inputs} inputs")
+    known = activation.strip().lower() if activation.strip().lower() in ("relu", "gelu", "tanh", "sigmoid") else "relu"
+    return Model(columns or [f"x{k}" for k in range(inputs)], layers=layers, risk_head=heads[0], saving_head=heads[1], activation=known, **fields)
+
+
 def dense_scores_udf(model: Model):
     """The two-headed net over arrays of doubles, a batch of rows at a time."""
 
@@ -325,7 +377,9 @@ def fill_back(final: DataFrame, inferred: DataFrame, fallback: DataFrame | None
     scores = inferred.select("statement_month", F.col("risk_score").alias("__r"))
     out = final.join(scores, "statement_month", "left")
     if fallback is not None:
-        only = fallback.agg(F.first("risk_score").alias("__f"))
+        # Of several fallback rows the one whose key columns come last counts.
+        order = F.struct(*[c for c in fallback.columns if c != "risk_score"], "risk_score")
+        only = fallback.agg(F.max_by("risk_score", order).alias("__f"))
         out = out.join(F.broadcast(only), F.lit(True), "left").withColumn("__r", F.coalesce("__r", "__f")).drop("__f")
     score = F.coalesce("__r", "Risk_Score")
     return out.withColumns({"Risk_Score": score, "Behavior_Risk_Level": F.coalesce(behaviour_band(score), "Behavior_Risk_Level")}).drop("__r").select(final.columns)

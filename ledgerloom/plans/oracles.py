@@ -8,7 +8,7 @@ from ..operators.expenses import TOTALS
 from ..operators.merchants import LEGAL_NOISE
 from ..operators.transfers import AREAS, TRANSFER_TYPES, normalised, terms_of
 from ..sources import grammar as G
-from .queries import EXTERNAL, LATE, LITERALS, MEMORY, MONTH_COLUMNS, MONTH_WEIGHTS, PATTERNS, RULES, WEIGHTS
+from .queries import BIAS, EXTERNAL, LATE, LITERALS, MEMORY, MONTH_COLUMNS, MONTH_WEIGHTS, NET, PATTERNS, RULES, WEIGHTS
 
 
 def s(text) -> str:
@@ -507,6 +507,19 @@ def rate(a: str, b: str) -> str:
     return f"coalesce(round_even(({a}) / nullif(({b})::DOUBLE, 0), 4), 0)"
 
 
+def dense() -> str:
+    """The dense model layer by layer, over unnested weights."""
+    steps = ["n0 AS (SELECT vec_id, unnest(range(64)) AS j, unnest(list_transform(embedding::DOUBLE[], lambda v, k: CASE WHEN k <= 8 THEN (v - 0.01) / 0.1 ELSE v END)) AS x FROM embeddings)"]
+    for k, (name, wide, deep, rule) in enumerate(NET):
+        trunk = name.startswith("shared_trunk")
+        source = f"n{k}" if trunk else f"n{sum(n.startswith('shared_trunk') for n, *_ in NET)}"
+        value = f"sum(({rule})::DOUBLE * x) + ({BIAS})::DOUBLE"
+        value = f"greatest(0, {value})" if trunk else f"1 / (1 + exp(-({value})))"
+        steps.append(f"n{k + 1} AS (SELECT vec_id, i AS j, {value} AS x FROM {source}, (SELECT unnest(range({wide})) AS i) GROUP BY vec_id, i)")
+    heads = [k + 1 for k, (n, *_) in enumerate(NET) if not n.startswith("shared_trunk")]
+    return f"WITH {', '.join(steps)} SELECT vec_id, round_even(a.x, 6) AS risk_score, round_even(b.x, 6) AS saving_probability FROM n{heads[0]} a JOIN n{heads[1]} b USING (vec_id)"
+
+
 def oracle_sql() -> dict[str, str]:
     eligible, unknown = f"count(*) FILTER (WHERE txn_type IN ({listed(R.MERCHANT_TYPES)}))", f"count(*) FILTER (WHERE txn_type IN ({listed(R.MERCHANT_TYPES)}) AND category_area = 'Unknown')"
     valid = "count(*) FILTER (WHERE txn_type <> 'unknown')"
@@ -611,6 +624,13 @@ def oracle_sql() -> dict[str, str]:
         "header_footer_removal": {"edged": f"SELECT *, {KEY} AS key, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY line_no) AS up, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY line_no DESC) AS down FROM page_lines"},
         "semi_anti_union_sets": {"big": "SELECT o_custkey AS c FROM orders WHERE o_totalprice > 200000", "urgent": "SELECT o_custkey AS c FROM orders WHERE o_orderpriority = '1-URGENT'"},
     }
+    more["parse_incremental"] = {
+        "raw_lines": CTE["statement_lines"],
+        "pages": "SELECT doc_id, 1 AS page_no, string_agg(line, chr(10) ORDER BY line_no) AS text FROM raw_lines GROUP BY doc_id",
+        "edged": more["header_footer_removal"]["edged"],
+        "statement_lines": f"SELECT doc_id, line_no, line FROM ({out['header_footer_removal']})",
+    }
+    out["parse_incremental"] = out["statement_parse"]
     more["score_months"] = {"final_rows": out["final_row_month"]}
     more["assemble_row"] = {"whole_totals": totals(keys="doc_id", group="GROUP BY doc_id"), "whole": features("whole_totals", "doc_id")}
     done = {name: q(sql, **more.get(name, {})) for name, sql in out.items()}
@@ -623,6 +643,7 @@ def oracle_sql() -> dict[str, str]:
         f"SELECT coalesce(m_key, entity_key) AS entity_key, coalesce(f_name, m_name) AS canonical_name, coalesce(f_area, m_category) AS category, coalesce(f_confidence, m_confidence) AS confidence, 'confirmed' AS status, coalesce(m_first, month) AS first_seen, coalesce(month, m_last) AS last_seen, (coalesce(m_months, 0) + CASE WHEN month IS NOT NULL AND m_last IS DISTINCT FROM month THEN 1 ELSE 0 END)::INT AS months_seen, coalesce(f_evidence, m_evidence) AS evidence_type FROM (SELECT *, {MONTH.replace('booking_date', 'f_date')} AS month FROM firsts) FULL OUTER JOIN (SELECT * FROM {table_of(MEMORY, *MEMORY_NAMES)}) ON entity_key = m_key",
         **memory,
     )
+    done["dense_scores"] = dense()
     done["memory_state"] = done["memory_upsert"]
     done["mirror_stream"] = done["dedup_mirror"]
     return done
