@@ -2,7 +2,7 @@ r"""Op 9: secret scans with a battery of randomness tests, in DataFrame function
 
 Three kinds of spans are found by their form: assignments to secret names, access keys and hex digests. On top,
 each other run of 20 or more characters that encodings use is a candidate. Its encoding is the smallest alphabet
-that holds it. Over that alphabet three statistics are taken: the chi-squared of uniform use (as the number of pairs
+that holds it; dashes between groups of hexadecimal digits only part them. Over that alphabet three statistics are taken: the chi-squared of uniform use (as the number of pairs
 of equal characters, which it is a linear function of), the runs of its classes (lower case, capitals, digits, signs; the two
 halves of an alphabet of one class) as changes between neighbours, and the serial correlation of neighbours. Each is held
 against both hypotheses:
@@ -57,8 +57,12 @@ ENCODINGS = [
     ("lower36", "^[a-z0-9]+$", DIGITS + LOWER, 0.066, 0.1),
     ("upper36", "^[A-Z0-9]+$", DIGITS + UPPER, 0.066, 0.1),
     ("base62", "^[A-Za-z0-9]+$", DIGITS + UPPER + LOWER, 0.06, 0.2),
-    ("base64", "", UPPER + LOWER + DIGITS + "+/-_", 0.06, 0.25),
+    ("base64", "^[A-Za-z0-9+/]+$", UPPER + LOWER + DIGITS + "+/", 0.06, 0.25),
+    ("base64url", "^[A-Za-z0-9_-]+$", UPPER + LOWER + DIGITS + "-_", 0.06, 0.25),
+    ("mixed", "", UPPER + LOWER + DIGITS + "+/-_", 0.06, 0.25),
 ]
+#: Groups of hexadecimal digits between dashes, as identifiers are written: the dashes are no characters of them.
+GROUPS = "^(?:[0-9a-f]+(?:-[0-9a-f]+)+|[0-9A-F]+(?:-[0-9A-F]+)+)$"
 CLASSES = {"l": LOWER, "u": UPPER, "d": DIGITS, "s": "+/-_"}
 #: Characters of the corpus' natural words, just under those of candidates; and how many words the fixed numbers weigh.
 NATURAL, PRIOR_WORDS = (12, 19), 20
@@ -138,7 +142,9 @@ def measured(rows: DataFrame) -> DataFrame:
     distances from a mean."""
     pick = lambda k: F.coalesce(*[F.when(F.col("bare").rlike(e[1]), F.lit(e[k])) for e in ENCODINGS if e[1]], F.lit(ENCODINGS[-1][k]))
     total = lambda array: F.aggregate(array, F.lit(0.0), lambda a, v: a + v)
-    out = rows.withColumn("bare", F.rtrim(F.col("hit"), F.lit("="))).withColumns({"encoding": pick(0), "alphabet": pick(2)})
+    bare = F.rtrim(F.col("hit"), F.lit("="))
+    bare = F.when(bare.rlike(GROUPS), F.replace(bare, F.lit("-"), F.lit(""))).otherwise(bare)
+    out = rows.withColumn("bare", bare).withColumns({"encoding": pick(0), "alphabet": pick(2)})
     classes = F.element_at(F.create_map(*[F.lit(x) for e in ENCODINGS for x in (e[0], classes_of(e[2]))]), F.col("encoding"))
     out = out.withColumn("classes", classes).withColumn("kinds", F.expr("translate(bare, alphabet, classes)"))
     out = out.withColumns({"chars": F.split("bare", ""), "k": F.length("alphabet").cast("double"), "n": F.length("bare").cast("double")})
