@@ -73,6 +73,26 @@ def contained_alias(texts: DataFrame, aliases: DataFrame, column: str = "norm")
     return both.filter(hit).groupBy(column).agg(first.alias("first")).select(column, F.col("first.name").alias("contained_name"))
 
 
+def containing(texts: DataFrame, column: str, table: DataFrame, piece: str) -> DataFrame:
+    """Rows of texts beside those of table whose ``piece`` the text in ``column`` contains; both may be of any number.
+
+    A piece is looked up by that of its four-letter parts (itself, if shorter) which the fewest texts have, so that both meet
+    by equality. Parts that no text has leave their pieces out. An empty piece is in no text here.
+    """
+    parts = lambda text, size: F.when(F.length(text) >= size, F.transform(F.sequence(F.lit(1), F.length(text) - size + 1), lambda k: F.substring(text, k, F.lit(size)))).otherwise(F.array().cast("array<string>"))
+    pieces_ = table.select(piece).filter(F.col(piece) != "").distinct()
+    wanted = pieces_.withColumn("__part", F.explode(F.array_distinct(F.when(F.length(piece) >= PART, parts(F.col(piece), PART)).otherwise(F.array(piece)))))
+    some = texts.select(column).distinct()
+    owned = some.select(column, F.explode(F.array_distinct(F.concat(*(parts(F.col(column), k) for k in range(1, PART + 1))))).alias("__part"))
+    owned = keep(owned.join(wanted.select("__part").distinct(), "__part", "left_semi"), "text-parts")
+    counts = owned.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    rare = wanted.join(counts, "__part").groupBy(piece).agg(F.min(F.struct("__n", "__part")).alias("__r"), F.count(F.lit(1)).alias("__of"))
+    whole = wanted.groupBy(piece).agg(F.count(F.lit(1)).alias("__all"))
+    rare = rare.join(whole, piece).filter("__of = __all").select(piece, F.col("__r.__part").alias("__part"))
+    met = owned.join(rare, "__part").filter(F.col(column).contains(F.col(piece))).select(column, piece)
+    return texts.join(met, column).join(table, piece)
+
+
 def _with_pieces(frames):
     import pandas as pd
 
@@ -84,27 +104,16 @@ def _with_pieces(frames):
 def pattern_alias(texts: DataFrame, patterns: DataFrame, column: str = "norm") -> DataFrame:
     """column and pattern_name: the first pattern (pattern, name, priority) that is found in the text.
 
-    A match of a pattern has one of its literal pieces. A piece is looked up by that of its four-letter parts (itself, if
-    shorter) which the fewest texts have, so that texts and patterns meet by equality and only pairs with the piece are tried.
-    Patterns without a piece are tried on every text, in blocks.
+    A match of a pattern has one of its literal pieces, and only texts with the piece are tried. Patterns without a piece are tried
+    on every text, in blocks.
     """
     texts = texts.select(column).distinct()
     kinds = {f.name: f.dataType.simpleString() for f in patterns.schema.fields}
     table = patterns.select("pattern", "name", "priority").mapInPandas(_with_pieces, f"pattern string, name string, priority {kinds['priority']}, piece string")
     table = keep(table, "pattern-pieces")
-    fold = lambda c: F.lower(F.upper(F.translate(c, "\u0130", "I")))
-    parts = lambda text, size: F.when(F.length(text) >= size, F.transform(F.sequence(F.lit(1), F.length(text) - size + 1), lambda k: F.substring(text, k, F.lit(size)))).otherwise(F.array().cast("array<string>"))
-    wanted = table.filter("piece is not null")
-    wanted = wanted.withColumn("part", F.explode(F.array_distinct(F.when(F.length("piece") >= PART, parts(F.col("piece"), PART)).otherwise(F.array("piece")))))
-    asked = wanted.select("part").distinct()
-    owned = texts.withColumn("text", fold(F.col(column)))
-    owned = owned.select(column, "text", F.explode(F.array_distinct(F.concat(*(parts(F.col("text"), k) for k in range(1, PART + 1))))).alias("part")).join(asked, "part", "left_semi")
-    owned = keep(owned, "text-parts")
-    # Parts that no text has leave their pieces out.
-    counts = owned.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
-    rare = wanted.join(counts, "part", "left").groupBy("pattern", "name", "priority", "piece").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "part")).alias("r"))
-    rare = rare.filter("r.n > 0").select("pattern", "name", "priority", "piece", F.col("r.part").alias("part"))
-    tried = owned.join(rare, "part").filter(F.col("text").contains(F.col("piece"))).select(column, "pattern", "name", "priority").distinct()
+    fold = F.lower(F.upper(F.translate(column, "\u0130", "I")))
+    tried = containing(texts.withColumn("text", fold), "text", table.filter("piece is not null"), "piece")
+    tried = tried.select(column, "pattern", "name", "priority").distinct()
     bare = table.filter("piece is null").withColumn("block", F.pmod(F.xxhash64("pattern", "priority"), F.lit(PATTERN_BLOCKS))).drop("piece")
     used = bare.select("block").distinct().agg(F.sort_array(F.collect_list("block")).alias("used"))  # one row of PATTERN_BLOCKS numbers at most
     everywhere = texts.join(F.broadcast(used), F.lit(True)).select(column, F.explode("used").alias("block")).join(bare, "block").drop("block")

@@ -14,6 +14,7 @@ from ..functions.similarity import TermTable
 from ..functions.text import plain
 from ..runtime import keep, left_join_spread, let
 from ..sources.tables import month_key
+from .merchants import containing
 
 IBAN = r"(?iu)\bRO\d{2}[A-Z0-9]{10,30}\b"
 AREAS = {"housing": "Housing", "utilities": "Housing", "salary_income": "Other", "internal_transfer": "Other"}
@@ -27,8 +28,8 @@ def normalised(term: str) -> str:
     return " ".join(w for w in words if w.upper() not in R.NOISE_TOKENS)
 
 
-def terms_of(category: str) -> list[str]:
-    rule = R.TRANSFER_TERMS[category]
+def terms_of(category: str, terms: dict | None = None) -> list[str]:
+    rule = (terms or R.TRANSFER_TERMS)[category]
     return [t for key in ("exact_terms", "transfer_terms", "recipient_terms") for t in rule.get(key, [])]
 
 
@@ -69,9 +70,36 @@ def _dictionary_match(haystack: Column) -> Column:
     return out
 
 
-def similar_terms() -> list[tuple[str, str]]:
+def dictionary_rows(terms: dict) -> list[tuple]:
+    """A dictionary as rows: rank of the category, category, place of the term, term, its normalised form, whether it speaks against."""
+    out = []
+    for rank, (category, rule) in enumerate(terms.items()):
+        out += [(rank, category, k, t, normalised(t), False) for k, t in enumerate(terms_of(category, terms)) if normalised(t)]
+        out += [(rank, category, -1, t, normalised(t), True) for t in rule.get("negative_terms") or [] if normalised(t)]
+    return out
+
+
+def dictionary_table(spark, terms: dict) -> DataFrame:
+    return spark.createDataFrame(dictionary_rows(terms), "rank int, category string, place int, term string, norm string, against boolean")
+
+
+def dictionary_join(rows: DataFrame, column: str, table: DataFrame) -> DataFrame:
+    """rows with __exact, as dictionary_match gives it, from a dictionary in rows: the plan does not grow with its terms.
+
+    Texts meet the terms that they contain; a category with a term against it goes, and of the others the first term of the first counts.
+    """
+    found = containing(rows.select(F.col(column).alias("__hay")).filter("__hay != ''").distinct(), "__hay", table, "norm")
+    each = found.groupBy("__hay", "rank", "category").agg(F.bool_or("against").alias("against"), F.min(F.when(~F.col("against"), F.struct("place", "term"))).alias("first"))
+    each = each.filter(~F.col("against") & F.col("first").isNotNull())
+    best = each.groupBy("__hay").agg(F.min(F.struct("rank", "category", F.col("first.term").alias("term"))).alias("b"))
+    named = best.select(F.col("__hay").alias(column), F.struct("b.category", "b.term").alias("__exact"))
+    return left_join_spread(rows, named, column, "doc_id", "seq")
+
+
+def similar_terms(terms: dict | None = None) -> list[tuple[str, str]]:
     """Category and normalised term of the categories that allow similar ones, in order."""
-    return [(c, normalised(t)) for c, rule in R.TRANSFER_TERMS.items() if rule["fuzzy"] for t in terms_of(c) if t.strip()]
+    terms = terms or R.TRANSFER_TERMS
+    return [(c, normalised(t)) for c, rule in terms.items() if rule.get("fuzzy") for t in terms_of(c, terms) if t.strip()]
 
 
 def fuzzy_terms(texts: DataFrame, column: str, table: list[tuple[str, str]] | None = None) -> DataFrame:
@@ -91,23 +119,31 @@ def fuzzy_terms(texts: DataFrame, column: str, table: list[tuple[str, str]] | No
     return distinct.mapInPandas(best, f"{column} string, category string, term string, score double")
 
 
-def own_evidence(df: DataFrame, fuzzy: bool = True) -> DataFrame:
-    """Adds __own, the evidence of each external or salary row by itself (null for other rows)."""
-    rows = df.withColumn("__exact", dictionary_match(F.trim(F.concat_ws(" ", "__recipient", "__text"))))
+def own_evidence(df: DataFrame, fuzzy: bool = True, terms: dict | None = None) -> DataFrame:
+    """Adds __own, the evidence of each external or salary row by itself (null for other rows).
+
+    terms: a dictionary in the form of TRANSFER_TERMS, of any size; a category of its own has the area Other.
+    """
+    hay = F.trim(F.concat_ws(" ", "__recipient", "__text"))
+    if terms is None:
+        rows = df.withColumn("__exact", dictionary_match(hay))
+    else:
+        rows = dictionary_join(df.withColumn("__hay_of", hay), "__hay_of", dictionary_table(df.sparkSession, terms)).drop("__hay_of")
     if fuzzy:
         texts = rows.filter("txn_type = 'external_transfer' and __exact is null")
-        scored = keep(fuzzy_terms(texts.select(F.explode(F.array("__recipient", "__text")).alias("t")), "t"), "similar-terms")
+        scored = keep(fuzzy_terms(texts.select(F.explode(F.array("__recipient", "__text")).alias("t")), "t", similar_terms(terms)), "similar-terms")
         for field in ("__recipient", "__text"):
             rows = left_join_spread(rows, scored.select(F.col("t").alias(field), F.struct("category", "term", "score").alias(f"{field}_fuzzy")), field, "doc_id", "seq")
         first, second = F.col("__recipient_fuzzy"), F.col("__text_fuzzy")
         top = F.when(second.isNull() | (F.coalesce(first["score"], F.lit(-1.0)) >= second["score"]), first).otherwise(second)
-        least = F.create_map(*[F.lit(x) for c, r in R.TRANSFER_TERMS.items() if r["fuzzy"] for x in (c, r["fuzzy"])])
+        least = F.create_map(*[F.lit(x) for c, r in (terms or R.TRANSFER_TERMS).items() if r.get("fuzzy") for x in (c, float(r["fuzzy"]))], *([] if any(r.get("fuzzy") for r in (terms or R.TRANSFER_TERMS).values()) else [F.lit(""), F.lit(101.0)]))
         rows = rows.withColumn("__top", top).drop("__recipient_fuzzy", "__text_fuzzy")
         rows = rows.withColumn("__near", F.when(F.col("__top.score") >= F.try_element_at(least, F.col("__top.category")), F.col("__top"))).drop("__top")
     else:
         rows = rows.withColumn("__near", F.lit(None).cast("struct<category:string,term:string,score:double>"))
     confidence = F.coalesce("confidence", F.lit(0.0))
-    areas = F.create_map(*[F.lit(x) for kv in AREAS.items() for x in kv])
+    known = F.create_map(*[F.lit(x) for kv in AREAS.items() for x in kv])
+    areas = lambda category: F.coalesce(F.try_element_at(known, category), F.lit("Other"))
     near, exact = F.col("__near"), F.col("__exact")
     certainty = F.bround(F.least(F.lit(0.99), near["score"] / 100), 2)
 
@@ -119,8 +155,8 @@ def own_evidence(df: DataFrame, fuzzy: bool = True) -> DataFrame:
     external = F.col("txn_type") == "external_transfer"
     own = (
         F.when(F.col("txn_type") == "salary_income", evidence("confirmed", "explicit_text", "bootstrap_exact", "Other", F.col("confidence"), F.greatest(confidence, F.lit(0.98)), F.lit(None), F.lit(None)))
-        .when(external & exact.isNotNull(), evidence("confirmed", "exact_text", "bootstrap_exact", areas[exact["category"]], F.greatest(confidence, F.lit(0.97)), F.greatest(confidence, F.lit(0.97)), exact["term"], F.lit(100.0)))
-        .when(external & near.isNotNull(), evidence(F.when(near["score"] >= 95, "confirmed").otherwise("candidate"), "fuzzy_text", "bootstrap_fuzzy", areas[near["category"]], F.greatest(confidence, certainty), F.greatest(confidence, certainty), near["term"], F.bround(near["score"], 2)))
+        .when(external & exact.isNotNull(), evidence("confirmed", "exact_text", "bootstrap_exact", areas(exact["category"]), F.greatest(confidence, F.lit(0.97)), F.greatest(confidence, F.lit(0.97)), exact["term"], F.lit(100.0)))
+        .when(external & near.isNotNull(), evidence(F.when(near["score"] >= 95, "confirmed").otherwise("candidate"), "fuzzy_text", "bootstrap_fuzzy", areas(near["category"]), F.greatest(confidence, certainty), F.greatest(confidence, certainty), near["term"], F.bround(near["score"], 2)))
         .when(external, evidence("unknown", "no_signal", "unknown", F.col("category_area"), F.col("confidence"), F.lit(None), F.lit(None), F.lit(None)))
     )
     return rows.withColumn("__own", own).drop("__exact", "__near")
@@ -136,7 +172,7 @@ def remember_first(df: DataFrame) -> DataFrame:
     return first.select("entity_key", F.col("m.doc_id").alias("first_doc"), F.col("m.seq").alias("first_row"), "m.canonical_name", "m.category", "m.confidence", F.lit("confirmed").alias("status"), F.col("m.month").alias("first_seen"), F.col("m.month").alias("last_seen"), F.lit(1).alias("months_seen"), "m.evidence_type")
 
 
-def classify_transfers(df: DataFrame, memory: DataFrame | None = None, fuzzy: bool = True) -> DataFrame:
+def classify_transfers(df: DataFrame, memory: DataFrame | None = None, fuzzy: bool = True, terms: dict | None = None) -> DataFrame:
     """Sets state, evidence_type, match_source, category_area, confidence, fuzzy_match_term and fuzzy_match_score.
 
     df has the columns of a classified row, doc_id and seq. memory: rows of earlier runs (columns of MEMORY), of one profile;
@@ -144,7 +180,7 @@ def classify_transfers(df: DataFrame, memory: DataFrame | None = None, fuzzy: bo
 
     The evidence is written out, as it is both told and learned from.
     """
-    rows = keep(own_evidence(counterparties(df), fuzzy), "evidence")
+    rows = keep(own_evidence(counterparties(df), fuzzy, terms), "evidence")
     learned = remember_first(rows).select("entity_key", "first_doc", "first_row", F.struct("category", "confidence", "evidence_type").alias("__new"))
     rows = left_join_spread(rows, learned, "entity_key", "doc_id", "seq")
     if memory is not None:
