@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..runtime import keep
+
 
 def as_of(rows: DataFrame, versions: DataFrame, key: str, time: str, unit: str = "day", strict: bool = False) -> DataFrame:
     """The columns of rows, and ``version``: a struct of the last row of versions of that key with a time no later (``strict``: earlier).
@@ -44,8 +46,9 @@ def last_evidence(rows: DataFrame, time: str) -> DataFrame:
 
     rows: as own_evidence gives them. Where the memory of entities keeps the first confirming row, this is the dated form: what was last known then.
     """
-    told: Column = F.col("__own.state") == "confirmed"
-    versions = rows.filter(told).select("entity_key", time, F.col("seq").alias("from_seq"), F.col("__own.category_area").alias("category"))
-    transfers = rows.filter(F.col("__own").isNotNull()).select("seq", "entity_key", time)
-    out = as_of(transfers, versions, "entity_key", time, strict=True)
+    # Written out: rows and versions are read several times, and the evidence is a long cascade.
+    slim = rows.filter(F.col("__own").isNotNull()).select("seq", "entity_key", time, F.col("__own.state").alias("state"), F.col("__own.category_area").alias("category"))
+    slim = keep(slim, "dated-evidence")
+    versions = slim.filter("state = 'confirmed'").select("entity_key", time, F.col("seq").alias("from_seq"), "category")
+    out = as_of(slim.select("seq", "entity_key", time), versions, "entity_key", time, strict=True)
     return out.select("seq", "entity_key", F.col("version.from_seq").alias("from_seq"), F.col("version.category").alias("category"))
