@@ -47,7 +47,7 @@ def last_evidence(rows: DataFrame, time: str) -> DataFrame:
     rows: as own_evidence gives them. Where the memory of entities keeps the first confirming row, this is the dated form: what was last known then.
     """
     # Written out: rows and versions are read several times, and the evidence is a long cascade.
-    slim = rows.filter(F.col("__own").isNotNull()).select("seq", "entity_key", time, F.col("__own.state").alias("state"), F.col("__own.category_area").alias("category"))
+    slim = rows.filter(F.col("txn_type").isin("external_transfer", "salary_income")).select("seq", "entity_key", time, F.col("__own.state").alias("state"), F.col("__own.category_area").alias("category"))
     slim = keep(slim, "dated-evidence")
     versions = slim.filter("state = 'confirmed'").select("entity_key", time, F.col("seq").alias("from_seq"), "category")
     out = as_of(slim.select("seq", "entity_key", time), versions, "entity_key", time, strict=True)
