@@ -561,10 +561,11 @@ def arriving(rows: DataFrame, name: str, column: str, parts: int = 3) -> DataFra
     """rows as a stream of files that come one after the other, by ranges of a number column."""
     spark = rows.sparkSession
     path, (low, high) = scratch(spark, name), rows.agg(F.min(column), F.max(column)).first()
-    for k in range(parts if low is not None else 0):
+    low, high = (0, 0) if low is None else (low, high)  # no rows: files without any
+    for k in range(parts):
         place = F.floor((F.col(column) - low) * parts / (high - low + 1))
         rows.filter(place == k).write.mode("append").parquet(path)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 64).parquet(path) if low is not None else rows
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 64).parquet(path)
 
 
 def arrived(stream: DataFrame, name: str) -> tuple[DataFrame, str]:

@@ -96,3 +96,10 @@ def test_sides_of_a_transfer(spark, tmp_path):
         run(SD.without_mirrors(batches(spark, path, MONEY, rows, 1), "ts", "48 hours"), path)
     got = {(r.seq, r.transaction_id, r.direction) for r in spark.read.parquet(f"{path}/out").collect()}
     assert got == {(1, "6", "credit"), (2, "2", "credit"), (3, "3", "debit"), (4, "4", "debit"), (8, "8", "credit"), (10, "10", "credit"), (5, "5", "debit"), (11, "11", "debit")}
+
+
+def test_streams_of_no_rows(spark):
+    from ledgerloom.plans import queries as Q
+
+    none = spark.createDataFrame([], MONEY)
+    assert Q.arrived(SD.without_repeats(Q.arriving(none, "none", "seq", 2), "ts"), "none-out")[0].collect() == []
