@@ -22,20 +22,17 @@ def without_repeats(stream: DataFrame, time: str, late: str = "2 days") -> DataF
 
 
 def without_mirrors(stream: DataFrame, time: str, late: str = "2 days") -> DataFrame:
-    """One row for each transfer reference, amount and type: the credit if both sides come within ``late`` of each other, in
-    the place (seq) of the first of the two; a side without the other once the watermark has passed it.
+    """One row for each transfer reference, amount and type: the first by seq, or the first credit if the first is a debit, in
+    the first one's place (seq), as in the batch form, once the watermark has passed them.
 
-    Each side keeps its first row of a key, so the join of the sides has one pair at most; it is bounded in time, and
-    its state leaves with the watermark. Rows without a reference pass beside it.
+    Rows of a key no more than ``late`` apart are one session, whose first rows are partial sums: neither the order in which rows
+    arrive nor their number matters, and state leaves with the watermark. Rows without a reference pass beside it.
     """
     rows = stream.withColumns({"__ref": D.reference(), "__cents": F.bround("amount", 2)}).withWatermark(time, late)
-    tied = rows.filter("__ref is not null").dropDuplicatesWithinWatermark([*TIED, "direction"])
-    columns = rows.columns
-    left, right = (tied.filter(F.col("direction") == side).select(F.struct(*columns).alias(f"__{side}"), *[F.col(c).alias(f"{side}_{c}") for c in [*TIED, time]]) for side in ("debit", "credit"))
-    same = [F.col(f"debit_{c}") == F.col(f"credit_{c}") for c in TIED]
-    near = F.expr(f"credit_{time} between debit_{time} - interval {late} and debit_{time} + interval {late}")
-    both = left.join(right, [*same, near], "full_outer")
-    kept = both.select(F.coalesce("__credit", "__debit").alias("__row"), F.least("__debit.seq", "__credit.seq").alias("__place"))
-    kept = kept.select(*[F.col("__place" if c == "seq" else f"__row.{c}").alias(c) for c in stream.columns])
-    others = tied.filter(~F.coalesce(F.col("direction").isin("debit", "credit"), F.lit(False)))
-    return rows.filter("__ref is null").select(stream.columns).unionByName(kept).unionByName(others.select(stream.columns))
+    session = F.session_window(time, f"{late} 1 microsecond")  # sessions end before their gap does
+    row, credit = F.struct(*stream.columns), F.col("direction") == "credit"
+    firsts = {"__first": F.min_by(row, "seq"), "__credit": F.min_by(F.when(credit, row), F.when(credit, F.col("seq")))}
+    both = rows.filter("__ref is not null").groupBy(*TIED, session).agg(*[c.alias(n) for n, c in firsts.items()])
+    kept = both.withColumn("__row", F.when(F.col("__first.direction") == "debit", F.coalesce("__credit", "__first")).otherwise(F.col("__first")))
+    kept = kept.select(*[F.col("__first.seq" if c == "seq" else f"__row.{c}").alias(c) for c in stream.columns])
+    return rows.filter("__ref is null").select(stream.columns).unionByName(kept)

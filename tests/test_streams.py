@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerloom.operators import dedup as D
 from ledgerloom.operators import transfers as T
 from ledgerloom.sources import grammar as G
 from ledgerloom.streaming import duplicates as SD
@@ -98,6 +99,18 @@ def test_sides_of_a_transfer(spark, tmp_path):
     assert got == {(1, "6", "credit"), (2, "2", "credit"), (3, "3", "debit"), (4, "4", "debit"), (8, "8", "credit"), (10, "10", "credit"), (5, "5", "debit"), (11, "11", "debit")}
 
 
+def test_sides_that_arrive_out_of_order(spark, tmp_path):
+    """Of many rows of one reference and amount in a batch the first by seq counts, as in the batch form, not the first that is met."""
+    path, move = str(tmp_path), lambda seq, ref, direction: paid(seq, seq, f"TRANSFER INTERN REF: {ref}", 9.0, direction, "internal_transfer")
+    rows = [move(s, "E", "credit" if s in (14, 12) else "debit") for s in (15, 14, 13, 12, 11)] + [move(s, "F", d) for s, d in ((25, "debit"), (24, "credit"), (23, "debit"), (22, "credit"))]
+    rows += [move(s, "G", "debit") for s in (33, 31, 32)] + [move(s, "H", d) for s, d in ((43, "credit"), (42, "debit"), (41, "none"))]
+    for part in (rows, [paid(99, 500)]):
+        run(SD.without_mirrors(batches(spark, path, MONEY, part, 1), "ts", "48 hours"), path)
+    got = {(r.seq, r.transaction_id, r.direction) for r in spark.read.parquet(f"{path}/out").collect()}
+    want = {(r.seq, r.transaction_id, r.direction) for r in D.without_mirrors(spark.createDataFrame(rows + [paid(99, 500)], MONEY))[0].collect()}
+    assert got == want == {(11, "12", "credit"), (22, "22", "credit"), (31, "31", "debit"), (41, "41", "none"), (99, "99", "debit")}
+
+
 def test_streams_of_no_rows(spark):
     from ledgerloom.plans import queries as Q
 
