@@ -5,13 +5,13 @@ Later rows take that; rows before it keep their own evidence, as a stream cannot
 memory record itself, so that a batch can read it from the checkpoint. Rows without an entity, and transfers between own
 accounts, need no state and pass beside it.
 
-A key's rows of one micro-batch are put in order in one task, so a micro-batch is as large as the source's rate limit lets it
-be. Nothing else grows with an entity: its state is two short records.
+A key's rows of one micro-batch are put in order in one task, as columns, so a micro-batch is as large as the source's rate limit
+lets it be. Nothing else grows with an entity: its state is two short records, and outcomes leave in parts of CHUNK rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor
@@ -22,6 +22,7 @@ from ..sources.tables import month_key
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 FIELDS = [c.split() for c in T_.MEMORY.split(", ")]
 RECORD = ", ".join(" ".join(f) for f in FIELDS[1:])
+CHUNK = 10_000
 KNOWN = "category string, confidence double, evidence_type string, month string, old boolean"
 OUTCOME = {"state": "string", "evidence_type": "string", "match_source": "string", "category_area": "string", "confidence": "double", "fuzzy_match_term": "string", "fuzzy_match_score": "double"}
 
@@ -35,6 +36,13 @@ def months_between(first: str | None, last: str | None) -> int:
     return 12 * (c - a) + d - b
 
 
+def _records(frame):
+    """Rows of a frame as dictionaries, one at a time; what is missing is None."""
+    names = list(frame.columns)
+    for values in frame.itertuples(index=False, name=None):
+        yield {n: None if v != v else v for n, v in zip(names, values)}
+
+
 class EntityMemory(StatefulProcessor):
     """One entity: ``known`` is what its rows are told, ``memory`` the record that is kept for later runs."""
 
@@ -46,18 +54,22 @@ class EntityMemory(StatefulProcessor):
         self.memory = handle.getValueState("memory", RECORD, self.idle_ms)
 
     def handleInitialState(self, key, initialState, timerValues) -> None:
-        was = self.known.get() if self.known.exists() else None
         # Of several records of an entity the earliest counts.
         order = lambda r: tuple((v is not None, v) for v in (r["first_seen"], r["last_seen"], r["category"], r["confidence"], r["evidence_type"]))
-        if was is None or order(initialState) < order(Row(*[n for n, _ in FIELDS[1:]])(*self.memory.get())):
-            self.known.update((initialState["category"], initialState["confidence"], initialState["evidence_type"], initialState["last_seen"], True, None, None))
-            self.memory.update(tuple(initialState[n] for n, _ in FIELDS[1:]))
+        for r in _records(initialState):
+            if not self.known.exists() or order(r) < order(dict(zip([n for n, _ in FIELDS[1:]], self.memory.get()))):
+                self.known.update((r["category"], r["confidence"], r["evidence_type"], r["last_seen"], True, None, None))
+                self.memory.update(tuple(int(r[n]) if kind == "int" and r[n] is not None else r[n] for n, kind in FIELDS[1:]))
 
     def handleInputRows(self, key, rows, timerValues):
-        rows = sorted(rows, key=lambda r: (r["doc_id"], r["seq"]))
+        import pandas as pd
+
+        frame = pd.concat(list(rows), ignore_index=True).sort_values(["doc_id", "seq"], ignore_index=True)
+        names = ["doc_id", "seq", "txn_type", "entity_key", *OUTCOME]
         known = self.known.get() if self.known.exists() else None
         memory = self.memory.get() if self.memory.exists() else None
-        for r in rows:
+        out = []
+        for r in _records(frame):
             place = (r["doc_id"], r["seq"])
             if known and self.forget_after is not None and months_between(known[3], r["month"]) > self.forget_after:
                 known = memory = None
@@ -70,7 +82,12 @@ class EntityMemory(StatefulProcessor):
                 # An entity that earlier runs knew keeps what they told of it, but its record is renewed once.
                 known = (*known[:5], *place) if known and known[4] else (r["own_category_area"], r["kept"], r["own_evidence_type"], r["month"], False, *place)
                 memory = self._renewed(memory, r)
-            yield Row(doc_id=r["doc_id"], seq=r["seq"], txn_type=r["txn_type"], entity_key=key[0], **dict(zip(OUTCOME, told)))
+            out.append((*place, r["txn_type"], key[0], *told))
+            if len(out) == CHUNK:
+                yield pd.DataFrame(out, columns=names)
+                out = []
+        if out:
+            yield pd.DataFrame(out, columns=names)
         if known:
             self.known.update(known)
             self.memory.update(memory)
@@ -111,7 +128,7 @@ def remembered(stream: DataFrame, memory: DataFrame | None = None, forget_after:
     for n, kind in OUTCOME.items():
         out = out.add(n, kind)
     mode = "none" if idle_ms is None else "processingTime"
-    told = state.groupBy("entity_key").transformWithState(EntityMemory(place, forget_after, idle_ms), out, "append", mode, memory.groupBy("entity_key") if memory is not None else None)
+    told = state.groupBy("entity_key").transformWithStateInPandas(EntityMemory(place, forget_after, idle_ms), out, "append", mode, memory.groupBy("entity_key") if memory is not None else None)
     internal = F.col("txn_type") == "internal_transfer"
     fixed = {"state": "excluded", "evidence_type": "internal_transfer_filter", "match_source": "internal_transfer_filter", "category_area": F.col("category_area"), "confidence": F.col("confidence")}
     beside = [F.when(internal, fixed[n] if n in fixed else F.lit(None)).otherwise(values[n]).cast(kind).alias(n) for n, kind in OUTCOME.items()]

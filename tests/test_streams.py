@@ -62,6 +62,53 @@ def test_memory_is_forgotten(spark, tmp_path):
     assert SM.memory_of(spark, f"{tmp_path}/state").count() == 0
 
 
+def test_micro_batches_in_order(spark, tmp_path):
+    """Micro-batches are ranges of documents, one after the other, of a bounded number of rows."""
+    from ledgerloom.plans import queries as Q
+
+    rows = spark.createDataFrame([external(d, d, ";") for d in range(100)], ROW).repartition(7)
+    parts = []
+    q = Q.arriving_in_order(rows, "in-order", "doc_id", 3, 10).writeStream.foreachBatch(lambda df, k: parts.append([r.doc_id for r in df.collect()])).option("checkpointLocation", str(tmp_path)).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert [sorted(p) for p in parts] == [list(range(k, k + 10)) for k in range(0, 100, 10)]
+
+
+class Held:
+    def __init__(self):
+        self.value = None
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    def clear(self):
+        self.value = None
+
+
+def test_a_large_entity_leaves_in_parts():
+    """Rows of an entity arrive as frames in any order, and outcomes leave in frames of bounded size, as they are made."""
+    import pandas as pd
+
+    memory = SM.EntityMemory("doc long, row long", None, None)
+    memory.known, memory.memory = Held(), Held()
+    n, first = 25_000, 7
+    own = {"own_state": "confirmed", "own_evidence_type": "exact_text", "own_match_source": "bootstrap_exact", "own_category_area": "Housing", "own_confidence": 0.97, "own_fuzzy_match_term": "rent", "own_fuzzy_match_score": 100.0}
+    none = {**{k: None for k in own}, "own_state": "unknown"}
+    rows = [{"doc_id": k // 10, "seq": k, "txn_type": "external_transfer", "entity_key": "x", "category_area": None, "confidence": 0.93, "name": "X", "month": "2027-01", "kept": 0.97 if k >= first else None, **(own if k in (first, first + 90) else none)} for k in reversed(range(n))]
+    frames = (pd.DataFrame(rows[k : k + 4000]) for k in range(0, n, 4000))
+    out = list(memory.handleInputRows(("x",), frames, None))
+    assert [len(f) for f in out] == [10_000, 10_000, 5_000]
+    whole = pd.concat(out)
+    assert list(whole["seq"]) == list(range(n))
+    assert list(whole["match_source"]) == [None] * first + ["bootstrap_exact"] + ["entity_memory"] * (n - first - 1)
+    assert memory.known.value == ("Housing", 0.97, "exact_text", "2027-01", False, 0, first) and memory.memory.value[0] == "X"
+
+
 @pytest.mark.parametrize("first,last,months", [("2026-11", "2027-02", 3), ("2027-02", "2027-02", 0), (None, "2027-02", 0), ("unknown", "2027-02", 0)])
 def test_months_between(first, last, months):
     assert SM.months_between(first, last) == months
