@@ -5,6 +5,8 @@ import shutil
 import subprocess
 import sys
 
+import pytest
+
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 NAMES = "import __spark_entry__ as e; print(*sorted(e.queries())); assert set(e.oracle_sql()) <= set(e.queries())"
 
@@ -38,3 +40,12 @@ def test_nothing_else_imports_llm():
             continue
         for name in (f for f in files if f.endswith(".py")):
             assert "llm" not in open(os.path.join(folder, name), encoding="utf-8").read(), name
+
+
+@pytest.mark.parametrize("name", ["memory_upsert"])
+def test_costly_columns_are_written_out(spark, name):
+    """Conditions on types and evidence reach a table of them, not the events, over which they would compute them anew."""
+    from ledgerloom.plans import queries as Q
+
+    files = Q.queries()[name](spark, "/root/testdata/sf0.001").inputFiles()
+    assert files and not [f for f in files if "events.parquet" in f]
