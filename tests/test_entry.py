@@ -42,7 +42,7 @@ def test_nothing_else_imports_llm():
             assert "llm" not in open(os.path.join(folder, name), encoding="utf-8").read(), name
 
 
-@pytest.mark.parametrize("name", ["memory_upsert"])
+@pytest.mark.parametrize("name", ["memory_upsert", "normalise_cascade", "category_map"])
 def test_costly_columns_are_written_out(spark, name):
     """Conditions on types and evidence reach a table of them, not the events, over which they would compute them anew."""
     from ledgerloom.plans import queries as Q
