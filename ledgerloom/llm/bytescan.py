@@ -43,50 +43,58 @@ def base_of(seed: int) -> int:
     return int(mix(np.array([seed], np.uint64), 40)[0]) % (PRIME - 1000) + 500
 
 
+#: Bytes that are summed at once, a power of two; 9 bits of a byte, 31 of half a power and this many never overflow.
+STEP = 1 << 15
+
+
 @functools.lru_cache(4)
-def powers(n: int, base: int) -> np.ndarray:
-    """base ** k modulo PRIME for k under n, a power of two."""
-    out, width = np.ones(n, np.uint64), 1
-    while width < n:
+def powers(base: int) -> np.ndarray:
+    """base ** k modulo PRIME for k under STEP."""
+    out, width = np.ones(STEP, np.uint64), 1
+    while width < STEP:
         out[width : 2 * width] = times(out[:width], np.uint64(pow(base, width, PRIME)))
         width *= 2
     return out
 
 
-@functools.lru_cache(4)
-def halves(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
-    whole = powers(n, base)
-    return whole >> _31, whole & _LOW31
-
-
-def _room(n: int) -> int:
-    return 1 << max(20, int(n).bit_length())
-
-
 class SpanHash:
-    """Hashes of any spans of a buffer, from one prefix sum; equal bytes have equal hashes.
+    """Hashes of any spans of a buffer, from prefix sums; equal bytes have equal hashes.
 
     A span is a polynomial of its bytes modulo the prime 2^61 - 1, taken at a base drawn by ``seed``: two spans of n bytes
-    agree for n of the 2^61 bases at most, and hashes of two seeds are taken at two bases.
+    agree for n of the 2^61 bases at most, and hashes of two seeds are taken at two bases. Sums begin anew with each STEP
+    bytes, so that the tables of powers, which stay in the process, are as small for a buffer of any length.
     """
 
-    #: Bytes that are summed at once; 9 bits of a byte, 31 of half a power and this many never overflow.
-    STEP = 1 << 15
-
     def __init__(self, data: np.ndarray, seed: int = 7):
         n, base = len(data), base_of(seed)
-        self.inverse = powers(_room(n), pow(base, -1, PRIME))
-        high, low = halves(_room(n), base)
-        self.sums = np.zeros(n + 1, np.uint64)
-        for at in range(0, n, self.STEP):
-            value = data[at : at + self.STEP].astype(np.uint64) + np.uint64(1)
-            upper, lower = np.cumsum(value * high[at : at + len(value)]), np.cumsum(value * low[at : at + len(value)])
-            lower += (upper >> _30) + self.sums[at]
+        back = pow(base, -1, PRIME)
+        self.inverse = powers(back)
+        high, low = powers(base) >> _31, powers(base) & _LOW31
+        self.sums = np.zeros(n + 1, np.uint64)  # of the bytes before each place, from the last multiple of STEP on
+        steps = n // STEP + 1
+        self.before, self.up, self.down = (np.zeros(steps, np.uint64) for _ in range(3))  # of each step: the sum of all bytes before it, and its power
+        before, up, down, ahead, astern = 0, 1, 1, pow(base, STEP, PRIME), pow(back, STEP, PRIME)
+        for k in range(steps):
+            self.before[k], self.up[k], self.down[k] = before, up, down
+            value = data[k * STEP : (k + 1) * STEP].astype(np.uint64) + np.uint64(1)
+            upper, lower = np.cumsum(value * high[: len(value)]), np.cumsum(value * low[: len(value)])
+            lower += upper >> _30
             lower += (upper & _LOW30) << _31
-            self.sums[at + 1 : at + 1 + len(value)] = _reduced(lower)
+            lower = _reduced(lower)
+            self.sums[k * STEP + 1 : (k + 1) * STEP] = lower[: STEP - 1]
+            if len(value) == STEP:  # the place after it begins the next step, at 0
+                before = (before + up * int(lower[-1])) % PRIME
+                up, down = up * ahead % PRIME, down * astern % PRIME
 
     def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        raw = times(_reduced(self.sums[ends] + _P - self.sums[starts]), self.inverse[starts])
+        value = _reduced(self.sums[ends] + _P - self.sums[starts])
+        across = np.flatnonzero((starts ^ ends) >= STEP)
+        if len(across):
+            x, y = starts[across] // STEP, ends[across] // STEP
+            whole = _reduced(self.before[y] + _P - self.before[x] + times(self.up[y], self.sums[ends[across]]))
+            whole = _reduced(whole + _P - times(self.up[x], self.sums[starts[across]]))
+            value[across] = times(whole, self.down[x])
+        raw = times(value, self.inverse[starts & (STEP - 1)])
         return mix(raw ^ mix((ends - starts).astype(np.uint64), 3))
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from . import bytescan as B
 from .occurrences import UNITS, later_spans
-from .runtime import PACKED_BYTES, RID, blocks, bytes_of, merged, pack, table, unpack, with_rid
+from .runtime import PACKED_BYTES, RID, blocks, bytes_of, join_packed, merged, pack, table, unpack, with_rid
 
 #: On prose, chunks of 64 bytes at least (97 on average) meet nearly all repeated passages of 50 words, and few phrases.
 LEAST, MOST, BITS = 64, 512, 5
@@ -111,7 +111,7 @@ def chunk_dedup(docs: DataFrame, with_bytes: bool = True) -> DataFrame:
     """Per document what was removed and, if asked for, the bytes that stay (cut anywhere, so not always UTF-8)."""
     slim = with_rid(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).withColumn("text", F.col("text").cast("binary"))
     spans = later_spans(slim.mapInArrow(_units, UNITS), "chunks").withColumnRenamed("rid", RID)
-    return pack(slim).join(spans, RID, "left").mapInArrow(_strip(with_bytes), OUT)
+    return join_packed(pack(slim), spans, "left").mapInArrow(_strip(with_bytes), OUT)
 
 
 def op7_chunk_dedup(spark, sf_dir: str) -> DataFrame:

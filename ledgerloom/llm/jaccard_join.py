@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from . import bytescan as B
 from .components import components
-from .runtime import PACKED_BYTES, RID, blocks, bytes_of, keep, lists, pack, shielded, table, unpack, with_rid
+from .runtime import PACKED_BYTES, RID, blocks, bytes_of, join_packed, keep, lists, pack, shielded, table, unpack, with_rid
 
 SHINGLE = 5
 #: Bytes of text for each bucket of part sketches.
@@ -462,7 +462,7 @@ def link_documents(docs: DataFrame, bits: int = 64) -> DataFrame:
     needed = groups.select(F.explode("members").alias("cid")).distinct()
     wanted = needed.join(classes, "cid").select("cid", F.col("lead.rid").alias(RID))
     whole = pack(texts.select(RID, F.col("text").cast("binary").alias("text")))
-    chosen = whole.join(wanted, RID).select("cid", "text").mapInArrow(_chosen, "cid long, n long, sketch binary, text binary")
+    chosen = join_packed(whole, wanted).select("cid", "text").mapInArrow(_chosen, "cid long, n long, sketch binary, text binary")
     chosen = keep(chosen, "chosen")
     links = keep(verified(met_pairs(groups, None, chosen, NEAREST), chosen), "near-links")
     roots = keep(components(links), "roots")

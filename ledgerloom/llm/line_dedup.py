@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from . import bytescan as B
 from .occurrences import UNITS, later_spans
-from .runtime import PACKED_BYTES, RID, blocks, bytes_of, merged, pack, shielded, table, unpack, with_rid
+from .runtime import PACKED_BYTES, RID, blocks, bytes_of, join_packed, merged, pack, shielded, table, unpack, with_rid
 
 WINDOW = 3
 
@@ -88,7 +88,7 @@ def line_dedup(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     keyed = with_rid(safe)
     slim = keyed.select(F.col("doc_id").cast("long").alias("doc_id"), RID, "text").filter("text is not null")
     spans = later_spans(slim.mapInArrow(_units(size), UNITS), "line-windows").withColumnRenamed("rid", RID)
-    raw = pack(keyed.withColumn("text", F.col("text").cast("binary"))).join(spans, RID, "left")
+    raw = join_packed(pack(keyed.withColumn("text", F.col("text").cast("binary"))), spans, "left")
     schema = T.StructType(safe.schema.fields + [T.StructField("__ld_lines", T.LongType()), T.StructField("__ld_removed", T.LongType())])
     return raw.mapInArrow(_cut(names), schema).toDF(*docs.columns, "__ld_lines", "__ld_removed")
 

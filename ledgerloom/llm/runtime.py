@@ -134,6 +134,15 @@ def pack(df: DataFrame, column: str = "text") -> DataFrame:
     return df.mapInArrow(_packed(column, df.columns), df.schema)
 
 
+def join_packed(packed: DataFrame, other: DataFrame, how: str = "inner", key: str = RID) -> DataFrame:
+    """packed joined with other by row key, always through a shuffle.
+
+    A broadcast of a small ``other`` would leave the packing and the Python step after it in one stage. Each task there
+    has two workers, and executors keep all workers they ever had, so later steps would hold their tables in twice as many.
+    """
+    return packed.join(other.hint("merge"), key, how)
+
+
 def unpack(column: pa.Array) -> pa.Array:
     import zstandard
 

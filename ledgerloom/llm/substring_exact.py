@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytescan as B
-from .runtime import PACKED_BYTES, RID, blocks, bytes_of, keep, lists, merged, pack, unpack, with_rid
+from .runtime import PACKED_BYTES, RID, blocks, bytes_of, join_packed, keep, lists, merged, pack, unpack, with_rid
 from .suffix import permuted_prefixes, suffix_array
 
 SIZE = 400
@@ -249,7 +249,7 @@ def repeated_spans(docs: DataFrame, size: int = SIZE) -> DataFrame:
     keys = pieces.groupBy("key").agg(F.sum("w").alias("total"), F.max("again").alias("again")).filter("total > 1 or again").select("key")
     wanted = pieces.drop("again").join(keys, "key")
     by_doc = wanted.groupBy(F.col("at.rid").alias("rid")).agg(F.collect_list(F.struct("key", "digest", "at.first", "at.count", "w")).alias("runs"))
-    cut = _dealt_texts(docs).join(by_doc, "rid").select("doc_id", "text", "runs").mapInArrow(_cut(size), PIECES)
+    cut = join_packed(_dealt_texts(docs), by_doc, key="rid").select("doc_id", "text", "runs").mapInArrow(_cut(size), PIECES)
     found = cut.repartition("key").sortWithinPartitions("key").mapInArrow(_sort_shards(size), FOUND)
     found = found.groupBy("key", "digest").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends"))
     spots = runs.select("key", "digest", "rid", "first").join(found, ["key", "digest"])
@@ -289,7 +289,7 @@ def _strip(size: int, full: bool):
 def exact_substring_dedup(docs: DataFrame, size: int = SIZE, with_bytes: bool = True) -> DataFrame:
     """Per document the spans removed and, if asked for, the bytes that stay (they need not be valid UTF-8)."""
     spans = repeated_spans(docs, size)
-    return _dealt_texts(docs).join(spans, "rid", "left").select("doc_id", "text", "starts", "ends").mapInArrow(_strip(size, with_bytes), OUT)
+    return join_packed(_dealt_texts(docs), spans, "left", "rid").select("doc_id", "text", "starts", "ends").mapInArrow(_strip(size, with_bytes), OUT)
 
 
 def op1_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:

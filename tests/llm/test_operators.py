@@ -59,6 +59,32 @@ def test_span_hash():
         assert len(set(B.SpanHash(twins, seed)(np.array([0, 2048]), np.array([2048, 4096])).tolist())) == 2
 
 
+def test_span_hash_steps():
+    """Spans across the steps of the sums equal the polynomial, and what stays in the process is as small for a long buffer."""
+    data = np.frombuffer(random.Random(2).randbytes(70_000) * 60, np.uint8)
+    hashed, base = B.SpanHash(data), B.base_of(7)
+    assert hashed.inverse.nbytes <= 1 << 18
+    for a, b in [(32_767, 32_768), (32_767, 32_769), (32_768, 65_536), (0, 65_536), (30_000, 70_001), (4_199_999, 4_200_000), (4_200_000, 4_200_000)]:
+        raw = 0
+        for x in data[a:b][::-1].tolist():
+            raw = (raw * base + x + 1) % B.PRIME
+        assert hashed(np.array([a]), np.array([b]))[0] == B.mix(np.array([raw], np.uint64) ^ B.mix(np.array([b - a], np.uint64), 3))[0]
+    a = np.arange(1000, 70_000, 997)
+    assert (hashed(a, a + 100_000) == hashed(a + 70_000 * 30, a + 70_000 * 30 + 100_000)).all()
+
+
+@pytest.mark.parametrize("operator", [line_dedup.line_dedup, chunk_dedup.chunk_dedup, substring_exact.exact_substring_dedup])
+def test_packed_texts_are_dealt_out(spark, operator):
+    """Packing and the Python step after it are two stages however small the other side: in one, each task would have two workers."""
+    passage = "\n".join(f"line {k} of the passage that stands twice in these texts" for k in range(12))
+    out = operator(spark.createDataFrame([(1, passage), (2, "head\n" + passage), (3, "other")], DOCS))
+    assert out.count() == 3
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    joins = re.findall(r"(\w+Join) ", plan.split("== Initial Plan ==")[0])
+    assert joins[0] == "SortMergeJoin", plan
+
+
 #: A word of 2048 letters and its complement.
 THUE = ["".join("ab"[(bin(k).count("1") + flip) % 2] for k in range(2048)) for flip in (0, 1)]
 
