@@ -11,6 +11,10 @@ pieces. Tasks count different pieces while they scan; the windows of keys that h
 and keyed by further minima, of other hash functions, too: equal windows still have equal keys, the pieces get shorter, and those
 inside the passage are equal in all documents and are counted as one. Which keys are taken as hot bears on the work alone.
 
+Passages shorter than ``size`` can be counted beside the removal, in the same sort: windows are then keyed by their first ``passage``
+bytes, and pieces carry the ``size`` - 1 bytes after their last start, as far as the text has them. Two windows of ``size`` bytes that are equal begin
+with equal ones of ``passage`` bytes, so they meet as well, and common prefixes of window starts tell both.
+
 Defined cases: a null text is empty; a text under ``size`` bytes loses nothing; repeated rows repeat each
 other's windows, so both lose them; an empty table gives no rows; extra columns are not read.
 """
@@ -29,6 +33,8 @@ from .runtime import PACKED_BYTES, RID, blocks, bytes_of, join_packed, keep, lis
 from .suffix import permuted_prefixes, suffix_array
 
 SIZE = 400
+#: Bytes that passages of over 50 words seldom stay under; the query counts what repeats of this length and removes nothing by it.
+PASSAGE = 280
 ANCHOR = 64
 #: Most windows of one piece.
 LONGEST = 2048
@@ -76,8 +82,28 @@ def _different(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64)), pa.nulls(len(keys), pa.binary()), none, none, pa.nulls(len(keys), pa.bool_())], ["key", "digest", "rid", "first", "count", "again"])
 
 
-def _scan(size: int, shared=None):
-    """Runs of all windows; with ``shared`` (hot keys in order, and how deep each is dealt) those of the hot keys' windows, by further minima."""
+def _further_minima(hashes: np.ndarray, minima: np.ndarray, depth: np.ndarray, width: int) -> np.ndarray:
+    """The minima, mixed with those of as many other hash functions as ``depth`` says; only hashes of such windows are looked at."""
+    edge = np.diff((depth > 0).astype(np.int8), prepend=0, append=0)
+    near = np.zeros(len(hashes) + 1, np.int32)
+    np.add.at(near, np.flatnonzero(edge == 1), 1)
+    np.add.at(near, np.flatnonzero(edge == -1) + width - 1, -1)
+    near = np.cumsum(near)[:-1] > 0
+    at = np.flatnonzero(depth)
+    place, deep, few = (np.cumsum(near) - 1)[at], depth[at], hashes[near]
+    out = minima.copy()
+    for k in range(1, int(deep.max()) + 1):
+        on = deep >= k
+        out[at[on]] = B.mix(out[at[on]] ^ B.sliding_min(B.mix(few, 100 + k), width)[place[on]], 13)
+    return out
+
+
+def _scan(size: int, shared=None, reach: int = 0):
+    """Runs of all windows; with ``shared`` (hot keys in order, and how deep each is dealt) those of the hot keys' windows, by further minima.
+
+    Digests are of pieces with ``reach`` bytes from their last start on, as far as the text goes, if that is more than ``size``.
+    """
+    reach = max(size, reach)
 
     def scan(batches):
         hot, depths = shared.value if shared else (None, None)
@@ -95,10 +121,7 @@ def _scan(size: int, shared=None):
                     depth = np.where(hot[at] == minima, depths[at], 0)
                     if not depth.any():
                         continue
-                    keys = minima.copy()
-                    for k in range(1, int(depth.max()) + 1):
-                        on = depth >= k
-                        keys[on] = B.mix(keys[on] ^ B.sliding_min(B.mix(hashes, 100 + k), size - ANCHOR + 1)[on], 13)
+                    keys = _further_minima(hashes, minima, depth, size - ANCHOR + 1)
                 doc, first, count = _runs(data, offsets, size, keys)
                 if shared:
                     own = depth[first] > 0
@@ -106,7 +129,7 @@ def _scan(size: int, shared=None):
                 if not len(first):
                     continue
                 key, anchor = keys[first], minima[first]
-                digest = B.SpanHash(data)(first, first + count + size - 1)
+                digest = B.SpanHash(data)(first, np.minimum(first + count + reach - 1, offsets[doc + 1]))
                 # Places of the smallest hash inside each piece: two or more, and the piece may repeat itself.
                 names, own_name = np.unique(anchor, return_inverse=True)
                 place = np.searchsorted(names, hashes)
@@ -133,8 +156,8 @@ def _scan(size: int, shared=None):
 PIECES = "key long, digest long, count int, many boolean, piece binary"
 
 
-def _cut(size: int):
-    """Pieces of the documents' runs."""
+def _cut(reach: int):
+    """Pieces of the documents' runs; a text that ends before ``reach`` ends them."""
 
     def cut(batches):
         for batch in (part for whole in batches for part in blocks(whole, "text", PACKED_BYTES)):
@@ -143,7 +166,7 @@ def _cut(size: int):
             for text, own in zip(texts, runs):
                 raw = memoryview(text.as_buffer())
                 for r in own.as_py():
-                    out.append((r["key"], r["digest"], r["count"], r["w"] > 1, bytes(raw[r["first"] : r["first"] + r["count"] + size - 1])))
+                    out.append((r["key"], r["digest"], r["count"], r["w"] > 1, bytes(raw[r["first"] : r["first"] + r["count"] + reach - 1])))
                     if len(out) >= 1024:
                         yield _pieces(out)
                         out = []
@@ -158,23 +181,32 @@ def _pieces(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["key", "digest", "count", "many", "piece"])
 
 
-FOUND = "key long, digest long, starts array<int>, ends array<int>"
+FOUND = "key long, digest long, starts array<int>, ends array<int>, near_starts array<int>, near_ends array<int>"
 
 
-def shard_repeats(pieces: list[bytes], counts: np.ndarray, many: np.ndarray, size: int) -> np.ndarray:
-    """Which windows of a shard's pieces, end to end, repeat: from its suffix array and common prefixes."""
+def shard_repeats(pieces: list[bytes], counts: np.ndarray, many: np.ndarray, sizes: tuple[int, ...]) -> list[np.ndarray]:
+    """Which windows of a shard's pieces, end to end, repeat in each of the sizes: from its suffix array and common prefixes."""
     data = np.frombuffer(b"\xff".join(pieces), np.uint8)
     lengths = np.array([len(p) for p in pieces])
     first = np.cumsum(lengths + 1) - lengths - 1
     order = suffix_array(data)
-    before, prefix = permuted_prefixes(data, order)
-    mark = prefix >= size
-    mark[before[mark]] = True
-    window = np.repeat(first - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
-    return mark[window] | np.repeat(many, counts)
-
-
-def _sort_shards(size: int):
+    _, prefix = permuted_prefixes(data, order)
+    inside = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    window = np.repeat(first, counts) + inside
+    # A piece's last bytes begin the next piece of its text, so only starts of windows are held against each other.
+    own = np.zeros(len(data), bool)
+    own[window] = True
+    places = np.flatnonzero(own[order])
+    shared = np.zeros(len(places) + 1, np.int32)
+    if len(places) > 1:
+        shared[1:-1] = np.minimum.reduceat(prefix[order[: places[-1] + 1]], places[:-1] + 1)
+    best = np.zeros(len(data), np.int32)
+    best[order[places]] = np.maximum(shared[:-1], shared[1:])
+    rest, copied = np.repeat(lengths, counts) - inside, np.repeat(many, counts)
+    return [((best[window] >= size) | copied) & (rest >= size) for size in sizes]
+
+
+def _sort_shards(size: int, passage: int):
     def sort(batches):
         held: list[pa.RecordBatch] = []
         weight = 0
@@ -188,7 +220,7 @@ def _sort_shards(size: int):
                         batch = batch.slice(same)
                         if not batch.num_rows:
                             break
-                    yield from _shard(held, size)
+                    yield from _shard(held, size, passage)
                     held, weight = [], 0
                 lengths = np.diff(bytes_of(batch.column("piece"))[1])
                 take = int(np.searchsorted(np.cumsum(lengths), SHARD_BYTES)) + 1
@@ -196,31 +228,37 @@ def _sort_shards(size: int):
                 weight += int(lengths[:take].sum())
                 batch = batch.slice(take)
         if held:
-            yield from _shard(held, size)
+            yield from _shard(held, size, passage)
 
     return sort
 
 
-def _shard(held: list[pa.RecordBatch], size: int):
-    t = pa.Table.from_batches(held)
-    counts = t["count"].to_numpy().astype(np.int64)
-    hit = shard_repeats([x.as_buffer() for x in t["piece"]], counts, t["many"].to_numpy(), size)
+def _stretches(hit: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Piece, first and end of each stretch of repeated windows, half-open, counted from the piece's first."""
     base = np.cumsum(counts) - counts
     flags = np.concatenate([[0], hit.astype(np.int8), [0]])
-    owner = np.repeat(np.arange(len(counts)), counts)
     edge = np.zeros(len(hit) + 1, bool)
     edge[base] = True
     up = np.flatnonzero(hit & ((flags[:-2] == 0) | edge[:-1]))
     down = np.flatnonzero(hit & ((flags[2:] == 0) | edge[1:])) + 1
-    down[down > len(hit)] = len(hit)
-    if not len(up):
+    of = np.repeat(np.arange(len(counts)), counts)[up]
+    return of, (up - base[of]).astype(np.int32), (down - base[of]).astype(np.int32)
+
+
+def _shard(held: list[pa.RecordBatch], size: int, passage: int):
+    t = pa.Table.from_batches(held)
+    counts = t["count"].to_numpy().astype(np.int64)
+    sizes = (size, passage) if passage else (size,)
+    hits = shard_repeats([x.as_buffer() for x in t["piece"]], counts, t["many"].to_numpy(), sizes)
+    found = [_stretches(hit, counts) for hit in hits]
+    rows = np.unique(np.concatenate([of for of, _, _ in found]))
+    if not len(rows):
         return
-    of = owner[up]
-    a, b = up - base[of], down - base[of]
-    rows, cut = np.unique(of, return_index=True)
+    columns = [lists(np.split(x, np.searchsorted(of, rows[1:])), pa.int32()) for of, *ends in found for x in ends]
+    columns += [lists([np.zeros(0, np.int32)] * len(rows), pa.int32())] * (4 - len(columns))
     yield pa.RecordBatch.from_arrays(
-        [pa.array(t["key"].to_numpy()[rows]), pa.array(t["digest"].to_numpy()[rows]), lists(np.split(a.astype(np.int32), cut[1:]), pa.int32()), lists(np.split(b.astype(np.int32), cut[1:]), pa.int32())],
-        ["key", "digest", "starts", "ends"],
+        [pa.array(t["key"].to_numpy()[rows]), pa.array(t["digest"].to_numpy()[rows]), *columns],
+        ["key", "digest", "starts", "ends", "near_starts", "near_ends"],
     )
 
 
@@ -231,10 +269,16 @@ def _dealt_texts(docs: DataFrame) -> DataFrame:
     return pack(whole).filter("rid is not null")
 
 
-def repeated_spans(docs: DataFrame, size: int = SIZE) -> DataFrame:
-    """Columns rid (as with_rid gives of doc_id as a long), starts, ends: lists of the repeated windows' starts, half-open, in bytes."""
-    long = with_rid(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).filter(F.octet_length("text") >= size).select(RID, F.col("text").cast("binary").alias("text"))
-    scanned = keep(long.mapInArrow(_scan(size), RUNS), "runs")
+def repeated_spans(docs: DataFrame, size: int = SIZE, passage: int = 0) -> DataFrame:
+    """Columns rid (as with_rid gives of doc_id as a long), starts, ends: lists of the repeated windows' starts, half-open, in bytes.
+
+    near_starts and near_ends are those of windows of ``passage`` bytes; without a passage they are empty.
+    """
+    if passage and not ANCHOR <= passage <= size:
+        raise ValueError(f"a passage has {ANCHOR} to {size} bytes")
+    least = passage or size
+    long = with_rid(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).filter(F.octet_length("text") >= least).select(RID, F.col("text").cast("binary").alias("text"))
+    scanned = keep(long.mapInArrow(_scan(least, reach=size), RUNS), "runs")
     runs = scanned.filter("rid is not null")
     counts = scanned.filter("rid is null").groupBy("key").agg(F.sum("digest").alias("n")).filter(F.col("n") >= HOT)
     hot = {r.key: r.n for r in counts.orderBy(F.col("n").desc(), "key").limit(MOST_HOT).collect()}
@@ -242,57 +286,71 @@ def repeated_spans(docs: DataFrame, size: int = SIZE) -> DataFrame:
         keys = np.sort(np.array(list(hot), np.int64).view(np.uint64))
         depths = np.minimum(DEEPEST, 1 + np.log2([hot[int(k)] / HOT for k in keys.view(np.int64)]).astype(np.int64))
         shared = docs.sparkSession.sparkContext.broadcast((keys, depths))
-        deeper = keep(long.mapInArrow(_scan(size, shared), RUNS), "hot-runs")
+        deeper = keep(long.mapInArrow(_scan(least, shared, size), RUNS), "hot-runs")
         own = docs.sparkSession.createDataFrame([(k,) for k in hot], "key long")
         runs = runs.join(F.broadcast(own), "key", "left_anti").unionByName(deeper)  # MOST_HOT rows at most
-    pieces = runs.groupBy("key", "digest").agg(F.count(F.lit(1)).alias("w"), F.max("again").alias("again"), F.min(F.struct("rid", "first", "count")).alias("at"))
-    keys = pieces.groupBy("key").agg(F.sum("w").alias("total"), F.max("again").alias("again")).filter("total > 1 or again").select("key")
-    wanted = pieces.drop("again").join(keys, "key")
+    # Most keys stand once: their runs are dealt out by key this once, and all further steps have the others alone.
+    keys = runs.groupBy("key").agg(F.count(F.lit(1)).alias("total"), F.max("again").alias("again")).filter("total > 1 or again").select("key")
+    runs = keep(runs.drop("again").join(keys, "key", "left_semi"), "repeated-runs")
+    # Pieces of the same bytes and key have as many windows, even if a text's end cuts one of them: windows are keyed by their own bytes.
+    wanted = runs.groupBy("key", "digest").agg(F.count(F.lit(1)).alias("w"), F.min(F.struct("rid", "first", "count")).alias("at"))
     by_doc = wanted.groupBy(F.col("at.rid").alias("rid")).agg(F.collect_list(F.struct("key", "digest", "at.first", "at.count", "w")).alias("runs"))
     cut = join_packed(_dealt_texts(docs), by_doc, key="rid").select("doc_id", "text", "runs").mapInArrow(_cut(size), PIECES)
-    found = cut.repartition("key").sortWithinPartitions("key").mapInArrow(_sort_shards(size), FOUND)
-    found = found.groupBy("key", "digest").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends"))
+    found = cut.repartition("key").sortWithinPartitions("key").mapInArrow(_sort_shards(size, passage), FOUND)
+    sides = ["starts", "ends", "near_starts", "near_ends"]
+    joined = [F.flatten(F.collect_list(c)).alias(c) for c in sides]
+    found = found.groupBy("key", "digest").agg(*joined)
     spots = runs.select("key", "digest", "rid", "first").join(found, ["key", "digest"])
-    moved = spots.select("rid", F.expr("transform(starts, x -> x + first)").alias("starts"), F.expr("transform(ends, x -> x + first)").alias("ends"))
-    return moved.groupBy("rid").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends"))
+    return spots.select("rid", *[F.expr(f"transform({c}, x -> x + first)").alias(c) for c in sides]).groupBy("rid").agg(*joined)
+
 
+OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_repeated long, removed array<struct<start:long,stop:long>>, kept binary"
 
-OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<start:long,stop:long>>, kept binary"
 
+def _spans(part: pa.RecordBatch, row: int, names: tuple[str, str], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes that windows of ``size`` cover, from the lists of their starts."""
+    a, b = (part.column(n)[row] for n in names)
+    if not a.is_valid:
+        return merged(np.zeros(0, np.int64), np.zeros(0, np.int64))
+    return merged(np.asarray(a.values).astype(np.int64), np.asarray(b.values).astype(np.int64) + size - 1)
 
-def _strip(size: int, full: bool):
+
+def _strip(size: int, passage: int, full: bool):
     def strip(batches):
         for batch in batches:
             for part in blocks(batch, "text", PACKED_BYTES):
                 data, offsets = bytes_of(unpack(part.column("text")))
-                cols: list[list] = [[] for _ in range(7)]
-                starts, ends = part.column("starts"), part.column("ends")
+                cols: list[list] = [[] for _ in range(8)]
                 for k in range(part.num_rows):
                     raw = data[offsets[k] : offsets[k + 1]]
-                    a = np.asarray(starts[k].values) if starts[k].is_valid else np.zeros(0, np.int64)
-                    b = np.asarray(ends[k].values) if starts[k].is_valid else a
-                    a, b = merged(a.astype(np.int64), b.astype(np.int64) + size - 1)
+                    a, b = _spans(part, k, ("starts", "ends"), size)
+                    near = _spans(part, k, ("near_starts", "near_ends"), passage)
                     keep_mask = np.ones(len(raw), bool)
                     for x, y in zip(a, b):
                         keep_mask[x:y] = False
                     kept = raw[keep_mask].tobytes()
-                    row = (part.column("doc_id")[k].as_py(), len(raw), int((b - a).sum()), len(a), hashlib.sha256(kept).hexdigest(), [{"start": int(x), "stop": int(y)} for x, y in zip(a, b)], kept if full else None)
+                    row = (part.column("doc_id")[k].as_py(), len(raw), int((b - a).sum()), len(a), hashlib.sha256(kept).hexdigest(), int((near[1] - near[0]).sum()) if passage else None, [{"start": int(x), "stop": int(y)} for x, y in zip(a, b)], kept if full else None)
                     for c, v in zip(cols, row):
                         c.append(v)
                 span = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), span, pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed", "kept"])
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), span, pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_repeated", "removed", "kept"])
 
     return strip
 
 
-def exact_substring_dedup(docs: DataFrame, size: int = SIZE, with_bytes: bool = True) -> DataFrame:
-    """Per document the spans removed and, if asked for, the bytes that stay (they need not be valid UTF-8)."""
-    spans = repeated_spans(docs, size)
-    return join_packed(_dealt_texts(docs), spans, "left", "rid").select("doc_id", "text", "starts", "ends").mapInArrow(_strip(size, with_bytes), OUT)
+def exact_substring_dedup(docs: DataFrame, size: int = SIZE, with_bytes: bool = True, passage: int = 0) -> DataFrame:
+    """Per document the spans removed and, if asked for, the bytes that stay (they need not be valid UTF-8).
+
+    With a ``passage`` of fewer bytes than ``size``, n_repeated is the number of bytes in strings of that length that also start
+    elsewhere; they are counted, not removed. Without one it is null.
+    """
+    spans = repeated_spans(docs, size, passage)
+    return join_packed(_dealt_texts(docs), spans, "left", "rid").select("doc_id", "text", "starts", "ends", "near_starts", "near_ends").mapInArrow(_strip(size, passage, with_bytes), OUT)
 
 
 def op1_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:
     from .runtime import table
 
-    return exact_substring_dedup(table(spark, sf_dir, "documents"), with_bytes=False).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    out = exact_substring_dedup(table(spark, sf_dir, "documents"), with_bytes=False, passage=PASSAGE)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_repeated")

@@ -158,6 +158,29 @@ def test_op1(spark, monkeypatch, hot):
     assert substring_exact.exact_substring_dedup(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("hot,passage", [(128, 280), (1, 280), (1, 64), (128, 400)])
+def test_op1_passages(spark, monkeypatch, hot, passage):
+    """Passages of over 50 words and under 400 bytes are counted and stay; what is removed is the same as without them."""
+    monkeypatch.setattr(substring_exact, "HOT", hot)
+    rng = random.Random(5)
+    shared = [" ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n)) for n in (51, 60, 66, 67, 90)]
+    assert [len(x) for x in shared] == [305, 359, 395, 401, 539]
+    own = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    rows = [(10 * k + j, f"{own(rng.randrange(3, 400))} {x} {own(30 * (j % 2))}".strip()) for k, x in enumerate(shared) for j in range(4)]
+    # Repeats that a text's end cuts, inside one text, of one period, and copies; and a long text that repeats nothing.
+    rows += [(100, shared[4][:399]), (101, shared[4][-300:]), (102, f"{shared[1]} {own(9)} {shared[1]}"), (103, "ab" * 190), (104, "x" * 281), (105, "x" * 279), (106, None), (107, own(2000))]
+    rows += [(108, twin := own(60)), (109, twin), (None, "é" * 150)]
+    df = spark.createDataFrame(rows, DOCS).coalesce(1)
+    got = substring_exact.exact_substring_dedup(df, with_bytes=False, passage=passage).collect()
+    assert sorted((tuple(r)[:5] for r in got), key=str) == brute_repeats(rows)
+    assert {r.doc_id: r.n_repeated for r in got} == {i: n for i, _, n, *_ in brute_repeats(rows, passage)}
+    if passage == 280:
+        assert all(r.n_repeated >= 305 for r in got if r.doc_id is not None and r.doc_id < 100)
+        assert {r.doc_id: r.n_repeated for r in got}[107] == 0 and all(r.n_removed == 0 for r in got if r.doc_id is not None and r.doc_id < 20)
+    plain = substring_exact.exact_substring_dedup(df.limit(3), with_bytes=False).collect()
+    assert [r.n_repeated for r in plain] == [None] * 3
+
+
 # 2
 
 

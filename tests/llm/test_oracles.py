@@ -52,6 +52,12 @@ def test_op1(spark, texts):
     assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got.values()), key=str) == brute_repeats(list(texts.items()))
 
 
+def test_op1_passages(spark, texts):
+    """The query tells all bytes of repeated passages that are shorter than what it removes."""
+    got = {i: r.n_repeated for i, r in rows(spark, "op1_suffix_array_dedup").items()}
+    assert got == {i: n for i, _, n, *_ in brute_repeats(list(texts.items()), 280)}
+
+
 def test_op2(spark, duck, texts):
     items = duck.execute("select item_id, text from benchmark").fetchall()
     got = rows(spark, "op2_benchmark_decontamination")
